@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .lattice import op3_lattice_likelihood
 from .packing import op7_bounded_packing
+from .rules import op9_rule_quality
 from .token_files import op8_mph_token_files
+from .toxicity import op4_gru_toxicity
 
 QUERIES = {
+    "op3_lattice_likelihood": op3_lattice_likelihood,
+    "op4_gru_toxicity": op4_gru_toxicity,
     "op7_bounded_packing": op7_bounded_packing,
     "op8_mph_token_files": op8_mph_token_files,
+    "op9_rule_quality": op9_rule_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
