@@ -47,6 +47,13 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def pinned(df: DataFrame, name: str, value) -> DataFrame:
+    """Add a column whose expression is computed once a row. A plain column
+    would be put in place of each later mention of it, also inside functions
+    that run per array element; a generator's output isn't."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def crc_bucket(id_col: str, modulus: int):
     """crc32 of the id as text, modulo; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

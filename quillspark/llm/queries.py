@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from .decontamination import ORACLE_SQL as CONTAINMENT_SQL
+from .decontamination import op10_minhash_containment
 from .lattice import op3_lattice_likelihood
 from .packing import op7_bounded_packing
+from .preferences import ORACLE_SQL as PREFERENCE_SQL
+from .preferences import op2_preference_format
 from .rules import op9_rule_quality
 from .token_files import op8_mph_token_files
 from .toxicity import op4_gru_toxicity
 
 QUERIES = {
+    "op2_preference_format": op2_preference_format,
     "op3_lattice_likelihood": op3_lattice_likelihood,
     "op4_gru_toxicity": op4_gru_toxicity,
     "op7_bounded_packing": op7_bounded_packing,
     "op8_mph_token_files": op8_mph_token_files,
     "op9_rule_quality": op9_rule_quality,
+    "op10_minhash_containment": op10_minhash_containment,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_preference_format": PREFERENCE_SQL,
+    "op10_minhash_containment": CONTAINMENT_SQL,
+}

@@ -27,14 +27,16 @@ class _Pieces(dict):
 
 
 class _Chunks(dict):
-    """Ids of a space and the chunk that follows it."""
+    """Ids of a space and the chunk that follows it; older: those of before."""
 
-    def __init__(self, pieces: _Pieces):
-        self.pieces = pieces
+    def __init__(self, pieces: _Pieces, older: dict | None = None):
+        self.pieces, self.older = pieces, older or {}
 
     def __missing__(self, chunk: str) -> bytes:
         p = self.pieces
-        if (m := _PLAIN.fullmatch(chunk)) and m[1] != chunk:
+        if (known := self.older.get(chunk)) is not None:
+            out = known
+        elif (m := _PLAIN.fullmatch(chunk)) and m[1] != chunk:
             word, marks, line, word2, marks2 = m.groups()
             out = self[word] + (p[marks] if marks else b"")
             if line:
@@ -57,7 +59,7 @@ class Encoder:
 
     _made: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -71,7 +73,7 @@ class Encoder:
         self.chunks = _Chunks(self.pieces)
 
     @classmethod
-    def at(cls, path: str, keep: int = 1_200_000) -> Encoder:
+    def at(cls, path: str, keep: int = 250_000) -> Encoder:
         if (path, keep) not in cls._made:
             cls._made[path, keep] = cls(path, keep)
         return cls._made[path, keep]
@@ -82,8 +84,10 @@ class Encoder:
             return b""
         if _UNEVEN.search(text) or any(a in text for a in self.added):
             return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.chunks) + len(self.pieces) > self.keep:
-            self.chunks.clear()
+        if len(self.chunks) > self.keep:
+            self.chunks.older = {}
+            self.chunks = _Chunks(self.pieces, self.chunks)
+        if len(self.pieces) > self.keep:
             self.pieces.clear()
         chunks = text.split(" ")
         first, chunks[0] = chunks[0], ""

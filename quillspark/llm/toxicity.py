@@ -186,7 +186,7 @@ def windows_of(n: int, window: int = WINDOW, stride: int = STRIDE) -> np.ndarray
     return np.arange(0, max(1, n - (window - stride)), stride)
 
 
-def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 700, batch: int = 256, rate: float = 0.015, decay: float = 1e-3, dropped: float = 0.1, least_docs: int = 3, seed: int = 3) -> Network | Constant:
+def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, batch: int = 256, rate: float = 0.02, decay: float = 1.0, dropped: float = 0.1, least_docs: int = 3, seed: int = 3) -> Network | Constant:
     """docs: label, whether it is kept aside, and windows as bytes. Adam on
     batches of windows, half of them toxic; then a logistic fit of the largest
     logits of the documents kept aside, which puts the share of toxic ones right."""
@@ -210,7 +210,7 @@ def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 700, ba
     as_bare = np.fromiter((bare[w.strip(EDGE) or w] for w in words), np.int64, len(words))
     seen = (places >= 0) & ~aside[of][:, None]
     pair = np.unique(np.repeat(of, WINDOW)[seen.ravel()] * len(bare) + as_bare[places[seen]])
-    often = np.bincount(pair % len(bare), minlength=len(bare)) >= least_docs
+    often = np.bincount(pair % len(bare), minlength=len(bare)) >= max(least_docs, (~aside).sum() // 500)
     known = {w: k + 1 for k, w in enumerate(w for w, i in bare.items() if often[i])}
     net, rng = Network(known, seed), np.random.default_rng(seed)
     own, word, row = net.inputs(words)
@@ -252,7 +252,7 @@ def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 700, ba
             m, s = moment[k]
             m += 0.1 * (gk - m)
             s += 0.01 * (gk * gk - s)
-            v -= lr * ((m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-8) + decay * 10 * v)
+            v -= lr * ((m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-8) + (decay * v if k in ("word", "gram") else 0.0))
     z = np.full(len(docs), -np.inf)
     np.maximum.at(z, of, logits(net, places, inputs_of))
     if 0 < labels[aside].sum() < aside.sum():
@@ -285,7 +285,7 @@ def logits(net: Network, places: np.ndarray, inputs_of) -> np.ndarray:
     return np.concatenate(out)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2500, windows: int = 8, aside_windows: int = 48, steps: int = 700) -> Network | Constant:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2500, windows: int = 8, aside_windows: int = 48, steps: int = 300) -> Network | Constant:
     labels = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     kinds = [labels.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     few = F.broadcast(stored(kinds[0].unionByName(kinds[1])))
