@@ -5,10 +5,13 @@ from __future__ import annotations
 from .decontamination import ORACLE_SQL as CONTAINMENT_SQL
 from .decontamination import op10_minhash_containment
 from .lattice import op3_lattice_likelihood
+from .ngram_join import ORACLE_SQL as NGRAM_JOIN_SQL
+from .ngram_join import op5_token_group_join
 from .packing import op7_bounded_packing
 from .preferences import ORACLE_SQL as PREFERENCE_SQL
 from .preferences import op2_preference_format
 from .rules import op9_rule_quality
+from .suffix_dedup import op6_suffix_dedup
 from .token_files import op8_mph_token_files
 from .toxicity import op4_gru_toxicity
 
@@ -16,6 +19,8 @@ QUERIES = {
     "op2_preference_format": op2_preference_format,
     "op3_lattice_likelihood": op3_lattice_likelihood,
     "op4_gru_toxicity": op4_gru_toxicity,
+    "op5_token_group_join": op5_token_group_join,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_bounded_packing": op7_bounded_packing,
     "op8_mph_token_files": op8_mph_token_files,
     "op9_rule_quality": op9_rule_quality,
@@ -23,6 +28,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_token_group_join": NGRAM_JOIN_SQL,
     "op2_preference_format": PREFERENCE_SQL,
     "op10_minhash_containment": CONTAINMENT_SQL,
 }
