@@ -73,10 +73,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[
             s = np.sort(full[a : b - width + 1])
             s = s[np.concatenate([[True], s[1:] != s[:-1]])]
         elif b > a:
-            s = np.uint64(b - a)
+            s = np.array([b - a], np.uint64)
             for k in range(a, b):
-                s = mixed(np.array([s * MIX_1 + h[k]], np.uint64))[0]
-            s = np.array([s], np.uint64)
+                s = mixed(s * MIX_1 + h[k])
         else:
             s = full[:0]
         sets.append(s)

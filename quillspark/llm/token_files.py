@@ -15,7 +15,7 @@ in 2^32. A record is found by one index probe, one entry and two offsets.
 
 Null or empty texts have the end id alone. Rows with a null key can't be
 addressed and aren't written. Rows of the same key stand one after another,
-ordered by text, and a key gives all of them. An empty table makes no file.
+ordered by their ids, and a key gives all of them. An empty table makes no file.
 """
 
 from __future__ import annotations
@@ -145,13 +145,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
     filesystems can write to from the executors.
     """
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.at(tokenizer)
+        end = np.array([end_id], encoder.type).tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids = [encoder.encode_one(t.as_py()) + end for t in part.column(1)]
+                place = np.searchsorted(bounds, part.column(0).to_numpy()).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(place), part.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encoder = Encoder.at(tokenizer)
+        Encoder.forget()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        end = np.array([end_id], encoder.type).tobytes()
         keys: list[int] = []
         records: list[bytes] = []
         held, made = 0, 0
@@ -161,7 +170,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
             nonlocal keys, records, held, made
             name = f"{task}-{made:04d}-{uuid.uuid4().hex}.qtok"
             with store.open_output_stream(f"{root}/{name}") as f:
-                for part in shard_bytes(np.array(keys, np.int64), records, encoder.type):
+                for part in shard_bytes(np.array(keys, np.int64), records, kind):
                     f.write(part)
             row = pa.RecordBatch.from_pylist([{"file": name, "first_key": keys[0], "last_key": keys[-1], "n_records": len(keys), "n_ids": held}], schema=arrow)
             keys, records, held, made = [], [], 0, made + 1
@@ -169,25 +178,29 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
 
         arrow = pa.schema([("file", pa.string()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_records", pa.int64()), ("n_ids", pa.int64())])
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if held >= shard_ids and key != keys[-1]:
                     yield close()
-                ids = encoder.encode_one(text.as_py()) + end
                 keys.append(key)
                 records.append(ids)
-                held += len(ids) // encoder.type.itemsize
+                held += len(ids) // kind.itemsize
         if keys:
             yield close()
 
+    parts = shuffles(docs.sparkSession)
     rows = id_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
-    rows = rows.repartitionByRange(shuffles(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(rows.mapInArrow(write, "file string, first_key long, last_key long, n_records long, n_ids long"))
+    kind = Encoder.at(tokenizer).type
+    # Part borders from the keys alone: a range shuffle's own sampling would encode the texts.
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10000)).first()[0]
+    bounds = np.array(cuts or [], np.int64)
+    ids = rows.mapInArrow(encode, "part int, doc_id long, ids binary").repartitionById(parts + 1, "part").sortWithinPartitions("doc_id", "ids")
+    return stored(ids.select("doc_id", "ids").mapInArrow(write, "file string, first_key long, last_key long, n_records long, n_ids long"))
 
 
 def read_token_files(keys: DataFrame, folder: str, manifest: DataFrame) -> DataFrame:
     """Look up keys (one long column): doc_id, start, n_tokens, ids (little-endian
-    unsigned 32-bit) of each record. Keys that aren't there give no row. The
-    driver holds one manifest row per shard, which bounds what it collects."""
+    unsigned 32-bit) of each record. Keys that aren't there give no row. A task
+    has one shard file in memory, and the driver one manifest row per shard."""
     spark = keys.sparkSession
     shards = sorted(manifest.collect(), key=lambda r: r.first_key)
     result = "doc_id long, start long, n_tokens long, ids binary"
@@ -195,7 +208,7 @@ def read_token_files(keys: DataFrame, folder: str, manifest: DataFrame) -> DataF
         return spark.createDataFrame([], result)
     last = np.array([r.last_key for r in shards], np.int64)
     starts = np.concatenate([[0], np.cumsum([r.n_ids for r in shards])])
-    number = {r.file: k for k, r in enumerate(shards)}
+    names = [r.file for r in shards]
 
     @F.pandas_udf("int")
     def shard_of(key):
@@ -203,23 +216,22 @@ def read_token_files(keys: DataFrame, folder: str, manifest: DataFrame) -> DataF
 
         return pd.Series(np.searchsorted(last, key.to_numpy()).astype(np.int32))
 
-    @F.pandas_udf("int")
-    def shard_number(path):
-        return path.map(lambda p: number.get(p.rsplit("/", 1)[-1], -1)).astype("int32")
-
-    def look_up(key, wanted, files):
-        rows = []
-        for raw in files.column("content"):
-            shard, own = Shard(raw.as_py()), wanted.column("doc_id").to_numpy()
-            first = int(starts[key[0].as_py()])
-            for k, start, ids in shard.records(own):
-                rows.append({"doc_id": int(own[k]), "start": first + start, "n_tokens": len(ids), "ids": ids.astype("<u4").tobytes()})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]))
+    def look_up(key, wanted):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        with store.open_input_file(f"{root}/{names[key[0].as_py()]}") as f:
+            shard = Shard(f.read())
+        own, first = wanted.column("doc_id").to_numpy(), int(starts[key[0].as_py()])
+        found = list(shard.records(own))
+        return pa.table(
+            [pa.array([int(own[k]) for k, _, _ in found], pa.int64()), pa.array([first + s for _, s, _ in found], pa.int64()), pa.array([len(i) for _, _, i in found], pa.int64()), pa.array([i.astype("<u4").tobytes() for _, _, i in found], pa.binary())],
+            names=["doc_id", "start", "n_tokens", "ids"],
+        )
 
     name = keys.columns[0]
     wanted = keys.select(F.col(name).alias("doc_id")).where("doc_id is not null").distinct().withColumn("shard", shard_of("doc_id")).where(F.col("shard") < len(shards))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.qtok").load(folder).select(shard_number("path").alias("shard"), "content").where("shard >= 0")
-    return wanted.groupBy("shard").cogroup(files.groupBy("shard")).applyInArrow(look_up, result)
+    return wanted.groupBy("shard").applyInArrow(look_up, result)
 
 
 def op8_mph_token_files(spark, sf_dir: str) -> DataFrame:

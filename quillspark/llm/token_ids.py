@@ -59,7 +59,7 @@ class Encoder:
 
     _made: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -73,11 +73,16 @@ class Encoder:
         self.chunks = _Chunks(self.pieces)
 
     @classmethod
-    def at(cls, path: str, keep: int = 250_000) -> Encoder:
+    def at(cls, path: str, keep: int = 600_000) -> Encoder:
         if (path, keep) not in cls._made:
             cls._made[path, keep] = cls(path, keep)
         return cls._made[path, keep]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Give the memory back, for a task that encodes nothing."""
+        cls._made.clear()
+
     def encode_one(self, text: str | None) -> bytes:
         """The ids of a text as little-endian integers of self.type; null is empty."""
         if not text:

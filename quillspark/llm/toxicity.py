@@ -1,8 +1,10 @@
 """Toxicity by a bidirectional gated recurrent network with attention.
 
-A word is two inputs side by side: the learned vector of the word, if at least
-three training documents have it, and the mean of the learned vectors of its
-byte n-grams (hashed to a fixed table). A recurrent pass in each direction reads a window, attention weighs
+A word's inputs are the learned vector of the word, if at least three training
+documents have it, with a score of how much oftener toxic documents have it, and
+the mean of the learned vectors of its byte n-grams (hashed to a fixed table).
+While training, the score comes from the other folds of the documents, so the
+network learns how far to trust it. A recurrent pass in each direction reads a window, attention weighs
 its places, and the pooled state gives the window's logit. A document is
 scored on all its overlapping windows and gets the largest. Everything is numpy.
 
@@ -33,6 +35,7 @@ GRAM_ROWS = 1 << 13
 GRAMS = (3, 5)
 EDGE = bytes(set(range(33, 127)) - set(b"0123456789abcdefghijklmnopqrstuvwxyz"))
 WINDOW, STRIDE = 64, 32
+FOLDS = 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -70,22 +73,24 @@ class Network:
         f = lambda *s, k=1.0: (r.standard_normal(s) * k).astype(np.float32)
         self.hidden = h = hidden
         self.known, self.slope, self.shift = known, 1.0, 0.0
+        self.lean = np.zeros(len(known) + 1, np.float32)
         self.w = {
-            "word": f(len(known) + 1, d, k=0.2), "gram": f(GRAM_ROWS, d, k=0.3), "in": f(2 * d, 6 * h, k=0.4), "in0": np.zeros(6 * h, np.float32),
+            "word": f(len(known) + 1, d, k=0.2), "gram": f(GRAM_ROWS, d, k=0.3), "in": f(2 * d + 1, 6 * h, k=0.4), "in0": np.zeros(6 * h, np.float32),
             "fore": f(h, 3 * h, k=0.3), "back": f(h, 3 * h, k=0.3), "att": f(2 * h, attention, k=0.4), "att0": np.zeros(attention, np.float32),
             "attv": f(attention, k=0.5), "out": f(2 * h, k=0.5), "out0": np.full(1, -1.0, np.float32),
         }
 
     def inputs(self, words: list[bytes]):
-        return word_inputs(words, self.known)
+        own, word, row = word_inputs(words, self.known)
+        return own, word, row, self.lean[own]
 
-    def project(self, inputs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def project(self, inputs, learned: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The gates' inputs of each word, its features, and its n-grams' number."""
-        own, word, row = inputs
+        own, word, row, lean = inputs
         n = np.maximum(np.bincount(word, minlength=len(own)), 1).astype(np.float32)
         gram = self.w["gram"]
         mean = np.stack([np.bincount(word, weights=gram[row, k], minlength=len(own)) for k in range(gram.shape[1])], 1).astype(np.float32) / n[:, None]
-        features = np.concatenate([self.w["word"][own], mean], 1)
+        features = np.concatenate([self.w["word"][own] * np.float32(learned), mean * np.float32(learned), lean[:, None]], 1)
         return features @ self.w["in"] + self.w["in0"], features, n
 
     def _pass(self, x: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: list | None) -> np.ndarray:
@@ -138,10 +143,10 @@ class Network:
             dh = g * z + da @ u.T
         return dx, du
 
-    def gradients(self, inputs, places: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, inputs, places: np.ndarray, y: np.ndarray, weight: np.ndarray, learned: float = 1.0) -> tuple[float, dict[str, np.ndarray]]:
         w, h = self.w, self.hidden
-        own, word, row = inputs
-        projected, features, n = self.project(inputs)
+        own, word, row, _ = inputs
+        projected, features, n = self.project(inputs, learned)
         k: dict = {}
         logit = self.forward(projected, places, k)
         p = sigmoid(logit)
@@ -165,12 +170,12 @@ class Network:
         dp = np.zeros_like(projected)
         np.add.at(dp, places.T[here], dx[here])
         g["in"], g["in0"] = features.T @ dp, dp.sum(0)
-        df = dp @ w["in"].T
+        df = (dp @ w["in"].T) * np.float32(learned)
         half = w["word"].shape[1]
         g["word"] = np.zeros_like(w["word"])
         np.add.at(g["word"], own, df[:, :half])
         g["gram"] = np.zeros_like(w["gram"])
-        np.add.at(g["gram"], row, (df[:, half:] / n[:, None])[word])
+        np.add.at(g["gram"], row, (df[:, half : 2 * half] / n[:, None])[word])
         return loss, g
 
 
@@ -186,15 +191,16 @@ def windows_of(n: int, window: int = WINDOW, stride: int = STRIDE) -> np.ndarray
     return np.arange(0, max(1, n - (window - stride)), stride)
 
 
-def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, batch: int = 256, rate: float = 0.02, decay: float = 1.0, dropped: float = 0.1, least_docs: int = 3, seed: int = 3) -> Network | Constant:
+def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, batch: int = 256, rate: float = 0.02, decay: float = 3.0, dropped: float = 0.1, least_docs: int = 3, seed: int = 3) -> Network | Constant:
     """docs: label, whether it is kept aside, and windows as bytes. Adam on
-    batches of windows, half of them toxic; then a logistic fit of the largest
+    batches of windows, half of them toxic, and two batches in three without the
+    learned vectors, so that these only add to the words' scores; then a logistic fit of the largest
     logits of the documents kept aside, which puts the share of toxic ones right."""
     number: dict[bytes, int] = {}
     places, of, labels, kept_aside = [], [], [], []
     for label, apart, windows in docs:
         for w in windows:
-            row = np.full(WINDOW, -1, np.int32)
+            row = np.full(WINDOW, -1, np.int64)
             words = w.split()
             row[: len(words)] = [number.setdefault(x, len(number)) for x in words]
             places.append(row)
@@ -213,15 +219,25 @@ def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, ba
     often = np.bincount(pair % len(bare), minlength=len(bare)) >= max(least_docs, (~aside).sum() // 500)
     known = {w: k + 1 for k, w in enumerate(w for w, i in bare.items() if often[i])}
     net, rng = Network(known, seed), np.random.default_rng(seed)
-    own, word, row = net.inputs(words)
+    own, word, row, _ = net.inputs(words)
+    fold = np.where(aside, FOLDS, np.cumsum(~aside) % FOLDS)
+    row_of = np.fromiter((known.get(w, 0) for w in bare), np.int64, len(bare))
+    leans = np.zeros((FOLDS + 1, len(known) + 1), np.float32)
+    for k in range(FOLDS + 1):
+        part = pair[fold[pair // len(bare)] != k]
+        leans[k] = leaning(row_of[part % len(bare)], labels[part // len(bare)], len(known) + 1, labels[~aside & (fold != k)])
+    net.lean = leans[FOLDS]
     order = np.argsort(word, kind="stable")
     word, row = word[order], row[order]
     first = np.searchsorted(word, np.arange(len(own) + 1))
 
-    def inputs_of(words: np.ndarray):
+    def inputs_of(numbers: np.ndarray):
+        words, of_fold = numbers // (FOLDS + 1), numbers % (FOLDS + 1)
         n = first[words + 1] - first[words]
         take = np.repeat(first[words] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return own[words], np.repeat(np.arange(len(words)), n), row[take]
+        return own[words], np.repeat(np.arange(len(words)), n), row[take], leans[of_fold, own[words]]
+
+    places = np.where(places >= 0, places * (FOLDS + 1) + fold[of][:, None], -1)
 
     y = labels[of].astype(np.float32)
     weight = np.ones(len(y), np.float32)
@@ -231,20 +247,20 @@ def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, ba
     for step in range(steps):
         if step >= steps // 3 and (step - steps // 3) % max(1, steps // 8) == 0:
             z = logits(net, places[positive], inputs_of)
-            best = np.full(len(docs), -np.inf)
+            best = np.full(len(labels), -np.inf)
             np.maximum.at(best, of[positive], z)
             weight[positive] = z >= np.minimum(best[of[positive]], 2.0)
         live = positive[weight[positive] > 0]
         half = batch // 2
         pick = np.concatenate([rng.choice(live, half), rng.choice(negative, half)])
-        p = places[pick].copy()
+        p = places[pick]
         p[rng.random(p.shape) < dropped] = -1  # words left out at random, against learning by heart
         p = np.take_along_axis(p, np.argsort(p < 0, 1, kind="stable"), 1)
         used = np.unique(p[p >= 0])
         if not len(used):
             continue
         local = np.where(p >= 0, np.searchsorted(used, np.maximum(p, 0)), -1)
-        _, g = net.gradients(inputs_of(used), local, y[pick], weight[pick])
+        _, g = net.gradients(inputs_of(used), local, y[pick], weight[pick], float(step % 3 == 2))
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         lr = rate * min(1.0, (step + 1) / 20) * (0.1 + 0.9 * (1 - step / steps))
         for k, v in net.w.items():
@@ -252,14 +268,26 @@ def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, ba
             m, s = moment[k]
             m += 0.1 * (gk - m)
             s += 0.01 * (gk * gk - s)
-            v -= lr * ((m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-8) + (decay * v if k in ("word", "gram") else 0.0))
-    z = np.full(len(docs), -np.inf)
+            v -= lr * ((m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-8) + (decay * v if k in ("word", "gram") else 0.0)) * (0.3 if k in ("word", "gram") else 1.0)
+    z = np.full(len(labels), -np.inf)
     np.maximum.at(z, of, logits(net, places, inputs_of))
     if 0 < labels[aside].sum() < aside.sum():
         net.slope, net.shift = straightened(z[aside], labels[aside])
     return net
 
 
+def leaning(words: np.ndarray, toxic: np.ndarray, size: int, labels: np.ndarray) -> np.ndarray:
+    """How far the toxic documents that have a word exceed their share, in
+    standard deviations, on a logarithmic scale. Row 0 has no word."""
+    n = np.bincount(words, minlength=size).astype(float)
+    a = np.bincount(words, weights=toxic, minlength=size)
+    share = labels.mean() if len(labels) else 0.0
+    z = (a - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9) + 0.25)
+    out = np.clip(np.sign(z) * np.log1p(np.abs(z)), -4, 4)
+    out[0] = 0
+    return out.astype(np.float32)
+
+
 def straightened(z: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[float, float]:
     """Slope and shift of a logistic fit of labels on logits, by Newton steps, with a little shrinking."""
     x = np.stack([np.clip(z, -15, 15), np.ones(len(z))], 1)
@@ -305,11 +333,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
     return train(((r["label"], r["aside"], r["windows"]) for b in got.to_batches(200) for r in b.to_pylist()), steps=steps)
 
 
-def score_toxicity(docs: DataFrame, net: Network | Constant, *, keep: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, n_windows and the worst window's first word, of each row."""
-    rows = id_text(docs, id_col, text_col)
+def score_rows(docs: DataFrame, net: Network | Constant, *, keep: int = 300_000, text_col: str = "text") -> DataFrame:
+    """row (all columns of docs in one struct), score, n_windows and the worst
+    window's first word, of each row."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     if isinstance(net, Constant):
-        return rows.select("doc_id", F.lit(net.share).alias("score"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("worst_word"))
+        return rows.select("row", F.lit(net.share).alias("score"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("worst_word"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches):
@@ -317,11 +346,11 @@ def score_toxicity(docs: DataFrame, net: Network | Constant, *, keep: int = 300_
         number: dict[bytes, int] = {}
         table = np.zeros((0, 6 * net.hidden), np.float32)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            texts = batch.column(1)
             at = 0
-            while at < len(ids):
+            while at < len(texts):
                 split, n = [], 0
-                while at + len(split) < len(ids) and n < 60_000:
+                while at + len(split) < len(texts) and n < 60_000:
                     split.append(words_of(texts[at + len(split)].as_py()))
                     n += len(split[-1])
                 if len(number) > keep:
@@ -343,10 +372,16 @@ def score_toxicity(docs: DataFrame, net: Network | Constant, *, keep: int = 300_
                 z = np.concatenate([net.forward(full, places[k : k + 2048]) for k in range(0, len(places), 2048)])
                 order = np.lexsort((first, -z, doc))
                 top = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(split)], pa.int64()), pa.array(sigmoid(net.slope * z[top].astype(float) + net.shift)), pa.array(np.bincount(doc, minlength=len(split))), pa.array(first[top])], ["doc_id", "score", "n_windows", "worst_word"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(split)], pa.array(sigmoid(net.slope * z[top].astype(float) + net.shift)), pa.array(np.bincount(doc, minlength=len(split))), pa.array(first[top])], ["row", "score", "n_windows", "worst_word"])
                 at += len(split)
 
-    return rows.mapInArrow(score, "doc_id long, score double, n_windows long, worst_word long")
+    row = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(score, f"row {row}, score double, n_windows long, worst_word long")
+
+
+def score_toxicity(docs: DataFrame, net: Network | Constant, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, score, n_windows, worst_word of each row."""
+    return score_rows(id_text(docs, id_col, text_col), net, **options).select(F.col("row.doc_id").alias("doc_id"), "score", "n_windows", "worst_word")
 
 
 def op4_gru_toxicity(spark, sf_dir: str) -> DataFrame:
