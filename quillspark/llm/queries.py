@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import ORACLE_SQL as CONTAINMENT_SQL
 from .decontamination import op10_minhash_containment
+from .fingerprints import op1_chroma_fingerprints
 from .lattice import op3_lattice_likelihood
 from .ngram_join import ORACLE_SQL as NGRAM_JOIN_SQL
 from .ngram_join import op5_token_group_join
@@ -16,6 +17,7 @@ from .token_files import op8_mph_token_files
 from .toxicity import op4_gru_toxicity
 
 QUERIES = {
+    "op1_chroma_fingerprints": op1_chroma_fingerprints,
     "op2_preference_format": op2_preference_format,
     "op3_lattice_likelihood": op3_lattice_likelihood,
     "op4_gru_toxicity": op4_gru_toxicity,
