@@ -281,11 +281,11 @@ def lattice_scores(docs: DataFrame, train: DataFrame, model: str, *, head: int =
                     marginal[new[k]] = lattice.forward([new_words[i] for i in k], logp)[0] + rest
                 own = new[new < len(edge_of_top)]
                 marginal[own] = np.logaddexp(marginal[own], edge_of_top[own])
-                total = np.bincount(doc, weights=marginal[idx], minlength=len(split)) + math.log(end)
+                total = np.bincount(doc, weights=marginal[idx], minlength=len(split)).astype(float) + math.log(end)
                 b = base[idx]
                 tail = np.isnan(b)
                 known = np.bincount(doc[~tail], minlength=len(split))
-                sums = np.bincount(doc[~tail], weights=b[~tail], minlength=len(split))
+                sums = np.bincount(doc[~tail], weights=b[~tail], minlength=len(split)).astype(float)
                 pair, tf = np.unique(doc[tail] * len(words) + idx[tail], return_counts=True)
                 per_doc = np.bincount(pair // max(1, len(words)), minlength=len(split)) if len(pair) else np.zeros(len(split), np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32))
