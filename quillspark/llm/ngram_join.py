@@ -127,8 +127,20 @@ def token_sets(docs: DataFrame, only) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["cid", "n", "tokens"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(scan, "cid long, n long, tokens binary")
-    return rows.groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
+    return docs.select("doc_id", "text").mapInArrow(scan, "cid long, n long, tokens binary")
+
+
+def sets_of(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """cid, n, tokens of the ids (one column): others are left out before sets are
+    moved, and the copies that tasks wrote of one set become one."""
+    held = sets.sparkSession.sparkContext.broadcast(Membership.of(ids))
+
+    def scan(batches):
+        kept = held.value
+        for batch in batches:
+            yield batch.filter(pa.array(kept.has(batch.column(0).to_numpy()), pa.bool_()))
+
+    return sets.mapInArrow(scan, "cid long, n long, tokens binary").groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,8 +157,10 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 80 * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s"))
-    two = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t"))
+    pairs = stored(pairs)
+    own = sets_of(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), sets)
+    one = own.select(F.col("cid").alias("a"), F.col("tokens").alias("s"))
+    two = own.select(F.col("cid").alias("b"), F.col("tokens").alias("t"))
     return pairs.join(one, "a").join(two, "b").select("x", "y", "s", "t").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -232,8 +246,9 @@ def jaccard_components(docs: DataFrame, *, leader_rounds: int = 2, id_col: str =
     order = context.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     shared = prefixes(docs, order).groupBy("t").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("t")
+    shared = stored(shared)
     alive = context.broadcast(Membership.of(shared))
-    rows = stored(prefixes(docs, order, alive).distinct())
+    rows = stored(prefixes(docs, order, alive).distinct().join(shared, "t"))
     sets = stored(token_sets(docs, context.broadcast(Membership.of(rows.select("cid").distinct()))))
     labels = stored(rows.select(F.col("cid").alias("id"), F.col("cid").alias("label")).distinct())
 
@@ -255,11 +270,13 @@ def jaccard_components(docs: DataFrame, *, leader_rounds: int = 2, id_col: str =
     queries = open_rows.join(groups, "t").where((F.col("g") < F.col("grp")) & (F.col("low") * 4 <= F.col("n") * 5) & (F.col("n") * 4 <= F.col("high") * 5))
     queries = queries.select("cid", "n", F.col("g").alias("grp")).distinct()
     members = labels.select(F.col("id").alias("cid"), F.col("label").alias("grp"))
-    wanted = queries.select("grp").distinct()
-    matrix = matrix_parts(members.join(wanted, "grp").join(sets, "cid"))
-    opened = stored(qualifying(queries.join(sets.drop("n"), "cid").join(matrix, "grp")))
-    inside = members.join(sets.select("cid", "n"), "cid").select(F.col("cid").alias("b"), "grp", F.col("n").alias("m"))
-    pairs = opened.join(sets.select("cid", "n"), "cid").join(inside, "grp").where(compatible("n", "m"))
+    queries = stored(queries)
+    inside = stored(members.join(queries.select("grp").distinct(), "grp"))
+    matrix = matrix_parts(inside.join(sets_of(inside.select("cid"), sets), "cid"))
+    opened = stored(qualifying(queries.join(sets_of(queries.select("cid"), sets).drop("n"), "cid").join(matrix, "grp")))
+    sizes = rows.select("cid", "n").distinct()
+    inside = inside.join(sizes, "cid").select(F.col("cid").alias("b"), "grp", F.col("n").alias("m"))
+    pairs = opened.join(sizes, "cid").join(inside, "grp").where(compatible("n", "m"))
     pairs = pairs.join(members.withColumnRenamed("grp", "x"), "cid").select(F.col("cid").alias("a"), "b", "x", F.col("grp").alias("y"))
     labels = relabelled(labels, linked(pairs, sets))
 
