@@ -130,20 +130,14 @@ def token_sets(docs: DataFrame, only) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "cid long, n long, tokens binary")
 
 
-def sets_of(ids: DataFrame, sets: DataFrame) -> DataFrame:
-    """cid, n, tokens of the ids (one column): others are left out before sets are
-    moved, and the copies that tasks wrote of one set become one."""
-    held = sets.sparkSession.sparkContext.broadcast(Membership.of(ids))
-
-    def scan(batches):
-        kept = held.value
-        for batch in batches:
-            yield batch.filter(pa.array(kept.has(batch.column(0).to_numpy()), pa.bool_()))
-
-    return sets.mapInArrow(scan, "cid long, n long, tokens binary").groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, n, tokens of the classes with the given ids (one column), made from the
+    texts again: that reads more and stores less than keeping all sets."""
+    held = docs.sparkSession.sparkContext.broadcast(Membership.of(ids))
+    return token_sets(docs, held).groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b, x, y) of classes and their groups, the groups (x, y) of those that link."""
 
     def compare(batches):
@@ -158,7 +152,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = stored(pairs)
-    own = sets_of(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), sets)
+    own = sets_of(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), docs)
     one = own.select(F.col("cid").alias("a"), F.col("tokens").alias("s"))
     two = own.select(F.col("cid").alias("b"), F.col("tokens").alias("t"))
     return pairs.join(one, "a").join(two, "b").select("x", "y", "s", "t").mapInArrow(compare, "a long, b long").distinct()
@@ -249,7 +243,6 @@ def jaccard_components(docs: DataFrame, *, leader_rounds: int = 2, id_col: str =
     shared = stored(shared)
     alive = context.broadcast(Membership.of(shared))
     rows = stored(prefixes(docs, order, alive).distinct().join(shared, "t"))
-    sets = stored(token_sets(docs, context.broadcast(Membership.of(rows.select("cid").distinct()))))
     labels = stored(rows.select(F.col("cid").alias("id"), F.col("cid").alias("label")).distinct())
 
     def labelled() -> DataFrame:
@@ -261,7 +254,7 @@ def jaccard_components(docs: DataFrame, *, leader_rounds: int = 2, id_col: str =
         leaders = now.groupBy("t").agg(pick(F.struct("grp", "cid", "n")).alias("l"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t", F.col("l.grp").alias("y"), F.col("l.cid").alias("b"), F.col("l.n").alias("m"))
         pairs = now.join(leaders, "t").where((F.col("grp") != F.col("y")) & compatible("n", "m"))
         pairs = pairs.select(F.col("cid").alias("a"), "b", F.col("grp").alias("x"), "y").distinct()
-        labels = relabelled(labels, linked(pairs, sets))
+        labels = relabelled(labels, linked(pairs, docs))
 
     now = labelled()
     mixed_tokens = now.groupBy("t").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t")
@@ -272,13 +265,14 @@ def jaccard_components(docs: DataFrame, *, leader_rounds: int = 2, id_col: str =
     members = labels.select(F.col("id").alias("cid"), F.col("label").alias("grp"))
     queries = stored(queries)
     inside = stored(members.join(queries.select("grp").distinct(), "grp"))
-    matrix = matrix_parts(inside.join(sets_of(inside.select("cid"), sets), "cid"))
-    opened = stored(qualifying(queries.join(sets_of(queries.select("cid"), sets).drop("n"), "cid").join(matrix, "grp")))
+    sets = stored(sets_of(inside.select("cid").unionByName(queries.select("cid")), docs))
+    matrix = matrix_parts(inside.join(sets, "cid"))
+    opened = stored(qualifying(queries.join(sets.drop("n"), "cid").join(matrix, "grp")))
     sizes = rows.select("cid", "n").distinct()
     inside = inside.join(sizes, "cid").select(F.col("cid").alias("b"), "grp", F.col("n").alias("m"))
     pairs = opened.join(sizes, "cid").join(inside, "grp").where(compatible("n", "m"))
     pairs = pairs.join(members.withColumnRenamed("grp", "x"), "cid").select(F.col("cid").alias("a"), "b", "x", F.col("grp").alias("y"))
-    labels = relabelled(labels, linked(pairs, sets))
+    labels = relabelled(labels, linked(pairs, docs))
 
     found = own.join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").select("doc_id", "n", F.coalesce("label", "cid").alias("label"))
     smallest = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
