@@ -7,11 +7,12 @@ bits of a place are one integer. Equal integers of two recordings vote for the
 offset between them; at the offset with most votes the share of wrong bits tells
 whether they are the same.
 
-Every recording is indexed. For each integer of a query the index holds the
-first and the last recording (by id) that has it, which is two rows however many
-copies there are: a query is aligned with these, so with both ends of each
-family of recordings that it belongs to, and pairs inside a family follow from
-that. Runs of one integer (silence, steady tones) vote once.
+Every query is compared with every recording. The queries' integers are the index
+that tasks get, in blocks of bounded size, and recordings pass by it: all votes
+of a pair meet in one task, so nothing but aligned pairs leaves it, and no
+integer or partner is left out. Queries with equal integers are one entry of
+the index with several ids, equal recordings of a batch are read once; the
+result still has each pair. Runs of one integer (silence, steady tones) vote once.
 
 Samples are unsigned 8-bit mono PCM. Null, empty or short recordings, under one
 filter's width of frames, have no integers and align with nothing. Rows with a
@@ -20,12 +21,15 @@ null id aren't indexed. Rows of the same id count as one recording, the longest.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Membership, documents, stored
+from .common import documents, stored
 
 RATE, FRAME, HOP = 11025, 256, 32
 CLASSES, WIDTH = 12, 6
@@ -111,53 +115,142 @@ def fingerprints(recordings: DataFrame, id_col: str = "doc_id", pcm_col: str = "
     return rows.mapInArrow(scan, "doc_id long, n long, ints binary").groupBy("doc_id").agg(longest).select("doc_id", "x.n", "x.ints")
 
 
-def places(prints: DataFrame, only=None) -> DataFrame:
-    """doc_id, v, at: the first place of each run of an integer."""
+def places(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """number in the list, integer, place: the first place of each run of an integer."""
+    at = [np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64) for v in prints]
+    size = np.fromiter(map(len, at), np.int64, len(at))
+    joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return np.repeat(np.arange(len(at)), size), joined([v[k] for v, k in zip(prints, at)], np.uint32), joined(at, np.int64)
+
+
+def spread(size: np.ndarray, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For entries of these sizes the entry and the place in it of each element, limit elements at a time."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    for k in range(0, total, limit or max(1, total)):
+        at = np.arange(k, min(total, k + (limit or total)))
+        entry = np.searchsorted(ends, at, "right")
+        yield entry, at - (ends - size)[entry]
+
+
+def one_spread(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return next(spread(size), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
+class Prints:
+    """Distinct fingerprints one after another, each with the ids that have it."""
+
+    def __init__(self, prints: list[np.ndarray], ids: list[list[int]]):
+        self.size = np.fromiter(map(len, prints), np.int64, len(prints))
+        self.first = np.cumsum(self.size) - self.size
+        self.ints = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
+        self.n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.first_id = np.cumsum(self.n_ids) - self.n_ids
+        self.ids = np.fromiter((i for x in ids for i in x), np.int64, int(self.n_ids.sum()))
+
+
+class Index(Prints):
+    """Where each integer occurs in the queries of a block."""
+
+    def __init__(self, prints: list[np.ndarray], ids: list[list[int]]):
+        super().__init__(prints, ids)
+        query, value, at = places(prints)
+        order = np.argsort(value, kind="stable")
+        self.value, self.start, self.n = np.unique(value[order], return_index=True, return_counts=True)
+        self.query, self.at = query[order].astype(np.int32), at[order].astype(np.int32)
+
+    def votes(self, recordings: list[np.ndarray], least: int, limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, ...]]:
+        """recording, query, shift, votes at the shift with most votes (of equal
+        ones the nearest to 0) of each pair with that many; about limit hits at a time."""
+        number, value, at = places(recordings)
+        if not len(value) or not len(self.value):
+            return
+        k = np.minimum(np.searchsorted(self.value, value), len(self.value) - 1)
+        hit = self.value[k] == value
+        number, at, k = number[hit], at[hit], k[hit]
+        before = np.concatenate([[0], np.cumsum(self.n[k])])
+        ends = np.flatnonzero(np.concatenate([number[1:] != number[:-1], [True]])) + 1 if len(number) else []
+        low = 0
+        for i, high in enumerate(ends):
+            if i + 1 < len(ends) and before[ends[i + 1]] - before[low] <= limit:
+                continue
+            entry, place = one_spread(self.n[k[low:high]])
+            own = self.start[k[low:high]][entry] + place
+            shift = at[low:high][entry] - self.at[own]
+            near, span = int(shift.min()), int(shift.max() - shift.min()) + 1
+            key = ((number[low:high][entry] - number[low]) * len(self.size) + self.query[own]) * span + (shift - near)
+            key.sort()
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.concatenate([cut, [len(key)]]))
+            key, n = key[cut][n >= least], n[n >= least]
+            pair, shift = key // span, key % span + near
+            order = np.lexsort((-shift, np.abs(shift), -n, pair))
+            pair, shift, n = pair[order], shift[order], n[order]
+            best = np.concatenate([[True], pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, bool)
+            pair = pair[best]
+            yield number[low] + pair // len(self.size), pair % len(self.size), shift[best], n[best]
+            low = high
+
+
+def wrong_bits(mine: Prints, own: np.ndarray, theirs: Prints, other: np.ndarray, shift: np.ndarray, overlap: np.ndarray, limit: int = 1 << 21) -> np.ndarray:
+    """Bits that differ where the recordings lie over the queries."""
+    out = np.zeros(len(own), np.int64)
+    a, b = mine.first[own] + np.maximum(0, -shift), theirs.first[other] + np.maximum(0, shift)
+    for entry, place in spread(overlap, limit):
+        out += np.bincount(entry, weights=np.bitwise_count(mine.ints[a[entry] + place] ^ theirs.ints[b[entry] + place]), minlength=len(own)).astype(np.int64)
+    return out
 
-    def scan(batches):
-        kept = only.value if only else None
-        for batch in batches:
-            docs, values, ats = [], [], []
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v = np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64)
-                at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-                if kept is not None:
-                    at = at[kept.has(v[at])]
-                docs.append(np.full(len(at), doc, np.int64))
-                values.append(v[at])
-                ats.append(at)
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (docs, values, ats)], ["doc_id", "v", "at"])
-
-    return prints.select("doc_id", "ints").mapInArrow(scan, "doc_id long, v long, at long")
-
-
-def align(prints: DataFrame, queries: DataFrame, *, least_votes: int = 2, least_overlap: int = 6, most_wrong: float = 0.2) -> DataFrame:
+
+#: Integers of the queries that one block's index holds, about.
+BLOCK = 1 << 20
+
+
+def align(prints: DataFrame, queries: DataFrame, *, least_votes: int = 2, least_overlap: int = 6, most_wrong: float = 0.2, block: int = BLOCK) -> DataFrame:
     """query_id, doc_id, shift (place in the recording less place in the query),
-    votes, overlap (integers), bit_errors, error_rate of aligned recordings."""
-    wanted = places(queries).withColumnRenamed("doc_id", "query_id")
-    only = prints.sparkSession.sparkContext.broadcast(Membership.of(wanted.select("v").distinct()))
-    here = F.struct("doc_id", "at")
-    index = places(prints, only).groupBy("v").agg(F.min(here).alias("a"), F.max(here).alias("b"))
-    hits = wanted.join(index, "v").select("query_id", F.col("at").alias("own"), F.explode(F.array_distinct(F.array("a", "b"))).alias("x"))
-    votes = hits.where(F.col("x.doc_id") != F.col("query_id")).groupBy("query_id", F.col("x.doc_id").alias("doc_id"), (F.col("x.at") - F.col("own")).alias("shift")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("query_id", "doc_id").agg(F.max(F.struct("votes", (-F.abs("shift")).alias("near"), "shift")).alias("m")).select("query_id", "doc_id", "m.shift", "m.votes").where(F.col("votes") >= least_votes)
-
-    def compare(batches):
-        for batch in batches:
-            overlap, wrong = [], []
-            for shift, a, b in zip(batch.column(2).to_pylist(), batch.column(4), batch.column(5)):
-                a, b = np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4")
-                a, b = a[max(0, -shift) :], b[max(0, shift) :]
-                n = min(len(a), len(b))
-                overlap.append(n)
-                wrong.append(int(np.bitwise_count(a[:n] ^ b[:n]).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(overlap, pa.int64()), pa.array(wrong, pa.int64())], ["query_id", "doc_id", "shift", "votes", "overlap", "bit_errors"])
-
-    own = queries.select(F.col("doc_id").alias("query_id"), F.col("ints").alias("mine"))
-    both = best.join(own, "query_id").join(prints.select("doc_id", "ints"), "doc_id").select("query_id", "doc_id", "shift", "votes", "mine", "ints")
-    out = both.mapInArrow(compare, "query_id long, doc_id long, shift long, votes long, overlap long, bit_errors long")
-    return out.where((F.col("overlap") >= least_overlap) & (F.col("bit_errors") <= most_wrong * 32 * F.col("overlap"))).withColumn("error_rate", F.col("bit_errors") / (32 * F.col("overlap")))
+    votes, overlap (integers), bit_errors, error_rate of all aligned recordings."""
+    spark = prints.sparkSession
+    names = ["query_id", "doc_id", "shift", "votes", "overlap", "bit_errors"]
+    schema = ", ".join(f"{x} long" for x in names)
+
+    def against(shared):
+        def scan(batches):
+            index = shared.value
+            for batch in batches:
+                same: dict[bytes, list[int]] = {}
+                for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    same.setdefault(raw, []).append(doc)
+                recordings = [np.frombuffer(raw, "<u4") for raw in same]
+                theirs = Prints(recordings, list(same.values()))
+                for other, own, shift, votes in index.votes(recordings, least_votes):
+                    overlap = np.minimum(index.size[own] - np.maximum(0, -shift), theirs.size[other] - np.maximum(0, shift))
+                    keep = overlap >= least_overlap
+                    other, own, shift, votes, overlap = (x[keep] for x in (other, own, shift, votes, overlap))
+                    wrong = wrong_bits(index, own, theirs, other, shift, overlap)
+                    keep = wrong <= most_wrong * 32 * overlap
+                    other, own, *rest = (x[keep] for x in (other, own, shift, votes, overlap, wrong))
+                    for entry, place in spread(theirs.n_ids[other] * index.n_ids[own], 1 << 18):
+                        per = index.n_ids[own[entry]]
+                        query = index.ids[index.first_id[own[entry]] + place % per]
+                        doc = theirs.ids[theirs.first_id[other[entry]] + place // per]
+                        apart = query != doc
+                        yield pa.RecordBatch.from_arrays([pa.array(x[apart].astype(np.int64)) for x in (query, doc, *(x[entry] for x in rest))], names)
+
+        return scan
+
+    total = queries.agg(F.sum("n")).first()[0] or 0
+    blocks = -(-total // block)
+    wanted = queries.where("n > 0").withColumn("block", F.pmod(F.xxhash64("ints"), F.lit(max(1, blocks))))
+    parts = []
+    for k in range(blocks):
+        rows = wanted.where(F.col("block") == k).groupBy("ints").agg(F.collect_list("doc_id").alias("ids")).toArrow()
+        shared = spark.sparkContext.broadcast(Index([np.frombuffer(x, "<u4") for x in rows.column("ints").to_pylist()], rows.column("ids").to_pylist()))
+        found = prints.select("doc_id", "ints").where("n > 0").mapInArrow(against(shared), schema)
+        if blocks > 1:  # one block's index at a time
+            found = stored(found)
+            shared.destroy()
+        parts.append(found)
+    out = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
+    return out.withColumn("error_rate", F.col("bit_errors") / (32 * F.col("overlap")))
 
 
 def op1_chroma_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -287,3 +287,49 @@ def test_fingerprints_align_shifted_and_noisy_copies(spark):
             found[x.doc_id] = x["shift"]
     assert found == {1: 0, 2: 320 * 5 // fingerprints.HOP}
     assert fingerprints.align(prints.where("false"), prints.where("false")).count() == 0
+
+
+def brute_alignments(prints, queries, least_votes=2, least_overlap=6, most_wrong=0.2):
+    runs = {d: [(int(v[k]), k) for k in range(len(v)) if k == 0 or v[k] != v[k - 1]] for d, v in prints.items()}
+    where = {d: {} for d in prints}
+    for d, run in runs.items():
+        for v, k in run:
+            where[d].setdefault(v, []).append(k)
+    found = {}
+    for q in queries:
+        for d in prints:
+            votes = Counter(k - own for v, own in runs[q] for k in where[d].get(v, ()))
+            if d == q or not votes:
+                continue
+            n, _, shift = max((n, -abs(s), s) for s, n in votes.items())
+            a, b = prints[q][max(0, -shift) :], prints[d][max(0, shift) :]
+            overlap = min(len(a), len(b))
+            wrong = int(np.bitwise_count(a[:overlap] ^ b[:overlap]).sum())
+            if n >= least_votes and overlap >= least_overlap and wrong <= most_wrong * 32 * overlap:
+                found[q, d] = (shift, n, overlap, wrong)
+    return found
+
+
+def alignments(df):
+    rows = df.collect()
+    found = {(r.query_id, r.doc_id): (r["shift"], r.votes, r.overlap, r.bit_errors) for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+@pytest.mark.parametrize("block", [200, fingerprints.BLOCK])
+def test_fingerprints_find_all_members_of_families(spark, block):
+    r = np.random.default_rng(4)
+    songs = [r.integers(0, 256, 4000).astype(np.uint8) for _ in range(3)]
+    rows = [(10 * s + k, song if k < 4 else np.concatenate([r.integers(0, 256, 320).astype(np.uint8), song[: 3000 + 100 * k]])) for s, song in enumerate(songs) for k in range(7)]
+    prints = fingerprints.fingerprints(spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in rows], "doc_id long, pcm binary"))
+    found = alignments(fingerprints.align(prints, prints.where("doc_id in (3, 12, 13, 25)"), block=block))
+    assert found == brute_alignments({k: fingerprints.integers(x) for k, x in rows}, [3, 12, 13, 25])
+    assert {d for q, d in found if q == 3} == {0, 1, 2, 4, 5, 6}
+    assert {d for q, d in found if q == 12} == {10, 11, 13, 14, 15, 16}
+
+
+def test_fingerprints_match_brute_force_on_a_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    prints = {r.doc_id: fingerprints.integers(np.frombuffer((r.text or "").encode(), np.uint8)) for r in rows}
+    assert alignments(fingerprints.op1_chroma_fingerprints(spark, "/root/testdata/sf0.01")) == brute_alignments(prints, [d for d in prints if d % 100 == 0])
