@@ -4,8 +4,8 @@ A text is read as its lower-cased words, each after a space mark, and one end.
 The pieces of an existing subword vocabulary, weighted by log probabilities,
 span a lattice over each word; the forward recursion in log space adds up all
 segmentations, so a text's score is its marginal probability and not that of
-one best cut. A word that is frequent in the training texts has one more edge,
-from its first place to its last. Pieces never cross words, so words can be
+one best cut. A word seen more than once in the training texts has one more
+edge, from its first place to its last. Pieces never cross words, so words can be
 looked up once.
 
 The vocabulary's own scores (ranks of merges, read as a Zipf law) are where the
@@ -220,8 +220,9 @@ def lattice_scores(docs: DataFrame, train: DataFrame, model: str, *, head: int =
 
     The most frequent words (those with a higher count than the word at place
     `head`, so at most that many) and their counts go to every task: a table of
-    that bound. Other words have no edge of their own, and for base_score the
-    other words of each text are joined with their counts.
+    that bound. The other words of each text, with their pieces' log probability,
+    are joined with their counts, which gives their part of base_score and, with
+    the edge of each word seen more than once, of score: `head` moves work only.
     """
     spark = docs.sparkSession
     docs, train = id_text(docs, id_col, text_col), id_text(train, id_col, text_col)
@@ -238,8 +239,9 @@ def lattice_scores(docs: DataFrame, train: DataFrame, model: str, *, head: int =
     base_of_top = np.log10(top_counts + 0.5)
     edge_of_top = np.log((top_counts - discount) / max(1, n_all))
     end = ends / n_all if n_all else 0.5
-    rest = math.log(max(1e-12, 1 - end - float(np.exp(edge_of_top).sum())))
-    weighed = counts.select("word", F.when(F.col("c") > cut, F.lit(discount)).otherwise(F.col("c")).cast("double").alias("c"))
+    more, repeats = counts.where("c > 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    rest = math.log(max(1e-12, 1 - end - (more - discount * repeats) / max(1, n_all)))
+    weighed = counts.select("word", F.when(F.col("c") > 1, F.lit(discount)).otherwise(F.col("c")).cast("double").alias("c"))
     logp = fit_weights(weighed, pieces, start, rounds) if n_words else start
     shared = spark.sparkContext.broadcast((top_words, base_of_top, edge_of_top, pieces, logp))
 
@@ -281,9 +283,9 @@ def lattice_scores(docs: DataFrame, train: DataFrame, model: str, *, head: int =
                     marginal[new[k]] = lattice.forward([new_words[i] for i in k], logp)[0] + rest
                 own = new[new < len(edge_of_top)]
                 marginal[own] = np.logaddexp(marginal[own], edge_of_top[own])
-                total = np.bincount(doc, weights=marginal[idx], minlength=len(split)).astype(float) + math.log(end)
                 b = base[idx]
                 tail = np.isnan(b)
+                total = np.bincount(doc[~tail], weights=marginal[idx[~tail]], minlength=len(split)).astype(float) + math.log(end)
                 known = np.bincount(doc[~tail], minlength=len(split))
                 sums = np.bincount(doc[~tail], weights=b[~tail], minlength=len(split)).astype(float)
                 pair, tf = np.unique(doc[tail] * len(words) + idx[tail], return_counts=True)
@@ -296,25 +298,32 @@ def lattice_scores(docs: DataFrame, train: DataFrame, model: str, *, head: int =
                         pa.array(size + 1),
                         pa.array(known.astype(np.int64)),
                         pa.array(sums),
-                        pa.array(total / math.log(10)),
+                        pa.array(total),
                         pa.ListArray.from_arrays(offsets, pa.array([words[i] for i in pair % max(1, len(words))], pa.binary())),
                         pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, pa.array(marginal[pair % max(1, len(words))])),
                     ],
-                    ["row", "doc_id", "n_tokens", "known", "sums", "score", "words", "tf"],
+                    ["row", "doc_id", "n_tokens", "known", "sums", "total", "words", "tf", "pieces"],
                 )
                 row += len(split)
 
-    scored = stored(docs.mapInArrow(score, "row long, doc_id long, n_tokens long, known long, sums double, score double, words array<binary>, tf array<int>"))
-    tail = scored.select("row", F.explode(F.arrays_zip("words", "tf")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.tf").alias("tf"))
+    scored = stored(docs.mapInArrow(score, "row long, doc_id long, n_tokens long, known long, sums double, total double, words array<binary>, tf array<int>, pieces array<double>"))
+    tail = scored.select("row", F.explode(F.arrays_zip("words", "tf", "pieces")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.tf").alias("tf"), F.col("w.pieces").alias("pieces"))
+    edge = F.log((F.col("c") - discount) / max(1, n_all))
+    either = F.greatest(edge, "pieces") + F.log1p(F.exp(-F.abs(edge - F.col("pieces"))))
     added = (
         tail.join(counts, "word", "left")
-        .select("row", "tf", F.coalesce("c", F.lit(0)).alias("c"))
+        .select("row", "tf", "pieces", F.coalesce("c", F.lit(0)).alias("c"))
         .groupBy("row")
-        .agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("tail_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 0.5)).alias("tail_sums"))
+        .agg(
+            F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("tail_known"),
+            F.sum(F.col("tf") * F.log10(F.col("c") + 0.5)).alias("tail_sums"),
+            F.sum(F.col("tf") * F.when(F.col("c") > 1, either).otherwise(F.col("pieces"))).alias("tail_total"),
+        )
     )
     zero = F.lit(0)
     return (
-        scored.drop("words", "tf")
+        scored.drop("words", "tf", "pieces")
         .join(added, "row", "left")
         .select(
             "doc_id",
@@ -322,7 +331,7 @@ def lattice_scores(docs: DataFrame, train: DataFrame, model: str, *, head: int =
             (F.col("known") + F.coalesce("tail_known", zero) + (1 if ends else 0)).cast("long").alias("n_known"),
             F.lit(n_all).cast("long").alias("train_tokens"),
             (F.col("sums") + F.coalesce("tail_sums", F.lit(0.0)) + math.log10(ends + 0.5) - F.col("n_tokens") * below).alias("base_score"),
-            "score",
+            ((F.col("total") + F.coalesce("tail_total", F.lit(0.0))) / math.log(10)).alias("score"),
         )
     )
 

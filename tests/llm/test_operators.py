@@ -222,6 +222,16 @@ def test_lattice_base_score_matches_brute_force(spark, head):
     assert lattice.lattice_scores(empty(spark), empty(spark), lattice.default_model(), rounds=1).count() == 0
 
 
+def test_lattice_score_is_the_same_for_any_head(spark):
+    rows = [(k, " ".join(f"word{j}" for j in range(1, 40) for _ in range(1 + 20 // j) if (j + k) % 3)) for k in range(12)] + [(12, "word1 word39 neverseen neverseen once"), (13, ""), (None, "word2 once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = docs.where("doc_id % 2 = 0 or doc_id is null")
+    few, many = ({r.doc_id: r for r in lattice.lattice_scores(docs, train, lattice.default_model(), head=head, rounds=1).collect()} for head in (3, 100_000))
+    assert few.keys() == many.keys() and len(few) == 15
+    for k in few:
+        assert np.isclose(few[k].score, many[k].score, rtol=1e-9) and np.isclose(few[k].base_score, many[k].base_score, rtol=1e-9)
+
+
 def test_gradients_match_differences():
     r = np.random.default_rng(1)
     net = toxicity.Network({b"aa": 1, b"bb": 2})
