@@ -72,42 +72,43 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, size: int = 2048,
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
-        kind, wide = encoder.type, np.dtype("<u4")
+        wide = np.dtype("<u4")
         base = TaskContext.get().partitionId() * TASK_STRIDE
         windows, full = Windows(size, open_windows), 0
         done: list[tuple] = []
 
         def piece(doc, ids, start, length, sequence, offset):
-            raw = ids[start : start + length].astype(wide).tobytes()
-            return (doc, start, length, zlib.crc32(raw), len(ids), sequence, offset) + ((raw,) if keep_ids else ())
+            part = ids[start : start + length].astype(wide)
+            return (doc, start, length, zlib.crc32(part), len(ids), sequence, offset, *([part.tobytes()] if keep_ids else []))
 
         def out(rows: list[tuple], opened: bool) -> pa.RecordBatch:
-            rows = [(*r[:7], opened, *r[7:]) for r in rows]
-            return pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow)
+            columns = list(zip(*rows))
+            arrays = [pa.array(x, pa.int64()) for x in columns[:7]] + [pa.array([opened] * len(rows))]
+            return pa.RecordBatch.from_arrays(arrays + [pa.array(x, pa.binary()) for x in columns[7:]], names)
 
         names = [x.split()[0] for x in schema.split(", ")]
-        arrow = pa.schema([(n, pa.binary() if n == "ids" else pa.bool_() if n == "open" else pa.int64()) for n in names])
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(np.frombuffer(encoder.encode_one(text.as_py()), kind), kind.type(end_id))
-                at, n = 0, len(ids)
-                while n - at >= size:
-                    done.append(piece(doc, ids, at, size, base + 2 * full, 0))
-                    full, at = full + 1, at + size
-                while at < n:
-                    if spot := windows.place(n - at):
-                        window, offset = spot
-                        windows.held[window].append(piece(doc, ids, at, n - at, base + 2 * window + 1, offset))
-                        if offset + n - at == size:
-                            done += windows.held.pop(window)
-                        break
-                    window, free = windows.fullest()
-                    done += windows.held.pop(window)
-                    done.append(piece(doc, ids, at, free, base + 2 * window + 1, size - free))
-                    at += free
-                if len(done) >= 4000:
-                    yield out(done, False)
-                    done = []
+            docs = batch.column(0).to_pylist()
+            for first, last, flat, begin in encoder.ended(batch.column(1), end_id):
+                for doc, low, high in zip(docs[first:last], begin[:-1].tolist(), begin[1:].tolist()):
+                    ids, at, n = flat[low:high], 0, high - low
+                    while n - at >= size:
+                        done.append(piece(doc, ids, at, size, base + 2 * full, 0))
+                        full, at = full + 1, at + size
+                    while at < n:
+                        if spot := windows.place(n - at):
+                            window, offset = spot
+                            windows.held[window].append(piece(doc, ids, at, n - at, base + 2 * window + 1, offset))
+                            if offset + n - at == size:
+                                done += windows.held.pop(window)
+                            break
+                        window, free = windows.fullest()
+                        done += windows.held.pop(window)
+                        done.append(piece(doc, ids, at, free, base + 2 * window + 1, size - free))
+                        at += free
+                    if len(done) >= 4000:
+                        yield out(done, False)
+                        done = []
         if done:
             yield out(done, False)
         if rest := [p for held in windows.held.values() for p in held]:

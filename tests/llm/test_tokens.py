@@ -1,15 +1,17 @@
 """Packing and token files against the tokenizers library itself."""
 
+import random
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from quillspark.llm.common import shared_dir
 from quillspark.llm.packing import pack
-from quillspark.llm.token_files import PerfectHash, read_token_files, write_token_files
+from quillspark.llm.token_files import Shard, hash_blocks, numbers, read_token_files, shard_bytes, write_token_files
 from quillspark.llm.token_ids import Encoder, default_path
 
 from .cases import awkward, empty
@@ -26,10 +28,16 @@ def crc(ids):
 
 def test_encoder_equals_library():
     texts = ["", " ", "a", " a", "a ", "a  b", "it's 'quoted' don't", "x\ny", "x.\nYes, no!\n\nz", "é à 漢字 1,234.5", "tab\tx y", "<|endoftext|> x", "a\x1c b", "word.\nnext; b", "a.b c_d"]
-    e = Encoder(default_path())
-    assert [np.frombuffer(x, e.type).tolist() for x in e.encode(texts)] == library_ids(texts)
-    small = Encoder(default_path(), keep=2)
-    assert small.encode(texts) == e.encode(texts)
+    r = random.Random(5)
+    signs = ["a", "b", "'", "s", "ll", " ", " ", "\n", "\t", "1", ",", "!", "é", "×", "漢", "\x0b", "\x1c"]
+    texts += ["".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    want = library_ids(texts)
+    for e in (Encoder(default_path()), Encoder(default_path(), bits=4)):
+        got = []
+        for column in (pa.array([*texts[:40], None]), pa.array(texts[40:])):
+            for a, b, ids, begin in e.slices(column):
+                got += [ids[begin[k] : begin[k + 1]].tolist() for k in range(b - a)]
+        assert got.pop(40) == [] and got == want
 
 
 @pytest.mark.parametrize("open_windows,parts", [(1, 3), (4, 5), (64, 40)])
@@ -71,8 +79,26 @@ def test_pack_awkward_rows(spark):
 
 def test_perfect_hash_is_minimal_and_perfect():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 20000))
-    h = PerfectHash.from_bytes(memoryview(PerfectHash.build(keys).to_bytes()))
-    assert sorted(h.numbers(keys)) == list(range(len(keys)))
+    levels, blocks = hash_blocks(keys)
+    assert sorted(numbers(keys, levels.astype(np.int64), lambda wanted: blocks[wanted])) == list(range(len(keys)))
+
+
+def test_a_lookup_reads_little_of_a_shard():
+    keys, kind = np.arange(0, 300_000, 3), np.dtype("<u2")
+    raw = b"".join(shard_bytes(keys, [np.full(50, k % 60_000, kind).tobytes() for k in keys.tolist()], kind))
+    shard = Shard(pa.BufferReader(raw))
+    assert [(s, len(i), int(i[0])) for _, s, i in shard.records(np.array([60_003, 60_004]))] == [(20_001 * 50, 50, 3)]
+    assert shard.read.bytes_read < 20_000 < len(raw) / 500
+    assert sum(1 for _ in Shard(pa.BufferReader(raw)).records(keys[::-1].copy())) == len(keys)
+
+
+def test_rows_of_one_key_may_fill_many_shards(spark):
+    rows = [(7, f"text {k}") for k in range(40)] + [(5, "five"), (9, "nine"), (9, "nine")]
+    folder = f"file://{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    manifest = write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), folder, default_path(), shard_ids=20)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in read_token_files(spark.createDataFrame([(7,), (5,), (9,), (8,), (7,)], "doc_id long"), folder, manifest).collect())
+    assert manifest.count() > 5 and [d for _, d, _ in got] == [5] + [7] * 40 + [9] * 2
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:]))
 
 
 @pytest.mark.parametrize("shard_ids", [1, 5000, 1 << 23])
