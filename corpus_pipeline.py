@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import crc_bucket, documents, stored
 from quillspark.llm.decontamination import contained_items
-from quillspark.llm.ngram_join import jaccard_components
+from quillspark.llm.ngram_join import one_of_each
 from quillspark.llm.packing import pack
 from quillspark.llm.suffix_dedup import remove_repeats
 from quillspark.llm.token_ids import default_path
@@ -31,11 +31,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays,
-    and of repeated rows of an id one."""
-    copies = jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
-    named = without_ids(docs.where("doc_id is not null"), copies).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Of each group of near duplicates one row stays, that with the smallest
+    id; rows with null ids and rows of one id with different texts count as
+    documents of their own. Rows without words stay."""
+    return one_of_each(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

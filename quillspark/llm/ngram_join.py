@@ -10,17 +10,20 @@ members only if the overlap with that union can reach the threshold.
    look rare first, then by hash. Any fixed order gives the same links; this one
    keeps tokens of common passages out of the prefixes.
 2. Sets x and y with |x & y| >= 0.8 |x u y| share a token among the first
-   |x| - ceil(0.8 |x|) + 1 of x and those of y. Only prefix tokens that two
-   classes have are kept (a Bloom filter of fixed size spares the rest the way).
-3. Groups: in each of a few rounds every prefix token names one leader, and
-   classes are compared with the leaders of their tokens in other groups.
-   Linked groups become one. Thousands of near copies meet this way with about
-   one comparison each.
+   |x| - ceil(0.8 |x|) + 1 of x and those of y. Classes with a prefix token that
+   another class has too are written once, with their tokens and with a bitmap of
+   these of about eight bits a token. A bit of x that y lacks is a token of x
+   outside y, so two bitmaps bound the overlap, at a tenth of the sets' size.
+3. Groups: in each of a few rounds every prefix token names one leader, and each
+   group tries the leader that most of its prefix tokens name. Linked groups
+   become one. Thousands of near copies meet this way with about one comparison
+   each.
 4. Matrix: classes and other groups that share a prefix token are the pairs that
-   may still link. A group's row is the union of its members' tokens as a bitmap.
-   A bit of the class that the union lacks is a token outside it, so the overlap
-   is at most the class's size less these. Groups that qualify are opened and
-   every size-compatible member is compared exactly. Links join groups.
+   may still link. A group's row is the union of its members' bitmaps; only
+   groups whose union lets the overlap reach the threshold are opened, and there
+   a class meets the bitmaps of all members of fitting size.
+5. Pairs that the bitmaps allow are compared token by token: first the likeliest
+   one of each two groups, then all that are left between groups still apart.
 
 So components are exact but for 64-bit hashes: no band, cap or sample decides.
 Null, empty or white texts have the empty set and link with nothing. Documents
@@ -57,88 +60,87 @@ def needed(n):
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, cid), and rows of the count vector (chunk, counts)."""
+    """Rows of documents (doc_id, key, n, cid), and rows of the count vector (chunk, counts)."""
+    kind = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def scan(batches):
         total = np.zeros(COUNTERS, np.int64)
-        kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
-            for a, b, raw, offsets in text_slices(batch.column(1)):
+            for a, b, raw, offsets in text_slices(batch.column(2)):
                 tokens, begin = shingle_sets(raw, offsets, WIDTH)
                 total += np.bincount((tokens & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 n = np.diff(begin)
                 cid = [set_key(tokens[begin[k] : begin[k + 1]]) if n[k] else None for k in range(b - a)]
                 none = pa.nulls(b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(cid, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), pa.array(cid, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=kind)
         rows = list(vector_rows(total, CHUNK))
         none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=kind)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=kind)
 
-    return docs.mapInArrow(scan, "doc_id long, n long, cid long, chunk int, counts binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(scan, "doc_id long, key long, n long, cid long, chunk int, counts binary")
 
 
 def prefixes(docs: DataFrame, order, only=None) -> DataFrame:
-    """t, cid, n for each prefix token t of each set; only: a filter of tokens."""
+    """t, cid for each prefix token t of each set; with a filter of tokens one row
+    per class that has some of them: cid, n, ts, tokens (ascending), bits."""
+    schema = "cid long, n long, ts array<long>, tokens binary, bits binary" if only else "t long, cid long"
 
     def scan(batches):
         rank, kept = order.value, only.value if only else None
         seen: set[int] = set()
         for batch in batches:
-            for _, _, raw, offsets in text_slices(batch.column(1)):
+            for _, _, raw, offsets in text_slices(batch.column(0)):
                 tokens, begin = shingle_sets(raw, offsets, WIDTH)
                 freq = rank[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                out, cids, sizes = [], [], []
+                out, cids, sets = [], [], []
                 for k in range(len(begin) - 1):
-                    a, b = begin[k], begin[k + 1]
-                    n = int(b - a)
-                    if not n or (key := set_key(tokens[a:b])) in seen:
+                    own = tokens[begin[k] : begin[k + 1]]
+                    n = len(own)
+                    if not n or (key := set_key(own)) in seen:
                         continue
                     seen.add(key)
-                    p = n - needed(n) + 1
-                    t = tokens[a:b][np.lexsort((tokens[a:b], freq[a:b]))[:p]]
+                    p, f = n - needed(n) + 1, freq[begin[k] : begin[k + 1]]
+                    # The p first by frequency, then by hash; own ascends, so a stable choice will do.
+                    edge = np.partition(f, p - 1)[p - 1]
+                    low = np.flatnonzero(f < edge)
+                    t = own[np.concatenate([low, np.flatnonzero(f == edge)[: p - len(low)]])]
                     if kept is not None:
                         t = t[kept.has(t)]
+                        if not len(t):
+                            continue
+                        sets.append(own)
                     out.append(t)
-                    cids.append(np.full(len(t), key))
-                    sizes.append(np.full(len(t), n))
+                    cids.append(key)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(sizes))], ["t", "cid", "n"])
+                if not out:
+                    continue
+                size = np.fromiter(map(len, out), np.int64, len(out))
+                ts = pa.array(np.concatenate(out).view(np.int64))
+                if kept is None:
+                    yield pa.RecordBatch.from_arrays([ts, pa.array(np.repeat(np.array(cids, np.int64), size))], ["t", "cid"])
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), ts)
+                    bits = [bitmap(x, bitmap_bits(len(x))).tobytes() for x in sets]
+                    yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), lists, pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(bits, pa.binary())], ["cid", "n", "ts", "tokens", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "t long, cid long, n long")
+    return docs.select("text").mapInArrow(scan, schema)
 
 
-def token_sets(docs: DataFrame, only) -> DataFrame:
-    """cid, n, tokens (ascending, as bytes) of the classes that may have links."""
+def sets_of(ids: DataFrame, held: DataFrame) -> DataFrame:
+    """cid, tokens of the classes with the given ids (one column)."""
+    wanted = held.sparkSession.sparkContext.broadcast(Membership.of(ids))
 
     def scan(batches):
-        kept = only.value
-        seen: set[int] = set()
+        filter_ = wanted.value
         for batch in batches:
-            for _, _, raw, offsets in text_slices(batch.column(1)):
-                tokens, begin = shingle_sets(raw, offsets, WIDTH)
-                keys = np.array([set_key(tokens[begin[k] : begin[k + 1]]) for k in range(len(begin) - 1)], np.int64)
-                rows = []
-                for k in np.flatnonzero(kept.has(keys) & (np.diff(begin) > 0)):
-                    if int(keys[k]) not in seen:
-                        seen.add(int(keys[k]))
-                        rows.append((int(keys[k]), int(begin[k + 1] - begin[k]), tokens[begin[k] : begin[k + 1]].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["cid", "n", "tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(scan, "cid long, n long, tokens binary")
+            yield batch.filter(pa.array(filter_.has(batch.column(0).to_numpy()))) if batch.num_rows else batch
 
+    return held.select("cid", "tokens").mapInArrow(scan, "cid long, tokens binary").groupBy("cid").agg(F.any_value("tokens").alias("tokens"))
 
-def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """cid, n, tokens of the classes with the given ids (one column), made from the
-    texts again: that reads more and stores less than keeping all sets."""
-    held = docs.sparkSession.sparkContext.broadcast(Membership.of(ids))
-    return token_sets(docs, held).groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens"))
 
-
-def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, x, y) of classes and their groups, the groups (x, y) of those that link."""
+def linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Of pairs (a, b, x, y) of classes and their groups, the groups (a, b) of those that link."""
 
     def compare(batches):
         for batch in batches:
@@ -151,13 +153,32 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 80 * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = stored(pairs)
-    own = sets_of(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))), docs)
+    own = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")), held)
     one = own.select(F.col("cid").alias("a"), F.col("tokens").alias("s"))
     two = own.select(F.col("cid").alias("b"), F.col("tokens").alias("t"))
     return pairs.join(one, "a").join(two, "b").select("x", "y", "s", "t").mapInArrow(compare, "a long, b long").distinct()
 
 
+def allowed(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, x, y, n, m, p, q) with sizes and bitmaps, those whose
+    overlap may reach the threshold, and by how many tokens: a, b, x, y, spare."""
+
+    def scan(batches):
+        for batch in batches:
+            spare = []
+            for n, m, p, q in zip(*(batch.column(k) for k in range(4, 8))):
+                n, m = n.as_py(), m.as_py()
+                p, q = np.frombuffer(p.as_buffer(), np.uint8), np.frombuffer(q.as_buffer(), np.uint8)
+                size = 8 * min(len(p), len(q))
+                p, q = folded(p, size), folded(q, size)
+                most = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+                spare.append(9 * most - 4 * (n + m))  # 0 or more where the Jaccard similarity may be 0.8
+            spare = pa.array(spare, pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], spare], ["a", "b", "x", "y", "spare"]).filter(pa.array(spare.to_numpy() >= 0))
+
+    return pairs.select("a", "b", "x", "y", "n", "m", "p", "q").mapInArrow(scan, "a long, b long, x long, y long, spare long")
+
+
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(bits, bool)
     out[(mixed(tokens) & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -177,8 +198,7 @@ def folded(packed: np.ndarray, bits: int) -> np.ndarray:
 
 
 def matrix_parts(members: DataFrame) -> DataFrame:
-    """From (grp, cid, n, tokens): grp, low and high size, bits, union bitmap, as
-    one row per task and group; parts are joined by unions()."""
+    """From (grp, n, bits) of classes: grp, low and high size, union bitmap, as one row per task and group."""
 
     def scan(batches):
         rows: dict[int, list] = {}
@@ -189,13 +209,13 @@ def matrix_parts(members: DataFrame) -> DataFrame:
 
         held = 0
         for batch in batches:
-            for grp, n, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                own = bitmap(np.frombuffer(tokens.as_buffer(), np.uint64), bitmap_bits(n))
+            for grp, n, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = np.frombuffer(own.as_buffer(), np.uint8)
                 low, high, old = rows.get(grp, (n, n, None))
                 if old is not None:
                     old = np.frombuffer(old, np.uint8)
-                    bits = 8 * min(len(old), len(own))
-                    own = folded(own, bits) | folded(old, bits)
+                    size = 8 * min(len(old), len(own))
+                    own = folded(own, size) | folded(old, size)
                 rows[grp] = (min(low, n), max(high, n), own.tobytes())
                 held += len(own)
                 if held > 32_000_000:
@@ -203,82 +223,111 @@ def matrix_parts(members: DataFrame) -> DataFrame:
                     rows, held = {}, 0
         yield out()
 
-    return members.select("grp", "n", "tokens").mapInArrow(scan, "grp long, low long, high long, bitmap binary")
+    return members.select("grp", "n", "bits").mapInArrow(scan, "grp long, low long, high long, bitmap binary")
 
 
 def qualifying(queries: DataFrame) -> DataFrame:
-    """Of rows (cid, grp, n, tokens, low, high, bitmap) with a part of the group's
+    """Of rows (cid, grp, n, low, high, bits, bitmap) with a part of the group's
     matrix row, those where the overlap with the union can reach what n needs.
     Parts of a group are bounded one by one: each is the union of some members."""
 
     def scan(batches):
         for batch in batches:
             keep = []
-            for n, low, high, tokens, union in zip(*(batch.column(k) for k in range(2, 7))):
+            for n, low, high, own, union in zip(*(batch.column(k) for k in range(2, 7))):
                 n, low, high = n.as_py(), low.as_py(), high.as_py()
-                union = np.frombuffer(union.as_buffer(), np.uint8)
-                bits = min(8 * len(union), bitmap_bits(n))
-                own = bitmap(np.frombuffer(tokens.as_buffer(), np.uint64), bits)
-                outside = int(np.bitwise_count(own & ~folded(union, bits)).sum())
-                keep.append(5 * low <= n * 6.25 and 4 * n <= 5 * high and n - outside >= needed(max(n, low)))
+                own, union = np.frombuffer(own.as_buffer(), np.uint8), np.frombuffer(union.as_buffer(), np.uint8)
+                size = 8 * min(len(own), len(union))
+                outside = int(np.bitwise_count(folded(own, size) & ~folded(union, size)).sum())
+                keep.append(4 * low <= 5 * n and 4 * n <= 5 * high and n - outside >= needed(max(n, low)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["cid", "grp"]).filter(pa.array(keep, pa.bool_()))
 
-    return queries.select("cid", "grp", "n", "low", "high", "tokens", "bitmap").mapInArrow(scan, "cid long, grp long").distinct()
+    return queries.select("cid", "grp", "n", "low", "high", "bits", "bitmap").mapInArrow(scan, "cid long, grp long").distinct()
 
 
 def compatible(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def jaccard_components(docs: DataFrame, *, leader_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs."""
+def components(docs: DataFrame, leader_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, key, text. Its rows as (doc_id, key, n, cid), and the label
+    of the component of each class (cid, label) that may have links."""
     context = docs.sparkSession.sparkContext
-    docs = id_text(docs, id_col, text_col)
     profile = stored(profiles(docs))
-    own = profile.where("n is not null").select("doc_id", "n", "cid")
     counts = added_vectors(profile.where("chunk is not null").select("chunk", "counts"), COUNTERS, CHUNK)
     order = context.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
-    shared = prefixes(docs, order).groupBy("t").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("t")
-    shared = stored(shared)
+    shared = stored(prefixes(docs, order).groupBy("t").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("t"))
     alive = context.broadcast(Membership.of(shared))
-    rows = stored(prefixes(docs, order, alive).distinct().join(shared, "t"))
+    held = stored(prefixes(docs, order, alive))
+    rows = stored(held.select("cid", "n", F.explode("ts").alias("t")).distinct().join(shared, "t"))
+    bits = stored(held.groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")))
     labels = stored(rows.select(F.col("cid").alias("id"), F.col("cid").alias("label")).distinct())
 
     def labelled() -> DataFrame:
         return rows.join(labels.select(F.col("id").alias("cid"), F.col("label").alias("grp")), "cid")
 
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, x, y) that the bitmaps allow."""
+        one = bits.select(F.col("cid").alias("a"), "n", F.col("bits").alias("p"))
+        two = bits.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("q"))
+        return stored(allowed(pairs.join(one, "a").join(two, "b")))
+
     for k in range(leader_rounds):
         now = labelled()
         pick = F.min if k % 2 == 0 else F.max
         leaders = now.groupBy("t").agg(pick(F.struct("grp", "cid", "n")).alias("l"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t", F.col("l.grp").alias("y"), F.col("l.cid").alias("b"), F.col("l.n").alias("m"))
-        pairs = now.join(leaders, "t").where((F.col("grp") != F.col("y")) & compatible("n", "m"))
-        pairs = pairs.select(F.col("cid").alias("a"), "b", F.col("grp").alias("x"), "y").distinct()
-        labels = relabelled(labels, linked(pairs, docs))
+        named = now.join(leaders, "t").where((F.col("grp") != F.col("y")) & compatible("n", "m")).groupBy(F.col("cid").alias("a"), "b", F.col("grp").alias("x"), "y").agg(F.count("*").alias("times"))
+        pairs = named.groupBy("x").agg(F.max(F.struct("times", "a", "b", "y")).alias("p")).select("p.a", "p.b", "x", "p.y")
+        labels = relabelled(labels, linked(bounded(pairs), held))
 
     now = labelled()
     mixed_tokens = now.groupBy("t").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t")
     open_rows = stored(now.join(mixed_tokens, "t"))
     groups = open_rows.groupBy("t", F.col("grp").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     queries = open_rows.join(groups, "t").where((F.col("g") < F.col("grp")) & (F.col("low") * 4 <= F.col("n") * 5) & (F.col("n") * 4 <= F.col("high") * 5))
-    queries = queries.select("cid", "n", F.col("g").alias("grp")).distinct()
+    queries = stored(queries.select("cid", F.col("g").alias("grp")).distinct())
     members = labels.select(F.col("id").alias("cid"), F.col("label").alias("grp"))
-    queries = stored(queries)
-    inside = stored(members.join(queries.select("grp").distinct(), "grp"))
-    sets = stored(sets_of(inside.select("cid").unionByName(queries.select("cid")), docs))
-    matrix = matrix_parts(inside.join(sets, "cid"))
-    opened = stored(qualifying(queries.join(sets.drop("n"), "cid").join(matrix, "grp")))
-    sizes = rows.select("cid", "n").distinct()
-    inside = inside.join(sizes, "cid").select(F.col("cid").alias("b"), "grp", F.col("n").alias("m"))
-    pairs = opened.join(sizes, "cid").join(inside, "grp").where(compatible("n", "m"))
-    pairs = pairs.join(members.withColumnRenamed("grp", "x"), "cid").select(F.col("cid").alias("a"), "b", "x", F.col("grp").alias("y"))
-    labels = relabelled(labels, linked(pairs, docs))
-
-    found = own.join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").select("doc_id", "n", F.coalesce("label", "cid").alias("label"))
+    inside = stored(members.join(queries.select("grp").distinct(), "grp").join(bits, "cid"))
+    asked = queries.join(bits, "cid")
+    opened = stored(qualifying(asked.join(matrix_parts(inside), "grp"))).join(bits, "cid")
+    pairs = opened.join(inside.select("grp", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("q")), "grp").where(compatible("n", "m"))
+    pairs = stored(allowed(pairs.select(F.col("cid").alias("a"), "b", F.lit(0).cast("long").alias("x"), F.col("grp").alias("y"), "n", "m", F.col("bits").alias("p"), "q")))
+
+    def apart() -> DataFrame:
+        """Pairs whose classes are in different groups now."""
+        one = labels.select(F.col("id").alias("a"), F.col("label").alias("x"))
+        two = labels.select(F.col("id").alias("b"), F.col("label").alias("y"))
+        return pairs.select("a", "b", "spare").join(one, "a").join(two, "b").where("x <> y")
+
+    likeliest = apart().groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(F.struct("spare", "a", "b")).alias("p"))
+    labels = relabelled(labels, linked(stored(likeliest.select("p.a", "p.b", "x", "y")), held))
+    labels = relabelled(labels, linked(stored(apart().select("a", "b", "x", "y")), held))
+    return profile.where("n is not null").select("doc_id", "key", "n", "cid"), labels.select(F.col("id").alias("cid"), "label")
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs."""
+    rows, labels = components(id_text(docs, id_col, text_col).withColumn("key", F.lit(None).cast("long")), **options)
+    found = rows.join(labels, "cid", "left").select("doc_id", "n", F.coalesce("label", "cid").alias("label"))
     smallest = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return found.join(smallest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row with
+    the smallest id (null ids last, then by a 64-bit hash of the text), once.
+    Rows without words all stay."""
+    named = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__key"))
+    rows, labels = components(named.select(F.col("__id").alias("doc_id"), F.col("__key").alias("key"), F.col(text_col).cast("string").alias("text")), **options)
+    found = rows.where("n > 0").join(labels, "cid", "left").select("doc_id", "key", F.coalesce("label", "cid").alias("label"))
+    best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    chosen = stored(best.select(F.col("best.doc_id").alias("i"), F.col("best.key").alias("k")).distinct())
+    wordless = stored(rows.where("n = 0").select(F.col("key").alias("k")).distinct())
+    kept = named.join(chosen, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__key") == F.col("k")), "left_semi").dropDuplicates(["__id", "__key"])
+    return kept.unionByName(named.join(wordless, F.col("__key") == F.col("k"), "left_semi")).select(docs.columns)
+
+
 def op5_token_group_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 

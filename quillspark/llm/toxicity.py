@@ -1,17 +1,22 @@
 """Toxicity by a bidirectional gated recurrent network with attention.
 
 A word's inputs are the learned vector of the word, if at least three training
-documents have it, with a score of how much oftener toxic documents have it, and
-the mean of the learned vectors of its byte n-grams (hashed to a fixed table).
-While training, the score comes from the other folds of the documents, so the
-network learns how far to trust it. A recurrent pass in each direction reads a window, attention weighs
-its places, and the pooled state gives the window's logit. A document is
-scored on all its overlapping windows and gets the largest. Everything is numpy.
-
-Training is on the driver, on at most `most` labelled documents of each kind
-(those with the smallest hashes of their ids) and at most `windows` windows of
-each. A toxic document need not be toxic everywhere, so after a first phase
-only its highest windows are trained as toxic.
+documents have it, the mean of the learned vectors of its byte n-grams (hashed
+to a fixed table), and a score of how much oftener toxic documents have the
+word. While training, that score comes from the other folds of the documents, so
+the network learns how far to trust it; and now and then a known word is trained
+as an unknown one, so the n-grams learn to do without. All inputs are live in
+every batch; without the score (`word_score=False`) the network still learns,
+with fewer labels less well. A recurrent pass in each direction
+reads a window, attention weighs its places, and the pooled state gives the
+window's logit. A document is scored on all its overlapping windows and gets
+the largest. Everything is numpy.
+
+Training is on the driver, on all windows of at most `most` labelled documents
+of each kind (those with the smallest hashes of their ids). A toxic document
+need not be toxic everywhere, so after a first phase only its highest windows
+are trained as toxic. A fifth of the documents is kept aside; it straightens
+the scores.
 
 Null, empty and white texts are scored as one empty window. Labels that are
 null are left out; the larger of repeated labels counts. Without labels of both
@@ -20,7 +25,7 @@ kinds every score is the share of label 1, or 0.5.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -75,7 +80,7 @@ class Network:
         self.known, self.slope, self.shift = known, 1.0, 0.0
         self.lean = np.zeros(len(known) + 1, np.float32)
         self.w = {
-            "word": f(len(known) + 1, d, k=0.2), "gram": f(GRAM_ROWS, d, k=0.3), "in": f(2 * d + 1, 6 * h, k=0.4), "in0": np.zeros(6 * h, np.float32),
+            "word": f(len(known) + 1, d, k=0.1), "gram": f(GRAM_ROWS, d, k=0.3), "in": f(2 * d + 1, 6 * h, k=0.4), "in0": np.zeros(6 * h, np.float32),
             "fore": f(h, 3 * h, k=0.3), "back": f(h, 3 * h, k=0.3), "att": f(2 * h, attention, k=0.4), "att0": np.zeros(attention, np.float32),
             "attv": f(attention, k=0.5), "out": f(2 * h, k=0.5), "out0": np.full(1, -1.0, np.float32),
         }
@@ -84,13 +89,13 @@ class Network:
         own, word, row = word_inputs(words, self.known)
         return own, word, row, self.lean[own]
 
-    def project(self, inputs, learned: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def project(self, inputs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The gates' inputs of each word, its features, and its n-grams' number."""
         own, word, row, lean = inputs
         n = np.maximum(np.bincount(word, minlength=len(own)), 1).astype(np.float32)
         gram = self.w["gram"]
         mean = np.stack([np.bincount(word, weights=gram[row, k], minlength=len(own)) for k in range(gram.shape[1])], 1).astype(np.float32) / n[:, None]
-        features = np.concatenate([self.w["word"][own] * np.float32(learned), mean * np.float32(learned), lean[:, None]], 1)
+        features = np.concatenate([self.w["word"][own], mean, lean[:, None]], 1)
         return features @ self.w["in"] + self.w["in0"], features, n
 
     def _pass(self, x: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: list | None) -> np.ndarray:
@@ -143,10 +148,10 @@ class Network:
             dh = g * z + da @ u.T
         return dx, du
 
-    def gradients(self, inputs, places: np.ndarray, y: np.ndarray, weight: np.ndarray, learned: float = 1.0) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, inputs, places: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         w, h = self.w, self.hidden
         own, word, row, _ = inputs
-        projected, features, n = self.project(inputs, learned)
+        projected, features, n = self.project(inputs)
         k: dict = {}
         logit = self.forward(projected, places, k)
         p = sigmoid(logit)
@@ -170,7 +175,7 @@ class Network:
         dp = np.zeros_like(projected)
         np.add.at(dp, places.T[here], dx[here])
         g["in"], g["in0"] = features.T @ dp, dp.sum(0)
-        df = (dp @ w["in"].T) * np.float32(learned)
+        df = dp @ w["in"].T
         half = w["word"].shape[1]
         g["word"] = np.zeros_like(w["word"])
         np.add.at(g["word"], own, df[:, :half])
@@ -191,68 +196,68 @@ def windows_of(n: int, window: int = WINDOW, stride: int = STRIDE) -> np.ndarray
     return np.arange(0, max(1, n - (window - stride)), stride)
 
 
-def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, batch: int = 256, rate: float = 0.02, decay: float = 3.0, dropped: float = 0.1, least_docs: int = 3, seed: int = 3) -> Network | Constant:
-    """docs: label, whether it is kept aside, and windows as bytes. Adam on
-    batches of windows, half of them toxic, and two batches in three without the
-    learned vectors, so that these only add to the words' scores; then a logistic fit of the largest
-    logits of the documents kept aside, which puts the share of toxic ones right."""
+def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, batch: int = 256, rate: float = 0.02, decay: float = 3.0, dropped: float = 0.1, unknown: float = 0.5, least_docs: int = 3, word_score: bool = True, seed: int = 3) -> Network | Constant:
+    """docs: label, whether it is kept aside, and words. Adam on batches of
+    windows, half of them toxic; then a logistic fit of the largest logits of
+    the documents kept aside, which puts the share of toxic ones right."""
     number: dict[bytes, int] = {}
     places, of, labels, kept_aside = [], [], [], []
-    for label, apart, windows in docs:
-        for w in windows:
-            row = np.full(WINDOW, -1, np.int64)
-            words = w.split()
-            row[: len(words)] = [number.setdefault(x, len(number)) for x in words]
-            places.append(row)
-            of.append(len(labels))
+    for label, apart, words in docs:
+        at = windows_of(len(words))
+        row = np.full(len(words) + WINDOW, -1, np.int32)
+        row[: len(words)] = [number.setdefault(x, len(number)) for x in words]
+        places.append(row[at[:, None] + np.arange(WINDOW)])
+        of.append(np.full(len(at), len(labels)))
         labels.append(label)
         kept_aside.append(apart)
     labels, aside = np.array(labels, np.int64), np.array(kept_aside, bool)
     if not len(labels) or aside.all() or labels[~aside].min() == labels[~aside].max():
         return Constant(float(labels.mean()) if len(labels) else 0.5)
-    places, of = np.stack(places), np.array(of)
+    places, of = np.concatenate(places), np.concatenate(of)
     words = list(number)
     bare = {w: k for k, w in enumerate(dict.fromkeys(w.strip(EDGE) or w for w in words))}
     as_bare = np.fromiter((bare[w.strip(EDGE) or w] for w in words), np.int64, len(words))
-    seen = (places >= 0) & ~aside[of][:, None]
-    pair = np.unique(np.repeat(of, WINDOW)[seen.ravel()] * len(bare) + as_bare[places[seen]])
-    often = np.bincount(pair % len(bare), minlength=len(bare)) >= max(least_docs, (~aside).sum() // 500)
-    known = {w: k + 1 for k, w in enumerate(w for w, i in bare.items() if often[i])}
-    net, rng = Network(known, seed), np.random.default_rng(seed)
-    own, word, row, _ = net.inputs(words)
+    held = [np.unique(as_bare[part[part >= 0]]) for part in np.split(places, np.flatnonzero(np.diff(of)) + 1)]
+    pair_word, pair_doc = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+    often = np.bincount(pair_word[~aside[pair_doc]], minlength=len(bare)) >= max(least_docs, (~aside).sum() // 500)
+    net, rng = Network({w: k + 1 for k, w in enumerate(w for w, i in bare.items() if often[i])}, seed), np.random.default_rng(seed)
     fold = np.where(aside, FOLDS, np.cumsum(~aside) % FOLDS)
-    row_of = np.fromiter((known.get(w, 0) for w in bare), np.int64, len(bare))
-    leans = np.zeros((FOLDS + 1, len(known) + 1), np.float32)
-    for k in range(FOLDS + 1):
-        part = pair[fold[pair // len(bare)] != k]
-        leans[k] = leaning(row_of[part % len(bare)], labels[part // len(bare)], len(known) + 1, labels[~aside & (fold != k)])
+    leans = np.zeros((FOLDS + 1, len(net.known) + 1), np.float32)
+    row_of = np.fromiter((net.known.get(w, 0) for w in bare), np.int64, len(bare))
+    for k in range(FOLDS + 1 if word_score else 0):
+        others = ~aside & (fold != k)
+        part = others[pair_doc]
+        leans[k] = leaning(row_of[pair_word[part]], labels[pair_doc[part]], len(net.known) + 1, labels[others])
     net.lean = leans[FOLDS]
-    order = np.argsort(word, kind="stable")
-    word, row = word[order], row[order]
-    first = np.searchsorted(word, np.arange(len(own) + 1))
-
-    def inputs_of(numbers: np.ndarray):
-        words, of_fold = numbers // (FOLDS + 1), numbers % (FOLDS + 1)
-        n = first[words + 1] - first[words]
-        take = np.repeat(first[words] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return own[words], np.repeat(np.arange(len(words)), n), row[take], leans[of_fold, own[words]]
+    if words:
+        own, word, row, _ = net.inputs(words)
+        order = np.argsort(word, kind="stable")
+        word, row = word[order], row[order]
+        first = np.searchsorted(word, np.arange(len(own) + 1))
+
+    def inputs_of(numbers: np.ndarray, hidden: float = 0.0):
+        """Inputs of words, whose numbers hold the fold of their document."""
+        if not words:
+            return net.inputs([b""])
+        numbers, of_fold = numbers // (FOLDS + 1), numbers % (FOLDS + 1)
+        n = first[numbers + 1] - first[numbers]
+        take = np.repeat(first[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        seen = own[numbers] * (rng.random(len(numbers)) >= hidden) if hidden else own[numbers]
+        return seen, np.repeat(np.arange(len(numbers)), n), row[take], leans[of_fold, own[numbers]]
 
     places = np.where(places >= 0, places * (FOLDS + 1) + fold[of][:, None], -1)
-
     y = labels[of].astype(np.float32)
-    weight = np.ones(len(y), np.float32)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     positive = np.flatnonzero((y == 1) & ~aside[of])
     negative = np.flatnonzero((y == 0) & ~aside[of])
+    live = positive
     for step in range(steps):
-        if step >= steps // 3 and (step - steps // 3) % max(1, steps // 8) == 0:
+        if step >= steps // 4 and (step - steps // 4) % max(1, steps // 8) == 0:
             z = logits(net, places[positive], inputs_of)
             best = np.full(len(labels), -np.inf)
             np.maximum.at(best, of[positive], z)
-            weight[positive] = z >= np.minimum(best[of[positive]], 2.0)
-        live = positive[weight[positive] > 0]
-        half = batch // 2
-        pick = np.concatenate([rng.choice(live, half), rng.choice(negative, half)])
+            live = positive[z >= np.minimum(best[of[positive]], 2.0)]
+        pick = np.concatenate([rng.choice(live, batch // 2), rng.choice(negative, batch // 2)])
         p = places[pick]
         p[rng.random(p.shape) < dropped] = -1  # words left out at random, against learning by heart
         p = np.take_along_axis(p, np.argsort(p < 0, 1, kind="stable"), 1)
@@ -260,7 +265,7 @@ def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, ba
         if not len(used):
             continue
         local = np.where(p >= 0, np.searchsorted(used, np.maximum(p, 0)), -1)
-        _, g = net.gradients(inputs_of(used), local, y[pick], weight[pick], float(step % 3 == 2))
+        _, g = net.gradients(inputs_of(used, unknown), local, y[pick], np.ones(len(pick), np.float32))
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         lr = rate * min(1.0, (step + 1) / 20) * (0.1 + 0.9 * (1 - step / steps))
         for k, v in net.w.items():
@@ -268,10 +273,11 @@ def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, ba
             m, s = moment[k]
             m += 0.1 * (gk - m)
             s += 0.01 * (gk * gk - s)
-            v -= lr * ((m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-8) + (decay * v if k in ("word", "gram") else 0.0)) * (0.3 if k in ("word", "gram") else 1.0)
+            v -= lr * ((m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.99 ** (step + 1))) + 1e-8) + (decay * v if k in ("word", "gram") else 0.0))
     z = np.full(len(labels), -np.inf)
-    np.maximum.at(z, of, logits(net, places, inputs_of))
+    apart = np.flatnonzero(aside[of])
     if 0 < labels[aside].sum() < aside.sum():
+        np.maximum.at(z, of[apart], logits(net, places[apart], inputs_of))
         net.slope, net.shift = straightened(z[aside], labels[aside])
     return net
 
@@ -313,70 +319,70 @@ def logits(net: Network, places: np.ndarray, inputs_of) -> np.ndarray:
     return np.concatenate(out)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2500, windows: int = 8, aside_windows: int = 48, steps: int = 300) -> Network | Constant:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2500, **options) -> Network | Constant:
     labels = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     kinds = [labels.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     few = F.broadcast(stored(kinds[0].unionByName(kinds[1])))
+    got = id_text(docs).join(few, "doc_id").orderBy("doc_id", "text").limit(2 * most).toArrow()
+    aside = lambda doc: crc32(str(doc).encode()[::-1]) % 5 == 4
+    rows = (r for b in got.to_batches(200) for r in b.to_pylist())
+    return train(((r["label"], aside(r["doc_id"]), words_of(r["text"])) for r in rows), **options)
 
-    def some(batches):
-        for batch in batches:
-            rows = []
-            for doc, text, y in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = words_of(text)
-                at = windows_of(len(words))
-                aside = crc32(str(doc).encode()[::-1]) % 5 == 4
-                at = at[np.unique(np.linspace(0, len(at) - 1, min(len(at), aside_windows if aside else windows)).round().astype(int))]
-                rows.append({"doc_id": doc, "label": y, "aside": aside, "windows": [b" ".join(words[a : a + WINDOW]) for a in at]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("aside", pa.bool_()), ("windows", pa.list_(pa.binary()))]))
 
-    got = id_text(docs).join(few, "doc_id").mapInArrow(some, "doc_id long, label int, aside boolean, windows array<binary>").orderBy("doc_id", "windows").limit(2 * most).toArrow()
-    return train(((r["label"], r["aside"], r["windows"]) for b in got.to_batches(200) for r in b.to_pylist()), steps=steps)
+SCORES = "struct<score:double,n_windows:long,worst_word:long>"
 
 
-def score_rows(docs: DataFrame, net: Network | Constant, *, keep: int = 300_000, text_col: str = "text") -> DataFrame:
+def score_rows(docs: DataFrame, net: Network | Constant, *, keep: int = 200_000, text_col: str = "text") -> DataFrame:
     """row (all columns of docs in one struct), score, n_windows and the worst
-    window's first word, of each row."""
+    window's first word, of each row. Only texts go to Python, once, and three
+    numbers a row come back; `keep` bounds a task's table of words."""
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     if isinstance(net, Constant):
         return rows.select("row", F.lit(net.share).alias("score"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("worst_word"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def score(batches):
+    @F.arrow_udf(SCORES)
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net: Network = shared.value
         number: dict[bytes, int] = {}
-        table = np.zeros((0, 6 * net.hidden), np.float32)
-        for batch in batches:
-            texts = batch.column(1)
-            at = 0
+        table, made = np.zeros((0, 6 * net.hidden), np.float32), 0
+        for texts in batches:
+            if isinstance(texts, pa.ChunkedArray):
+                texts = texts.combine_chunks()
+            at, found = 0, []
             while at < len(texts):
                 split, n = [], 0
                 while at + len(split) < len(texts) and n < 60_000:
                     split.append(words_of(texts[at + len(split)].as_py()))
                     n += len(split[-1])
                 if len(number) > keep:
-                    number, table = {}, table[:0]
+                    number, table, made = {}, table[:0], 0
                 new = list({w for x in split for w in x if w not in number})
                 if new:
-                    number.update(zip(new, range(len(number), len(number) + len(new))))
-                    table = np.concatenate([table, net.project(net.inputs(new))[0]])
+                    number.update(zip(new, range(made, made + len(new))))
+                    if made + len(new) > len(table):
+                        table = np.concatenate([table, np.zeros((max(len(new), len(table) // 2), table.shape[1]), np.float32)])
+                    table[made : made + len(new)] = net.project(net.inputs(new))[0]
+                    made += len(new)
                 first, doc, places = [], [], []
                 for k, x in enumerate(split):
-                    idx = np.full(max(1, len(x)) + WINDOW, -1, np.int64)
-                    idx[: len(x)] = np.fromiter(map(number.__getitem__, x), np.int64, len(x))
+                    idx = np.full(len(x) + WINDOW, -1, np.int32)
+                    idx[: len(x)] = np.fromiter(map(number.__getitem__, x), np.int32, len(x))
                     w = windows_of(len(x))
                     places.append(idx[w[:, None] + np.arange(WINDOW)])
                     first.append(w)
                     doc.append(np.full(len(w), k))
                 doc, first, places = np.concatenate(doc), np.concatenate(first), np.concatenate(places)
                 full = table if len(table) else np.zeros((1, table.shape[1]), np.float32)
-                z = np.concatenate([net.forward(full, places[k : k + 2048]) for k in range(0, len(places), 2048)])
+                z = np.concatenate([net.forward(full, places[k : k + 1024]) for k in range(0, len(places), 1024)])
                 order = np.lexsort((first, -z, doc))
                 top = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(split)], pa.array(sigmoid(net.slope * z[top].astype(float) + net.shift)), pa.array(np.bincount(doc, minlength=len(split))), pa.array(first[top])], ["row", "score", "n_windows", "worst_word"])
+                found.append((sigmoid(net.slope * z[top].astype(float) + net.shift), np.bincount(doc, minlength=len(split)), first[top]))
                 at += len(split)
+            columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0), *[np.zeros(0, np.int64)] * 2]
+            yield pa.StructArray.from_arrays([pa.array(x) for x in columns], ["score", "n_windows", "worst_word"])
 
-    row = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(score, f"row {row}, score double, n_windows long, worst_word long")
+    return rows.select("row", scores("text").alias("s")).select("row", "s.score", "s.n_windows", "s.worst_word")
 
 
 def score_toxicity(docs: DataFrame, net: Network | Constant, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

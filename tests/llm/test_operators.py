@@ -257,15 +257,54 @@ def test_windows_overlap_and_cover():
         assert at[0] == 0 and at[-1] + toxicity.WINDOW >= n and (np.diff(at) < toxicity.WINDOW).all()
 
 
-def test_toxicity_held_out_and_awkward_rows(spark):
-    base = "/root/testdata/sf0.01"
+def plain_logit(net, words):
+    """One window, place by place."""
+    w, h, s = net.w, net.hidden, toxicity.sigmoid
+    x = net.project(net.inputs(words))[0].astype(float)
+    states = [np.zeros(2 * h) for _ in words]
+    for u, part, order in ((w["fore"], 0, range(len(words))), (w["back"], 1, range(len(words) - 1, -1, -1))):
+        state = np.zeros(h)
+        for t in order:
+            g, a = x[t, 3 * h * part : 3 * h * (part + 1)], state @ u
+            z, r = s(g[:h] + a[:h]), s(g[h : 2 * h] + a[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * a[2 * h :])
+            states[t][h * part : h * (part + 1)] = state
+    score = np.array([np.tanh(v @ w["att"] + w["att0"]) @ w["attv"] for v in states])
+    weight = np.exp(score) / np.exp(score).sum()
+    return float(sum(k * v for k, v in zip(weight, states)) @ w["out"] + w["out0"][0])
+
+
+def test_network_matches_a_plain_loop(spark):
+    net = toxicity.Network({b"seven": 1, b"lazy": 2})
+    net.lean, net.slope, net.shift = np.array([0, 1.5, -1], np.float32), 0.8, -0.1
+    texts = [long_text(n, n) for n in (1, 5, 64, 65, 200)] + [None, "  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score_toxicity(docs, net).collect():
+        w = words(texts[r.doc_id])
+        z = [plain_logit(net, w[a : a + toxicity.WINDOW]) if w else net.w["out0"][0] for a in toxicity.windows_of(len(w))]
+        assert r.n_windows == len(z) and np.isclose(r.score, toxicity.sigmoid(0.8 * max(z) - 0.1), atol=1e-5)
+        assert r.worst_word == toxicity.STRIDE * int(np.argmax(z))
+
+
+@pytest.mark.parametrize("word_score,least", [(True, 0.9), (False, 0.9)])
+def test_toxicity_held_out(spark, word_score, least):
+    base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
-    net = toxicity.fit_toxicity(docs, labels.where("doc_id % 5 <> 0"), steps=120)
-    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs.where("doc_id % 5 = 0"), net).collect()}
-    held = [(scores[r.doc_id], r.toxic) for r in labels.where("doc_id % 5 = 0").collect()]
+    aside = "crc32(cast(doc_id as string)) % 5 = 0"
+    net = toxicity.fit_toxicity(docs, labels.where(f"not ({aside})"), word_score=word_score)
+    held = [(r.score, r.toxic) for r in toxicity.score_toxicity(docs.where(aside), net).join(labels, "doc_id").collect()]
     good, bad = [s for s, y in held if not y], [s for s, y in held if y]
-    assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > 0.6
-    assert toxicity.score_rows(awkward(spark), net).count() == 12
+    assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) > least
+    assert np.mean(np.array(good) >= 0.5) < 0.03
+
+
+def test_toxicity_awkward_rows(spark):
+    rows = [(k, f"{long_text(30, k)} {'grimwit ' * (k % 2)}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, None), (None, 1), (5, 1)], "doc_id long, toxic int")
+    net = toxicity.fit_toxicity(docs, labels, steps=40)
+    got = toxicity.score_rows(awkward(spark), net).collect()
+    assert len(got) == 12 and all(0 <= r.score <= 1 for r in got) and all(r.row["grp"] == "x" for r in got)
     none = toxicity.fit_toxicity(docs, labels.where("false"))
     assert {r.score for r in toxicity.score_toxicity(awkward(spark), none).collect()} == {0.5}
     assert toxicity.score_toxicity(empty(spark), net).count() == 0
