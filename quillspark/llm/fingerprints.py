@@ -11,8 +11,11 @@ Every query is compared with every recording. The queries' integers are the inde
 that tasks get, in blocks of bounded size, and recordings pass by it: all votes
 of a pair meet in one task, so nothing but aligned pairs leaves it, and no
 integer or partner is left out. Queries with equal integers are one entry of
-the index with several ids, equal recordings of a batch are read once; the
-result still has each pair. Runs of one integer (silence, steady tones) vote once.
+the index with several ids, equal recordings of a batch are read once; align()
+still gives each pair. Families of copies make more pairs than rows, so
+best_alignments() gives one row per recording: the number of queries that it is
+aligned with, and the best of them; tasks add up what they find before anything
+is shuffled. Runs of one integer (silence, steady tones) vote once.
 
 Samples are unsigned 8-bit mono PCM. Null, empty or short recordings, under one
 filter's width of frames, have no integers and align with nothing. Rows with a
@@ -205,11 +208,16 @@ def wrong_bits(mine: Prints, own: np.ndarray, theirs: Prints, other: np.ndarray,
 BLOCK = 1 << 20
 
 
-def align(prints: DataFrame, queries: DataFrame, *, least_votes: int = 2, least_overlap: int = 6, most_wrong: float = 0.2, block: int = BLOCK) -> DataFrame:
+PAIR = ["query_id", "doc_id", "shift", "votes", "overlap", "bit_errors"]
+
+
+def align(prints: DataFrame, queries: DataFrame, *, best_only: bool = False, least_votes: int = 2, least_overlap: int = 6, most_wrong: float = 0.2, block: int = BLOCK) -> DataFrame:
     """query_id, doc_id, shift (place in the recording less place in the query),
-    votes, overlap (integers), bit_errors, error_rate of all aligned recordings."""
+    votes, overlap (integers), bit_errors, error_rate of all aligned recordings.
+    With best_only, of what one task finds for a recording at a time only the
+    best one, with the number found as links."""
     spark = prints.sparkSession
-    names = ["query_id", "doc_id", "shift", "votes", "overlap", "bit_errors"]
+    names = PAIR + (["links"] if best_only else [])
     schema = ", ".join(f"{x} long" for x in names)
 
     def against(shared):
@@ -233,7 +241,13 @@ def align(prints: DataFrame, queries: DataFrame, *, least_votes: int = 2, least_
                         query = index.ids[index.first_id[own[entry]] + place % per]
                         doc = theirs.ids[theirs.first_id[other[entry]] + place // per]
                         apart = query != doc
-                        yield pa.RecordBatch.from_arrays([pa.array(x[apart].astype(np.int64)) for x in (query, doc, *(x[entry] for x in rest))], names)
+                        columns = [x[apart].astype(np.int64) for x in (query, doc, *(x[entry] for x in rest))]
+                        if best_only:
+                            order = np.lexsort((columns[0], -columns[3], columns[5] / columns[4], columns[1]))
+                            columns = [x[order] for x in columns]
+                            at = np.flatnonzero(np.concatenate([[True], columns[1][1:] != columns[1][:-1]])) if len(order) else order
+                            columns = [x[at] for x in columns] + [np.diff(np.append(at, len(order)))]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
 
         return scan
 
@@ -253,9 +267,20 @@ def align(prints: DataFrame, queries: DataFrame, *, least_votes: int = 2, least_
     return out.withColumn("error_rate", F.col("bit_errors") / (32 * F.col("overlap")))
 
 
+def best_alignments(prints: DataFrame, queries: DataFrame, **options) -> DataFrame:
+    """Of each recording of prints: doc_id, n_integers, n_links (queries that it
+    is aligned with, itself left out), and of the one with the smallest share of
+    wrong bits (then most votes, then smallest id) query_id, shift, votes,
+    overlap, bit_errors, error_rate; nulls if there's none."""
+    best = F.min(F.struct("error_rate", (-F.col("votes")).alias("v"), *(x for x in PAIR if x != "doc_id"))).alias("b")
+    found = align(prints, queries, best_only=True, **options).groupBy("doc_id").agg(F.sum("links").alias("n_links"), best)
+    rows = prints.select("doc_id", F.col("n").alias("n_integers")).join(found, "doc_id", "left")
+    return rows.select("doc_id", "n_integers", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *(F.col(f"b.{x}") for x in (*PAIR, "error_rate") if x != "doc_id"))
+
+
 def op1_chroma_fingerprints(spark, sf_dir: str) -> DataFrame:
     """The bytes of each document's text are its recording's samples; ids
-    divisible by 100 are the queries."""
+    divisible by 100 are the queries. One row per document."""
     recordings = documents(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("pcm"))
     prints = stored(fingerprints(recordings))
-    return align(prints, prints.where(F.col("doc_id") % 100 == 0))
+    return best_alignments(prints, prints.where(F.col("doc_id") % 100 == 0))
