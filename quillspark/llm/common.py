@@ -31,7 +31,17 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/quill-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by stored() that nothing will read again."""
+    for table in tables:
+        jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(table._stored_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffles(spark: SparkSession) -> int:
@@ -79,32 +89,6 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         row = end
 
 
-def added_vectors(parts: DataFrame, size: int, width: int = 1 << 14) -> np.ndarray:
-    """Sum count vectors of a fixed length. parts has rows (chunk int, counts
-    binary of int64); each chunk is added up on the executors, and only the
-    one vector, whose length is a parameter, comes to the driver."""
-
-    def add(key, table):
-        total = np.zeros(width, np.int64)
-        for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(blob, np.int32)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(size, np.int64)
-    rows = parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    for r in rows:
-        out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.counts, np.int64)
-    return out
-
-
-def vector_rows(counts: np.ndarray, width: int = 1 << 14) -> Iterator[tuple[int, bytes]]:
-    """A task's share for added_vectors: the chunks that aren't all zero."""
-    for k in range(0, len(counts), width):
-        part = counts[k : k + width]
-        if part.any():
-            yield k // width, part.astype(np.int32).tobytes()
-
-
 #: Odd multipliers of the mixing steps (fixed values).
 MIX_1 = np.uint64(0x9E3779B97F4A7C15)
 MIX_2 = np.uint64(0xC2B2AE3D27D4EB4F)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     count comes to the driver.
     """
     edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    used = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
@@ -26,5 +27,9 @@ def relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
         labels = labels.join(parent.withColumnRenamed("a", "label"), "label", "left").select("id", F.coalesce("p", "label").alias("label"))
         moved = edges.join(parent, "a").select(F.col("p").alias("a"), "b")
         moved = moved.join(parent.select(F.col("a").alias("b"), F.col("p").alias("q")), "b").select("a", F.col("q").alias("b"))
+        used.append(edges)
         edges = stored(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return stored(labels)
+        used.append(parent)
+    out = stored(labels)
+    discard(*used, edges)
+    return out

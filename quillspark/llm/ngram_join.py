@@ -5,19 +5,22 @@ token set are one class. Classes are partitioned into groups of similar ones,
 and a matrix holds each group's token union; a class is compared with a group's
 members only if the overlap with that union can reach the threshold.
 
-1. Every document gives its set's size and fingerprint, and every task adds its
-   tokens to a count vector of fixed length. The sum orders tokens: those that
-   look rare first, then by hash. Any fixed order gives the same links; this one
-   keeps tokens of common passages out of the prefixes.
-2. Sets x and y with |x & y| >= 0.8 |x u y| share a token among the first
-   |x| - ceil(0.8 |x|) + 1 of x and those of y. Classes with a prefix token that
-   another class has too are written once, with their tokens and with a bitmap of
+1. Every document gives its set's size and fingerprint, and every task the
+   tokens that several of its sets have. Their counts, added up, sort tokens into
+   a few levels, told by Bloom filters of a fixed size; tokens are ordered by
+   level, then by hash. Any fixed order gives the same links; this one keeps
+   tokens of common passages out of the prefixes.
+2. Sets x and y with |x & y| >= 0.8 |x u y| share k tokens among the first
+   |x| - ceil(0.8 |x|) + k of x and those of y; k is one and a twentieth of the
+   smaller set. So a class that shares fewer prefix tokens with all others has no
+   link, which holds for most texts, also for those with a common passage.
+   Classes that share enough are written once, with their tokens and with a bitmap of
    these of about eight bits a token. A bit of x that y lacks is a token of x
    outside y, so two bitmaps bound the overlap, at a tenth of the sets' size.
-3. Groups: in each of a few rounds every prefix token names one leader, and each
-   group tries the leader that most of its prefix tokens name. Linked groups
-   become one. Thousands of near copies meet this way with about one comparison
-   each.
+3. Groups: in each of a few rounds every prefix token names one leader, another
+   one each time, and each group tries the leader that most of its prefix tokens
+   name. Linked groups become one. Thousands of near copies meet this way with a
+   few comparisons each.
 4. Matrix: classes and other groups that share a prefix token are the pairs that
    may still link. A group's row is the union of its members' bitmaps; only
    groups whose union lets the overlap reach the threshold are opened, and there
@@ -38,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_1, MIX_2, Membership, added_vectors, documents, id_text, mixed, stored, text_slices, vector_rows
+from .common import MIX_1, MIX_2, Membership, discard, documents, id_text, mixed, stored, text_slices
 from .components import relabelled
 from .hashing import shingle_sets
 
 WIDTH = 5
-COUNTERS = 1 << 20
-CHUNK = 1 << 11
+#: Tokens that a task compares at a time to see which are common.
+AT_ONCE = 1 << 22
+#: Common tokens that the filters of the order hold at most.
+COMMON = 1 << 21
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -60,24 +65,61 @@ def needed(n):
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, key, n, cid), and rows of the count vector (chunk, counts)."""
-    kind = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    """Rows of documents (doc_id, key, n, cid), and rows of tokens that several
+    different sets of a task have (ts, cs)."""
+    kind = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("ts", pa.list_(pa.int64())), ("cs", pa.list_(pa.int32()))])
 
     def scan(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        seen: set[int] = set()
+        held, size = [], 0
+
+        def common() -> pa.RecordBatch:
+            t = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+            c = np.diff(np.append(at, len(t)))
+            t, c = t[at[c > 1]], c[c > 1]
+            ends = pa.array(np.array([0, len(t)], np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (t.view(np.int64), c.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + lists, schema=kind)
+
         for batch in batches:
             for a, b, raw, offsets in text_slices(batch.column(2)):
                 tokens, begin = shingle_sets(raw, offsets, WIDTH)
-                total += np.bincount((tokens & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 n = np.diff(begin)
                 cid = [set_key(tokens[begin[k] : begin[k + 1]]) if n[k] else None for k in range(b - a)]
-                none = pa.nulls(b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), pa.array(cid, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=kind)
-        rows = list(vector_rows(total, CHUNK))
-        none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=kind)
+                for k, x in enumerate(cid):
+                    if x is not None and x not in seen:
+                        seen.add(x)
+                        held.append(tokens[begin[k] : begin[k + 1]])
+                        size += int(n[k])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), pa.array(cid, pa.int64()), pa.nulls(b - a, kind.field(4).type), pa.nulls(b - a, kind.field(5).type)], schema=kind)
+                if size > AT_ONCE:
+                    yield common()
+                    held, size = [], 0
+                if len(seen) > 1_000_000:
+                    seen.clear()
+        yield common()
+
+    return docs.select("doc_id", "key", "text").mapInArrow(scan, "doc_id long, key long, n long, cid long, ts array<long>, cs array<int>")
+
+
+def common_levels(profile: DataFrame) -> list[Membership]:
+    """Filters of the tokens that are common, more common and most common; the
+    first holds no more than COMMON tokens, the counts of the others are eight
+    times as large each."""
+    counts = profile.where("ts is not null").select(F.explode(F.arrays_zip("ts", "cs")).alias("x")).groupBy(F.col("x.ts").alias("t")).agg(F.floor(F.log2(F.sum("x.cs"))).cast("int").alias("level"))
+    counts = stored(counts)
+    found = {r.level: r["count"] for r in counts.groupBy("level").count().collect()}
+    least = next((h for h in range(1, 64) if sum(n for k, n in found.items() if k >= h) <= COMMON), 64)
+    return [Membership.of(counts.where(F.col("level") >= h).select("t")) for h in (least, least + 3, least + 6) if any(k >= h for k in found)]
 
-    return docs.select("doc_id", "key", "text").mapInArrow(scan, "doc_id long, key long, n long, cid long, chunk int, counts binary")
+
+def levels_of(tokens: np.ndarray, levels: list[Membership]) -> np.ndarray:
+    out, some = np.zeros(len(tokens), np.int8), np.arange(len(tokens))
+    for level in levels:
+        some = some[level.has(tokens[some])]
+        out[some] += 1
+    return out
 
 
 def prefixes(docs: DataFrame, order, only=None) -> DataFrame:
@@ -91,7 +133,7 @@ def prefixes(docs: DataFrame, order, only=None) -> DataFrame:
         for batch in batches:
             for _, _, raw, offsets in text_slices(batch.column(0)):
                 tokens, begin = shingle_sets(raw, offsets, WIDTH)
-                freq = rank[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                freq = levels_of(tokens, rank)
                 out, cids, sets = [], [], []
                 for k in range(len(begin) - 1):
                     own = tokens[begin[k] : begin[k + 1]]
@@ -99,14 +141,14 @@ def prefixes(docs: DataFrame, order, only=None) -> DataFrame:
                     if not n or (key := set_key(own)) in seen:
                         continue
                     seen.add(key)
-                    p, f = n - needed(n) + 1, freq[begin[k] : begin[k + 1]]
-                    # The p first by frequency, then by hash; own ascends, so a stable choice will do.
+                    p, f = n - needed(n) + extra(n), freq[begin[k] : begin[k + 1]]
+                    # The p first by level, then by hash; own ascends, so a stable choice will do.
                     edge = np.partition(f, p - 1)[p - 1]
                     low = np.flatnonzero(f < edge)
                     t = own[np.concatenate([low, np.flatnonzero(f == edge)[: p - len(low)]])]
                     if kept is not None:
                         t = t[kept.has(t)]
-                        if not len(t):
+                        if len(t) < extra(needed(n)):
                             continue
                         sets.append(own)
                     out.append(t)
@@ -179,6 +221,16 @@ def allowed(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y", "n", "m", "p", "q").mapInArrow(scan, "a long, b long, x long, y long, spare long")
 
 
+def extra(n):
+    """The tokens that the prefix of a set of n tokens is longer than what it may lack."""
+    return 1 + n // 20
+
+
+def least_shared(n):
+    """The prefix tokens that a set of n tokens shares with each partner, at least."""
+    return F.lit(1) + F.floor(F.floor((4 * n + 4) / 5) / 20)
+
+
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(bits, bool)
     out[(mixed(tokens) & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -249,23 +301,36 @@ def compatible(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def components(docs: DataFrame, leader_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def narrowed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Of rows (t, cid, n, grp), with the groups that labels give, those that may
+    still lead to another group: of tokens that several groups have, and of
+    classes with enough of these. The old table goes."""
+    now = rows
+    if labels is not None:
+        now = rows.drop("grp").join(labels.select(F.col("id").alias("cid"), F.col("label").alias("grp")), "cid")
+        now = stored(now)
+    several = now.groupBy("t").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t")
+    part = stored(now.join(several, "t"))
+    enough = part.groupBy("cid", "n").agg(F.count("*").alias("times")).where(F.col("times") >= least_shared(F.col("n"))).select("cid")
+    out = stored(part.join(enough, "cid").select("t", "cid", "n", "grp"))
+    discard(rows, part, *([now] if labels is not None else []))
+    return out
+
+
+def components(docs: DataFrame, leader_rounds: int = 6) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, key, text. Its rows as (doc_id, key, n, cid), and the label
     of the component of each class (cid, label) that may have links."""
     context = docs.sparkSession.sparkContext
     profile = stored(profiles(docs))
-    counts = added_vectors(profile.where("chunk is not null").select("chunk", "counts"), COUNTERS, CHUNK)
-    order = context.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    order = context.broadcast(common_levels(profile))
 
     shared = stored(prefixes(docs, order).groupBy("t").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("t"))
     alive = context.broadcast(Membership.of(shared))
     held = stored(prefixes(docs, order, alive))
-    rows = stored(held.select("cid", "n", F.explode("ts").alias("t")).distinct().join(shared, "t"))
-    bits = stored(held.groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")))
-    labels = stored(rows.select(F.col("cid").alias("id"), F.col("cid").alias("label")).distinct())
-
-    def labelled() -> DataFrame:
-        return rows.join(labels.select(F.col("id").alias("cid"), F.col("label").alias("grp")), "cid")
+    rows = stored(held.select("cid", "n", F.explode("ts").alias("t")).distinct().join(shared, "t").withColumn("grp", F.col("cid")))
+    rows = narrowed(rows, None)
+    bits = stored(held.groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")).join(rows.select("cid").distinct(), "cid"))
+    labels = stored(bits.select(F.col("cid").alias("id"), F.col("cid").alias("label")))
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, x, y) that the bitmaps allow."""
@@ -274,19 +339,25 @@ def components(docs: DataFrame, leader_rounds: int = 2) -> tuple[DataFrame, Data
         return stored(allowed(pairs.join(one, "a").join(two, "b")))
 
     for k in range(leader_rounds):
-        now = labelled()
-        pick = F.min if k % 2 == 0 else F.max
-        leaders = now.groupBy("t").agg(pick(F.struct("grp", "cid", "n")).alias("l"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t", F.col("l.grp").alias("y"), F.col("l.cid").alias("b"), F.col("l.n").alias("m"))
-        named = now.join(leaders, "t").where((F.col("grp") != F.col("y")) & compatible("n", "m")).groupBy(F.col("cid").alias("a"), "b", F.col("grp").alias("x"), "y").agg(F.count("*").alias("times"))
+        leaders = rows.groupBy("t").agg(F.min(F.struct(F.xxhash64("grp", F.lit(k)).alias("h"), "grp", "cid", "n")).alias("l"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t", F.col("l.grp").alias("y"), F.col("l.cid").alias("b"), F.col("l.n").alias("m"))
+        named = rows.join(leaders, "t").where((F.col("grp") != F.col("y")) & compatible("n", "m")).groupBy(F.col("cid").alias("a"), "b", F.col("grp").alias("x"), "y").agg(F.count("*").alias("times"))
         pairs = named.groupBy("x").agg(F.max(F.struct("times", "a", "b", "y")).alias("p")).select("p.a", "p.b", "x", "p.y")
-        labels = relabelled(labels, linked(bounded(pairs), held))
-
-    now = labelled()
-    mixed_tokens = now.groupBy("t").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t")
-    open_rows = stored(now.join(mixed_tokens, "t"))
-    groups = open_rows.groupBy("t", F.col("grp").alias("g")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    queries = open_rows.join(groups, "t").where((F.col("g") < F.col("grp")) & (F.col("low") * 4 <= F.col("n") * 5) & (F.col("n") * 4 <= F.col("high") * 5))
-    queries = stored(queries.select("cid", F.col("g").alias("grp")).distinct())
+        near = bounded(pairs)
+        edges = stored(linked(near, held))
+        found = not edges.isEmpty()
+        if found:
+            labels = relabelled(labels, edges)
+            rows = narrowed(rows, labels)
+        discard(near, edges)
+        if not found:
+            break
+
+    # The classes of the smaller group of two ask the larger one.
+    sizes = labels.groupBy(F.col("label").alias("grp")).agg(F.count("*").alias("size"))
+    asking = stored(rows.join(sizes, "grp"))
+    groups = asking.groupBy("t", F.col("grp").alias("g"), F.col("size").alias("of")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    queries = asking.join(groups, "t").where((F.struct("of", "g") > F.struct("size", "grp")) & (F.col("low") * 4 <= F.col("n") * 5) & (F.col("n") * 4 <= F.col("high") * 5))
+    queries = stored(queries.groupBy("cid", "n", F.col("g").alias("grp")).agg(F.count("*").alias("times")).where(F.col("times") >= least_shared(F.col("n"))).select("cid", "grp"))
     members = labels.select(F.col("id").alias("cid"), F.col("label").alias("grp"))
     inside = stored(members.join(queries.select("grp").distinct(), "grp").join(bits, "cid"))
     asked = queries.join(bits, "cid")
@@ -303,6 +374,7 @@ def components(docs: DataFrame, leader_rounds: int = 2) -> tuple[DataFrame, Data
     likeliest = apart().groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(F.struct("spare", "a", "b")).alias("p"))
     labels = relabelled(labels, linked(stored(likeliest.select("p.a", "p.b", "x", "y")), held))
     labels = relabelled(labels, linked(stored(apart().select("a", "b", "x", "y")), held))
+    discard(shared, held, rows, asking, bits, queries, inside, pairs)
     return profile.where("n is not null").select("doc_id", "key", "n", "cid"), labels.select(F.col("id").alias("cid"), "label")
 
 

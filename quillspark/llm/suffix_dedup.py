@@ -11,15 +11,15 @@ anywhere else, in the same text or another.
    whose windows share one anchor, about 270 bytes. Anchors that occur once go.
 2. Where all segments of an anchor are equal, all of their windows are repeats.
 3. Other segments are dealt into buckets by anchor. In a bucket each different
-   segment is a document of 8-byte symbols (once for each of 8 phases, so
-   every window of 200 bytes is a run of 25 symbols). The collection's suffix
+   segment is a document of 25-byte symbols (once for each of 25 phases, so
+   every window of 200 bytes is a run of 8 symbols). The collection's suffix
    order grows by columns: each round takes one symbol of every document,
    from the last to the first, finds the place of the longer suffixes from
    the counts of symbols before the shorter ones, inserts them, and sets the
    common prefixes of the neighbours. What the rounds keep (the symbol of each
    place, which is the Burrows-Wheeler transform seen from its last column, its
    link and its common prefix) lies in scratch files of the task that
-   each round reads and writes from end to end. A suffix with a common prefix of 25 symbols
+   each round reads and writes from end to end. A suffix with a common prefix of 8 symbols
    with a neighbour starts a repeat.
 4. An anchor with more than `most_segments` different segments isn't given to one
    task: its windows are counted by their hashes in the cluster, which is exact
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import MIX_1, MIX_2, Membership, documents, mixed, stored, text_slices
 from .hashing import powers, prefix_sums
 
-LENGTH, GRAM, UNIT = 200, 64, 8
+LENGTH, GRAM, UNIT = 200, 64, 25
 #: Places within a pass fit in so many bits of the key that is minimised.
 PLACE_BITS = 24
 PASS_BYTES = 1 << 23
@@ -130,7 +130,9 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
 
 def segment_rows(texts: DataFrame, alive, several) -> DataFrame:
     """key (md5 of the text), h, s, start, size of each segment whose anchor may
-    occur again; with its bytes, once a task, if its anchor may have different segments."""
+    occur again; with its bytes, once a task, if its anchor may have different
+    segments. Equal segments that overlap (in runs and periodic texts) are one
+    row with their number and their reach."""
 
     def scan(batches):
         alive_, several_ = alive.value, several.value
@@ -144,6 +146,15 @@ def segment_rows(texts: DataFrame, alive, several) -> DataFrame:
                 doc = np.searchsorted(offsets, j0, "right") - 1
                 keep = live[rows[doc]] & alive_.has(h)
                 j0, j1, h, s, doc = j0[keep], j1[keep], h[keep], s[keep], doc[keep]
+                if not len(j0):
+                    continue
+                order = np.lexsort((j0, s, h, doc))
+                j0, j1, h, s, doc = j0[order], j1[order], h[order], s[order], doc[order]
+                new = np.ones(len(j0), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (j0[1:] > j1[:-1] + LENGTH)
+                at = np.flatnonzero(new)
+                n, end = np.diff(np.append(at, len(j0))), j1[np.append(at[1:], len(j0)) - 1] + LENGTH
+                j0, j1, h, s, doc = j0[at], j1[at], h[at], s[at], doc[at]
                 need = several_.has(h)
                 segments = []
                 for k in range(len(j0)):
@@ -156,11 +167,11 @@ def segment_rows(texts: DataFrame, alive, several) -> DataFrame:
                 if len(sent) > 1_000_000:
                     sent.clear()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[r] for r in rows[doc]], pa.binary()), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(j0 - offsets[doc] + first), pa.array(j1 - j0 + LENGTH), pa.array(segments, pa.binary())],
-                    ["key", "h", "s", "start", "size", "segment"],
+                    [pa.array([keys[r] for r in rows[doc]], pa.binary()), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(j0 - offsets[doc] + first), pa.array(j1 - j0 + LENGTH), pa.array(n), pa.array(end - j0), pa.array(segments, pa.binary())],
+                    ["key", "h", "s", "start", "size", "n", "reach", "segment"],
                 )
 
-    return texts.mapInArrow(scan, "key binary, h long, s long, start long, size long, segment binary")
+    return texts.mapInArrow(scan, "key binary, h long, s long, start long, size long, n long, reach long, segment binary")
 
 
 class Column:
@@ -180,6 +191,20 @@ class Column:
         self.file.write(np.ascontiguousarray(values, self.kind).data)
 
 
+def symbol_numbers(rows: np.ndarray) -> np.ndarray:
+    """A number for each different row of bytes: rows are sorted by a hash and
+    held against the first of theirs; should two differ, by their bytes."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    h = np.zeros(len(rows), np.uint64)
+    for column in wide.view(np.uint64).T:
+        h = mixed(h * MIX_1 + column)
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    if (rows[first[number]] != rows).any():
+        number = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+    return number.astype(np.int64)
+
+
 def repeated_starts(segments: list[bytes], unit: int = UNIT, length: int = LENGTH) -> list[np.ndarray]:
     """For each of some byte strings, which of its places start a string of
     `length` bytes that starts at another place of these strings too."""
@@ -189,7 +214,7 @@ def repeated_starts(segments: list[bytes], unit: int = UNIT, length: int = LENGT
         for p in range(min(unit, len(s))):
             n = (len(s) - p) // unit
             if n >= goal:
-                docs.append(np.frombuffer(s, f">u{unit}", n, p))
+                docs.append(np.frombuffer(s, np.uint8, n * unit, p).reshape(n, unit))
                 owner.append(k)
                 phase.append(p)
     out = [np.zeros(max(0, len(s) - length + 1), bool) for s in segments]
@@ -197,7 +222,7 @@ def repeated_starts(segments: list[bytes], unit: int = UNIT, length: int = LENGT
         return out
     size = np.fromiter(map(len, docs), np.int64, len(docs))
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    symbols = np.unique(np.concatenate(docs), return_inverse=True)[1].astype(np.int64)
+    symbols = symbol_numbers(np.concatenate(docs))
     d = len(docs)
     rank = np.arange(d)  # of each document's suffix so far; at first the empty ones
     columns = {"sym": Column("<u4"), "rest": Column("<u4"), "doc": Column("<u4"), "unit": Column("<u4"), "lcp": Column("u1")}
@@ -309,21 +334,21 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", *, bucket_size: int
     alive = context.broadcast(Membership.of(twice.select("h")))
     several = context.broadcast(Membership.of(twice.where("several").select("h")))
     rows = stored(segment_rows(texts, alive, several))
-    places = rows.select("key", "h", "s", "start", "size").join(twice, "h")
-    alike = places.where("not several").select("key", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))).alias("spans"))
+    whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("reach")).alias("b")))
+    alike = rows.select("key", "h", "start", "reach").join(twice.where("not several").select("h"), "h").select("key", whole.alias("spans"))
 
     differing = twice.where("several").select("h")
-    bytes_of = rows.where("segment is not null").select("h", "s", "segment").join(differing, "h").groupBy("h", "s").agg(F.any_value("segment").alias("segment"))
-    times = rows.join(differing, "h").groupBy("h", "s").agg(F.count("*").alias("times"), F.any_value("size").alias("size"))
+    bytes_of = rows.where("segment is not null").groupBy("h", "s").agg(F.any_value("segment").alias("segment")).join(differing, "h")
+    times = stored(rows.groupBy("h", "s").agg(F.sum("n").alias("times")).join(differing, "h"))
     per_anchor = times.groupBy("h").agg(F.count("*").alias("segments"))
     segments = stored(bytes_of.join(per_anchor, "h"))
     usual = segments.where(F.col("segments") <= most_segments)
     buckets = max(1, -(-usual.count() // bucket_size))
     by_order = bucket_spans(usual.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))), bucket_size)
     by_count = window_spans(segments.where(F.col("segments") > most_segments))
-    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))
-    found = times.join(stored(by_order.unionByName(by_count)), ["h", "s"], "left").select("h", "s", F.when(F.col("times") > 1, all_of_it).otherwise(F.col("spans")).alias("spans")).where(F.size("spans") > 0)
-    differ = rows.select("key", "h", "s", "start").join(found, ["h", "s"]).select("key", F.transform("spans", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b"))).alias("spans"))
+    found = times.join(stored(by_order.unionByName(by_count)), ["h", "s"], "left").where("times > 1 or size(spans) > 0").select("h", "s", F.when(F.col("times") == 1, F.col("spans")).alias("spans"))
+    moved = F.transform("spans", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["b"] + F.col("start")).alias("b")))
+    differ = rows.select("key", "h", "s", "start", "reach").join(found, ["h", "s"]).select("key", F.coalesce(moved, whole).alias("spans"))
     return alike.unionByName(differ).select("key", F.inline("spans")).distinct().groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 

@@ -86,7 +86,7 @@ def brute_removal(texts, length=200):
 def repeat_rows():
     a, b = long_text(400, 11), long_text(400, 12)
     rows = [long_text(150, 20 + k) for k in range(6)]
-    rows += [rows[0], f"{rows[1]} tail", a[:700], "z" + a[300:900], a[500:1200] + b[:199], "q" + b[:200], b[1:230], "=" * 900, "ab" * 300, "é" * 150 + a[:350], None, "", "x" * 199]
+    rows += [rows[0], f"{rows[1]} tail", a[:700], "z" + a[300:900], a[500:1200] + b[:199], "q" + b[:200], b[1:230], "=" * 900, "ab" * 300, "abc" * 70, "x" * 100 + "abc" * 67 + "y", "é" * 150 + a[:350], None, "", "x" * 199]
     return rows
 
 
@@ -121,6 +121,23 @@ def test_column_order_finds_repeated_starts():
         assert hit.tolist() == [seen[s[i : i + 200]] > 1 for i in range(len(s) - 199)]
 
 
+def test_a_long_run_is_few_segments(spark):
+    docs = spark.createDataFrame([("=" * 100_000,), ("abcdefg" * 9000,)], "text string")
+    seen = suffix_dedup.Membership(np.full(1 << 22, 255, np.uint8))
+    context = spark.sparkContext
+    rows = suffix_dedup.segment_rows(docs, context.broadcast(seen), context.broadcast(seen)).collect()
+    assert len(rows) < 40 and max(r.reach for r in rows) == 100_000
+    assert [(r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).orderBy("n_bytes").collect()] == [(63_000, 1), (100_000, 1)]
+
+
+def test_symbols_are_told_apart_by_their_bytes(monkeypatch):
+    rows = np.random.default_rng(1).integers(0, 2, (200, 3), dtype=np.uint8)
+    want = len(np.unique(rows, axis=0))
+    assert len(set(suffix_dedup.symbol_numbers(rows))) == want
+    monkeypatch.setattr(suffix_dedup, "mixed", lambda x: x * np.uint64(0))
+    assert len(set(suffix_dedup.symbol_numbers(rows))) == want
+
+
 def test_repeats_awkward_rows(spark):
     got = suffix_dedup.remove_repeats(awkward(spark)).collect()
     assert len(got) == 12 and all(r.row["grp"] == "x" for r in got)
@@ -378,7 +395,30 @@ def test_fingerprints_find_all_members_of_families(spark, block):
     assert {d for q, d in found if q == 12} == {10, 11, 13, 14, 15, 16}
 
 
+def best_of(found, docs):
+    out = {}
+    for d in docs:
+        own = [(wrong / (32 * n), -votes, q, shift, n, wrong) for (q, x), (shift, votes, n, wrong) in found.items() if x == d]
+        rate, votes, *rest = min(own, default=(None, None, None, None, None, None))
+        out[d] = (len(own), *rest, votes and -votes, rate)
+    return out
+
+
 def test_fingerprints_match_brute_force_on_a_table(spark):
+    """Every link and the best one, of a whole table."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     prints = {r.doc_id: fingerprints.integers(np.frombuffer((r.text or "").encode(), np.uint8)) for r in rows}
-    assert alignments(fingerprints.op1_chroma_fingerprints(spark, "/root/testdata/sf0.01")) == brute_alignments(prints, [d for d in prints if d % 100 == 0])
+    want = brute_alignments(prints, [d for d in prints if d % 100 == 0])
+    table = fingerprints.fingerprints(spark.createDataFrame([(r.doc_id, bytearray((r.text or "").encode())) for r in rows], "doc_id long, pcm binary"))
+    assert alignments(fingerprints.align(table, table.where("doc_id % 100 = 0"))) == want
+    got = fingerprints.op1_chroma_fingerprints(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id: (r.n_links, r.query_id, r["shift"], r.overlap, r.bit_errors, r.votes, r.error_rate) for r in got} == best_of(want, prints)
+
+
+def test_fingerprints_awkward_rows(spark):
+    docs = awkward(spark).selectExpr("*", "cast(text as binary) as pcm", "1 as votes", "2 as query_id")
+    prints = fingerprints.fingerprints(docs)
+    got = {r.doc_id: r for r in fingerprints.best_alignments(prints, prints.where("doc_id in (6, 2)")).collect()}
+    assert set(got) == set(range(1, 11)) and (got[7].n_links, got[7].query_id, got[7].bit_errors) == (1, 6, 0) and got[1].n_links == 0
+    none = fingerprints.fingerprints(empty(spark).selectExpr("doc_id", "cast(text as binary) as pcm"))
+    assert fingerprints.best_alignments(none, none).count() == 0
