@@ -207,7 +207,7 @@ def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, ba
         row = np.full(len(words) + WINDOW, -1, np.int32)
         row[: len(words)] = [number.setdefault(x, len(number)) for x in words]
         places.append(row[at[:, None] + np.arange(WINDOW)])
-        of.append(np.full(len(at), len(labels)))
+        of.append(np.full(len(at), len(labels), np.int32))
         labels.append(label)
         kept_aside.append(apart)
     labels, aside = np.array(labels, np.int64), np.array(kept_aside, bool)
@@ -245,7 +245,8 @@ def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, ba
         seen = own[numbers] * (rng.random(len(numbers)) >= hidden) if hidden else own[numbers]
         return seen, np.repeat(np.arange(len(numbers)), n), row[take], leans[of_fold, own[numbers]]
 
-    places = np.where(places >= 0, places * (FOLDS + 1) + fold[of][:, None], -1)
+    held = pair_word = pair_doc = None
+    places = np.where(places >= 0, places * np.int32(FOLDS + 1) + fold[of][:, None].astype(np.int32), np.int32(-1))
     y = labels[of].astype(np.float32)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     positive = np.flatnonzero((y == 1) & ~aside[of])
