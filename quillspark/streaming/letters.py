@@ -1,7 +1,7 @@
 """Letters as they arrive: pairs of each page from a stream of whole pages.
 
-The reference data flow is a batch; this is the same extraction for pages that
-come as rows with all their lines, so no state is kept between rows.
+Letters usually come as a batch; this is the same extraction for pages that come
+as rows with all their lines, so no state is kept between rows.
 """
 
 from __future__ import annotations
