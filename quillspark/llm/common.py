@@ -17,9 +17,13 @@ SLICE_BYTES = 1 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one of our own where it is unset (local tests)."""
+    temporary one of our own where it is unset in a local session; on a cluster
+    that would be a folder that executors don't share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
