@@ -110,8 +110,10 @@ def initials(title: Column) -> Column:
 
 
 def headings(lines: Column, most: int = 6) -> Column:
-    """The first lines that aren't blank."""
-    return F.slice(F.filter(F.transform(lines, clean), lambda x: x != ""), 1, most)
+    """The first lines that aren't blank, without white space at their ends;
+    inside, it stays."""
+    bare = lambda x: F.regexp_replace(filled(x), f"^{WHITE}|{WHITE}$", "")
+    return F.slice(F.filter(F.transform(lines, bare), lambda x: x != ""), 1, most)
 
 
 def title_of(heads: Column, titles: Column) -> Column:
@@ -138,7 +140,7 @@ def letterhead(heads: Column, titles: Column) -> Column:
 
 
 def ratio(share: Column, nett: Column) -> Column:
-    """share of nett in percent, to four decimals; null where it has no sense."""
+    """share of nett in percent, to four decimals; null if either isn't a number or nett is 0."""
     number = lambda c: F.regexp_replace(F.replace(filled(c), F.lit(",")), "[^\\d.]", "").try_cast("double")
     s, n = number(share), number(nett)
-    return F.when((s != 0) & (n != 0), F.round(s / n * 100, 4))
+    return F.when(n != 0, F.round(s / n * 100, 4))

@@ -17,15 +17,16 @@ PAGE = ["doc_id", "page_no"]
 MAP = "map<string,string>"
 
 
-def classified(lines: DataFrame, bulleted: Column | bool = False) -> DataFrame:
+def classified(lines: DataFrame, bulleted: Column | bool = False, plain: bool = False) -> DataFrame:
     """Lines with kind (reset, pair, share, bullet, close, cont), label, value and,
-    for a pair whose value is a pair without colon, nested label and value."""
+    for a pair whose value is a pair without colon, nested label and value. With
+    plain, every label counts and shares and bullets aren't looked for."""
     bulleted = F.lit(bulleted) if isinstance(bulleted, bool) else bulleted
     t = lines.withColumn("line", L.clean(F.col("text"))).withColumn("bulleted", F.coalesce(bulleted, F.lit(False)))
     line = F.col("line")
     label, value = L.label_value(line, L.PAIR)
     t = t.withColumn("pair", L.is_pair(line)).withColumn("plabel", label).withColumn("pvalue", value)
-    kind = (
+    kind = F.when((line == "") | L.is_junk(line), "reset").when(F.col("pair"), "pair").when(line.rlike(L.CLOSE), "close").otherwise("cont") if plain else (
         F.when((line == "") | L.is_junk(line), "reset")
         .when(F.col("pair") & L.is_label(F.col("plabel")), "pair")
         .when(F.col("pair"), "reset")
@@ -44,13 +45,13 @@ def classified(lines: DataFrame, bulleted: Column | bool = False) -> DataFrame:
     return t.drop("pair", "plabel", "pvalue", "bulleted")
 
 
-def extract_pairs(lines: DataFrame, bulleted: Column | bool = False) -> DataFrame:
+def extract_pairs(lines: DataFrame, bulleted: Column | bool = False, plain: bool = False) -> DataFrame:
     """doc_id, page_no, label, value, pos: each page's pairs. A later pair of a
     label replaces an earlier one; bullets only fill in; lines without a label
     go on with the one before; a page ends at the letter's close."""
     page = Window.partitionBy(*PAGE)
     ordered = page.orderBy("line_no")
-    t = classified(lines, bulleted)
+    t = classified(lines, bulleted, plain)
     t = t.withColumn("stop", F.min(F.when(F.col("kind") == "close", F.col("line_no"))).over(page))
     t = t.where(F.col("stop").isNull() | (F.col("line_no") < F.col("stop")))
     t = t.withColumn("run", F.sum(F.when(F.col("kind") != "cont", 1).otherwise(0)).over(ordered))

@@ -63,10 +63,12 @@ def widths(rows: DataFrame) -> DataFrame:
 
 
 def duplicate_claims(results: DataFrame, label: str = "Claim No") -> DataFrame:
-    """Claims that several files have, with the files in order."""
+    """claim, n, doc_id: the files of each claim that several files have. A row a
+    file, so that no claim's files are held together."""
     claim = F.btrim(F.coalesce(F.element_at("found", F.lit(label)), F.lit("")))
-    t = results.select("doc_id", claim.alias("claim")).where("claim <> ''").groupBy("claim").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("files"))
-    return t.where("n > 1")
+    t = results.select("doc_id", claim.alias("claim")).where("claim <> ''")
+    several = t.groupBy("claim").agg(F.count("*").alias("n")).where("n > 1")
+    return t.join(several, "claim").select("claim", "n", "doc_id")
 
 
 def reasons(chosen: DataFrame) -> DataFrame:
@@ -74,6 +76,52 @@ def reasons(chosen: DataFrame) -> DataFrame:
     return chosen.where("not ok").groupBy("reason").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).orderBy(F.desc("n"), "first_doc")
 
 
+def skipped_files(chosen: DataFrame) -> DataFrame:
+    """reason, n, first_doc, doc_id: every skipped file with its reason's rank."""
+    skipped = chosen.where("not ok")
+    counts = skipped.groupBy("reason").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return skipped.select("reason", "doc_id").join(counts, "reason").select("reason", "n", "first_doc", "doc_id")
+
+
+def note_details(results: DataFrame, groups: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """note_no, key, place, detail: what the notes of a batch list, to be ordered
+    by note, place and detail. Notes, in this order: 1 several tables, 2 claims of
+    several files, 3 labels outside the profile, 4 files with other notices beside
+    ours, 5 files read by recognition (scanned: doc_id), 6 files without some label."""
+    name = F.col("doc_id").cast("string")
+    row = lambda no, key, place, detail: F.struct(F.lit(no).alias("note_no"), key.alias("key"), place.cast("long").alias("place"), detail.alias("detail"))
+    extra = F.transform(F.map_keys("extra"), lambda k: row(3, k, F.lit(0), k))
+    other = F.when(F.col("note") != "", F.array(row(4, name, F.col("doc_id"), F.concat(name, F.lit(" - "), "note"))))
+    lacks = F.when(F.size("missing") > 0, F.array(row(6, name, F.col("doc_id"), F.concat(name, F.lit(" - without: "), F.array_join(F.array_distinct("missing"), ", ")))))
+    none = F.slice(F.array(row(0, F.lit(""), F.lit(0), F.lit(""))), 1, 0)
+    own = results.select(F.inline(F.concat(extra, F.coalesce(other, none), F.coalesce(lacks, none)))).distinct()
+    # One row per group, as in grouped().
+    tables = groups.withColumn("tables", F.count("*").over(Window.partitionBy())).where("tables > 1")
+    label = F.format_string("Table %d: %d rows, %d parameters", "group_no", "n_rows", "width")
+    parts = [tables.select(F.inline(F.array(row(1, F.col("group_no").cast("string"), F.col("group_no"), label))))]
+    parts.append(duplicate_claims(results).select(F.inline(F.array(row(2, F.col("claim"), F.col("doc_id"), F.concat("claim", F.lit(": "), name))))))
+    if scanned is not None:
+        parts.append(scanned.select("doc_id").distinct().select(F.inline(F.array(row(5, name, F.col("doc_id"), name)))))
+    for part in parts:
+        own = own.unionByName(part)
+    return own
+
+
+def notes(details: DataFrame, profile: Profile) -> DataFrame:
+    """note_no, level (info or warn), text, n_details: the notes that a batch has."""
+    t = details.groupBy("note_no").agg(F.count("*").alias("n_details"), F.count_distinct("key").alias("keys"))
+    no = F.col("note_no")
+    text = (
+        F.when(no == 1, F.format_string("The result is split into %d tables.", "keys"))
+        .when(no == 2, F.format_string("%d claims occur more than once (%d rows); all are kept.", "keys", "n_details"))
+        .when(no == 3, F.format_string(f"%d labels outside the profile {profile.name} are columns too.", "keys"))
+        .when(no == 4, F.format_string("%d files hold more than one notice; ours was taken.", "keys"))
+        .when(no == 5, F.format_string("%d files without text were read by recognition.", "keys"))
+        .otherwise(F.format_string("%d files lack some labels.", "keys"))
+    )
+    return t.select("note_no", F.when(no.isin(2, 5), "warn").otherwise("info").alias("level"), text.alias("text"), "n_details")
+
+
 def summary(chosen: DataFrame, groups: DataFrame) -> DataFrame:
     a = chosen.agg(F.count("*").alias("files"), F.count_if("ok").alias("done"), F.count_if(~F.col("ok")).alias("skipped"), F.sum("total").alias("notices"), F.count_if("ok").alias("ours"), F.sum("other").alias("others"), F.count_if(F.col("note") != "").alias("noted"))
     return a.join(groups.agg(F.count("*").alias("tables"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")))
@@ -125,10 +173,13 @@ def banded_by_rounding(words: DataFrame, height: float = 3.0) -> DataFrame:
     return words.groupBy("doc_id", "page_no", F.bround(F.col("y") / height).cast("long").alias("band")).agg(text.alias("text"))
 
 
-def scanned_pages(lines: DataFrame, fewest: int = 120) -> DataFrame:
-    """Pages whose lines, stripped, have fewer characters: likely images."""
-    n = F.sum(F.length(L.clean(F.col("text"))))
-    return lines.groupBy("doc_id", "page_no").agg(n.alias("chars")).where(F.col("chars") < fewest)
+def scanned_pages(lines: DataFrame, fewest: int = 120, pages: DataFrame | None = None) -> DataFrame:
+    """Pages whose lines, stripped, have fewer characters: likely images. pages
+    (doc_id, page_no) names all there are: one without any line has 0 characters."""
+    t = lines.select("doc_id", "page_no", F.length(L.clean(F.col("text"))).alias("c"))
+    if pages is not None:
+        t = t.unionByName(pages.select("doc_id", "page_no", F.lit(0).alias("c")))
+    return t.groupBy("doc_id", "page_no").agg(F.sum("c").alias("chars")).where(F.col("chars") < fewest)
 
 
 def audit_cells(expected: DataFrame, sheet: DataFrame) -> DataFrame:

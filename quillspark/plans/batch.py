@@ -30,6 +30,18 @@ class Batch:
     def cells(self) -> DataFrame:
         return R.cells(self.results, self.profile, self.groups)
 
+    @property
+    def note_details(self) -> DataFrame:
+        return R.note_details(self.results, self.groups)
+
+    @property
+    def notes(self) -> DataFrame:
+        return R.notes(self.note_details, self.profile)
+
+    def rejected(self) -> str:
+        """Why there is no result, '' if there is one. Looks for one accepted file."""
+        return "no file could be read" if self.chosen.where("ok").isEmpty() else ""
+
 
 def detect(lines: DataFrame) -> Profile | None:
     """The profile of the first document that exactly one active profile matches."""

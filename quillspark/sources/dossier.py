@@ -24,7 +24,7 @@ def letter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda name: F.col(name).cast("string")
     lit = F.lit
     lines = [
-        line(1, [lit("  DEFINITE  LOSS ADVICE ")]),
+        line(1, [lit("  DEFINITE LOSS ADVICE ")]),
         line(1, [lit("Ref No : "), s("o_orderkey")]),
         line(1, [lit("Claim No :"), s("o_custkey")]),
         line(1, [lit("Reinsurer : "), F.when(k % 5 == 0, "PT Reasuransi Lain").otherwise("PT Asuransi Astra Buana")]),
@@ -49,6 +49,31 @@ def letter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "x.page_no", "line_no", "x.text")
 
 
+def letterhead_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_no, line_no, text of letters whose addressee is named by the
+    letterhead. By the order's key some have none or a foreign one, a footer in
+    place of the reference, or a second notice to us."""
+    k = F.col("o_orderkey")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    first = [
+        F.when(k % 6 == 1, "PT Reasuransi Lain").when(k % 6 > 1, "PT Asuransi Astra"),
+        F.lit("Definite Loss Advice"),
+        F.when(k % 4 == 0, "page 1 of 2").otherwise(text("R-", k)),
+        F.lit("Name of Reinsured : N"),
+        text("Interest Insured : ", F.col("o_orderpriority")),
+        text("Total Sum Insured : IDR ", F.format_number("o_totalprice", 2)),
+        text(": Expense IDR ", k),
+        text("Loss : Indemnity IDR ", k),
+        text("Your Share 2,5% of 10% : USD ", k),
+    ]
+    again = (k % 8 == 3) & (k % 6 != 1)
+    second = [F.when(again, x) for x in ("PT Asuransi Astra", "Definite Loss Advice", "Name of Reinsured : M")]
+    lines = [F.struct(F.lit(page).alias("page_no"), x.alias("text")) for page, part in ((1, first), (2, second)) for x in part]
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    rows = o.select(k.alias("doc_id"), F.posexplode(F.filter(F.array(*lines), lambda x: x["text"].isNotNull())).alias("line_no", "x"))
+    return rows.select("doc_id", "x.page_no", "line_no", "x.text")
+
+
 def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_no, x, y, word: words with coordinates, from line items."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
