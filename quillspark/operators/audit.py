@@ -52,12 +52,20 @@ def expected_value(header: Column, following: Column, found: Column) -> Column:
     return F.btrim(out.otherwise(L.filled(F.element_at(found, header))))
 
 
+def matched(expected: DataFrame, sheet: DataFrame) -> DataFrame:
+    """name, found, row (a table row: col_no, header, value), cells (with want and
+    got): letters and rows side by side, null where one is absent."""
+    row = F.array_sort(F.collect_list(F.struct("col_no", "header", L.filled(F.col("value")).alias("value"))))
+    t = expected.join(sheet.groupBy("name").agg(row.alias("row")), "name", "full")
+    following = lambda i: F.coalesce(F.get("row", i + 1)["header"], F.lit(""))
+    cell = lambda c, i: F.struct(c["col_no"].alias("col_no"), c["header"].alias("header"), expected_value(c["header"], following(i), F.col("found")).alias("want"), F.btrim(c["value"]).alias("got"))
+    cells = F.when(F.col("found").isNotNull(), F.filter(F.transform("row", cell), lambda c: c["header"] != SOURCE))
+    return t.select("name", "found", "row", cells.alias("cells"))
+
+
 def compared(expected: DataFrame, sheet: DataFrame) -> DataFrame:
     """name, col_no, header, want, got of each cell of letters in both."""
-    place = Window.partitionBy("name").orderBy("col_no")  # one row of a table
-    t = sheet.withColumn("following", F.lead("header", 1, "").over(place)).where(F.col("header") != SOURCE)
-    want = expected_value(F.col("header"), F.col("following"), F.col("found"))
-    return t.join(expected, "name").select("name", "col_no", "header", want.alias("want"), F.btrim(L.filled(F.col("value"))).alias("got"))
+    return matched(expected, sheet).select("name", F.inline("cells"))
 
 
 def differences(cells: DataFrame, samples: int = 3) -> DataFrame:
@@ -84,18 +92,27 @@ def first_names(names: DataFrame, most: int = 10) -> DataFrame:
     return names.orderBy("name").limit(most)
 
 
+def pair_ratio(row: Column) -> Column:
+    """The share's percentage of the nett amount in a table row."""
+    of = lambda h: F.get(F.filter(row, lambda c: c["header"] == h), F.lit(0))["value"]
+    return L.ratio(of("Your Share on Nett Loss"), of("Definite Claim Amount"))
+
+
 def ratios(sheet: DataFrame) -> DataFrame:
     """name, pct, odd of the rows that have both amounts."""
-    of = lambda h: F.max(F.when(F.col("header") == h, F.col("value")))
-    t = sheet.groupBy("name").agg(of("Definite Claim Amount").alias("nett"), of("Your Share on Nett Loss").alias("share"))
-    return t.select("name", L.ratio(F.col("share"), F.col("nett")).alias("pct")).where("pct is not null").withColumn("odd", odd_ratio(F.col("pct")))
+    t = sheet.groupBy("name").agg(F.collect_list(F.struct("header", "value")).alias("row"))
+    return t.select("name", pair_ratio(F.col("row")).alias("pct")).where("pct is not null").withColumn("odd", odd_ratio(F.col("pct")))
 
 
 def verdict(expected: DataFrame, sheet: DataFrame) -> DataFrame:
-    """One row: letters, rows, missing, extra, compared, differing, odd, clean."""
-    count = lambda t, name: t.agg(F.count("*").alias(name))
-    out = count(expected, "letters").join(count(sheet.select("name").distinct(), "rows_"))
-    out = out.join(count(missing(expected, sheet), "missing")).join(count(extra(expected, sheet), "extra"))
-    cells = compared(expected, sheet).agg(F.count("*").alias("compared"), F.count_if(F.col("want") != F.col("got")).alias("differing"))
-    out = out.join(cells).join(ratios(sheet).agg(F.count_if("odd").alias("odd")))
+    """One row: letters, rows_, missing, extra, compared, differing, odd, clean.
+    Letters and sheet are read once."""
+    t = matched(expected, sheet).withColumn("pct", pair_ratio(F.col("row")))
+    letter, row = F.col("found").isNotNull(), F.col("row").isNotNull()
+    total = lambda cells: F.coalesce(F.sum(F.size(cells).cast("long")), F.lit(0)).cast("long")
+    cells = F.coalesce("cells", F.array().cast("array<struct<col_no:int,header:string,want:string,got:string>>"))
+    out = t.agg(
+        F.count_if(letter).alias("letters"), F.count_if(row).alias("rows_"), F.count_if(letter & ~row).alias("missing"), F.count_if(row & ~letter).alias("extra"),
+        total(cells).alias("compared"), total(F.filter(cells, lambda c: c["want"] != c["got"])).alias("differing"), F.count_if(F.coalesce(odd_ratio(F.col("pct")), F.lit(False))).alias("odd"),
+    )
     return out.withColumn("clean", F.expr("missing + extra + differing + odd = 0"))

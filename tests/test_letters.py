@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import letters as L
+from quillspark.operators import audit as A
 from quillspark.operators import extraction as X
 from quillspark.operators import results as R
 from quillspark.plans import batch as B
@@ -79,6 +80,29 @@ def test_pages_and_their_pairs(spark, bulleted):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_headings_keep_inner_white_space(spark):
+    """A title printed with two blanks isn't found; edges don't matter."""
+    text = [(1, "\u00a0 Definite Loss Advice\t"), (2, "Definite  Loss Advice")]
+    lines = spark.createDataFrame([(d, 1, k, t) for d, x in text for k, t in enumerate(["", x, "Reinsurer : Asuransi Astra"])], "doc_id int, page_no int, line_no int, text string")
+    b = B.run(lines, "jrp")
+    assert {r.doc_id: r.kind for r in b.chosen.collect()} == {1: "DLA", 2: "?"}
+    assert B.run(lines.where("false"), "jrp").rejected() != ""
+
+
+def test_audit_of_nothing(spark):
+    """Empty letters, an empty sheet, both; values of null; equal counts in order of appearance."""
+    lines = spark.createDataFrame([(1, 1, 0, "Preliminary Loss Advice"), (1, 1, 1, "Reinsurer : Asuransi Astra"), (1, 1, 2, "Nett Amount : usd (5)")], "doc_id int, page_no int, line_no int, text string")
+    sheet = spark.createDataFrame([("1", 0, "Reinsurer", "x"), ("1", 1, "Currency", None), ("1", 2, "Definite Claim Amount", " 5 "), ("1", 3, "Sumber PDF", "1")], "name string, col_no int, header string, value string")
+    found = A.advice(lines)
+    count = lambda f, s: tuple(A.verdict(f, s).first())
+    assert count(found, sheet) == (1, 1, 0, 0, 3, 2, 0, False)
+    assert count(found, sheet.where("false")) == (1, 0, 1, 0, 0, 0, 0, False)
+    assert count(A.advice(lines.where("false")), sheet) == (0, 1, 0, 1, 0, 0, 0, False)
+    assert count(A.advice(lines.where("false")), sheet.where("false")) == (0, 0, 0, 0, 0, 0, 0, True)
+    got = [(r.header, r.n, r.want, r.got) for r in A.differences(A.compared(found, sheet)).orderBy("header_no", "place").collect()]
+    assert got == [("Reinsurer", 1, "Asuransi Astra", "x"), ("Currency", 1, "USD", "")]
+
+
 def test_letterhead_profile(spark):
     """Title on the third line: the letterhead names us, the next line is the reference."""
     text = ["PT Asuransi Astra", "to whom", "DEFINITE LOSS ADVICE", "R-77", "Name of Reinsured : N", "Interest Insured : I", "Total Sum Insured : IDR 5 / USD 6", "Expense IDR 9"]
@@ -123,7 +147,11 @@ def test_workbook_round_trip(spark, tmp_path):
     states = R.audit_cells(want, back.where("header <> 'Currency'").withColumn("name", name)).groupBy("state").count().collect()
     assert [(r.state) for r in states] == ["same"]
     assert B.pivoted(b, 1).count() == b.groups.where("group_no = 1").first().n_rows
-    assert "JRP" in workbook.report_json(b).first().json
+    report = [tuple(r) for r in workbook.report_json(b).orderBy("section", "place").collect()]
+    assert "JRP" in report[0][2] and [r[0][0] for r in report] == sorted(r[0][0] for r in report)
+    groups, skipped = b.groups.count(), b.chosen.where("not ok").count()
+    assert sum(r[0] == "2 group" for r in report) == groups and sum(r[0] == "5 skipped" for r in report) == skipped
+    assert workbook.output_name(b) == "JRP.xlsx" and workbook.output_name(b, "may") == "may.xlsx" and b.rejected() == ""
 
 
 def test_archives(spark, tmp_path):
