@@ -12,8 +12,9 @@ reads a window, attention weighs its places, and the pooled state gives the
 window's logit. A document is scored on all its overlapping windows and gets
 the largest. Everything is numpy.
 
-Training is on the driver, on all windows of at most `most` labelled documents
-of each kind (those with the smallest hashes of their ids). A toxic document
+Training is one task, on all windows of at most `most` labelled documents of
+each kind (those with the smallest hashes of their ids); the driver gets the
+weights. A toxic document
 need not be toxic everywhere, so after a first phase only its highest windows
 are trained as toxic. A fifth of the documents is kept aside; it straightens
 the scores.
@@ -25,6 +26,7 @@ kinds every score is the share of label 1, or 0.5.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
@@ -324,10 +326,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
     labels = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     kinds = [labels.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     few = F.broadcast(stored(kinds[0].unionByName(kinds[1])))
-    got = id_text(docs).join(few, "doc_id").orderBy("doc_id", "text").limit(2 * most).toArrow()
-    aside = lambda doc: crc32(str(doc).encode()[::-1]) % 5 == 4
-    rows = (r for b in got.to_batches(200) for r in b.to_pylist())
-    return train(((r["label"], aside(r["doc_id"]), words_of(r["text"])) for r in rows), **options)
+    sample = id_text(docs).join(few, "doc_id").orderBy("doc_id", "text").limit(2 * most)
+
+    def learn(batches):
+        aside = lambda doc: crc32(str(doc).encode()[::-1]) % 5 == 4
+        parts = (b.slice(k, 100) for b in batches for k in range(0, b.num_rows, 100))
+        rows = (r for part in parts for r in part.to_pylist())
+        net = train(((r["label"], aside(r["doc_id"]), words_of(r["text"])) for r in rows), **options)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    # limit() leaves one partition, so one task learns and the driver gets the weights only.
+    made = sample.mapInArrow(learn, "net binary").first()
+    return pickle.loads(made.net) if made else Constant(0.5)
 
 
 SCORES = "struct<score:double,n_windows:long,worst_word:long>"
