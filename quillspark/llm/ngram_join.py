@@ -14,6 +14,8 @@ members only if the overlap with that union can reach the threshold.
    |x| - ceil(0.8 |x|) + k of x and those of y; k is one and a twentieth of the
    smaller set. So a class that shares fewer prefix tokens with all others has no
    link, which holds for most texts, also for those with a common passage.
+   The smaller set x even shares k tokens among its first |x| - ceil(8 |x| / 9) + k
+   with that prefix of y, as |x & y| >= 8 |x| / 9: its early tokens.
    Classes that share enough are written once, with their tokens and with a bitmap of
    these of about eight bits a token. A bit of x that y lacks is a token of x
    outside y, so two bitmaps bound the overlap, at a tenth of the sets' size.
@@ -21,8 +23,8 @@ members only if the overlap with that union can reach the threshold.
    one each time, and each group tries the leader that most of its prefix tokens
    name. Linked groups become one. Thousands of near copies meet this way with a
    few comparisons each.
-4. Matrix: classes and other groups that share a prefix token are the pairs that
-   may still link. A group's row is the union of its members' bitmaps; only
+4. Matrix: classes and other groups that share enough prefix tokens, early ones
+   of the smaller set, are the pairs that may still link. A group's row is the union of its members' bitmaps; only
    groups whose union lets the overlap reach the threshold are opened, and there
    a class meets the bitmaps of all members of fitting size.
 5. Pairs that the bitmaps allow are compared token by token: first the likeliest
@@ -124,8 +126,9 @@ def levels_of(tokens: np.ndarray, levels: list[Membership]) -> np.ndarray:
 
 def prefixes(docs: DataFrame, order, only=None) -> DataFrame:
     """t, cid for each prefix token t of each set; with a filter of tokens one row
-    per class that has some of them: cid, n, ts, tokens (ascending), bits."""
-    schema = "cid long, n long, ts array<long>, tokens binary, bits binary" if only else "t long, cid long"
+    per class that has some of them: cid, n, ts, how many of these are in the
+    prefix that does for partners of its size or more, tokens (ascending), bits."""
+    schema = "cid long, n long, ts array<long>, first int, tokens binary, bits binary" if only else "t long, cid long"
 
     def scan(batches):
         rank, kept = order.value, only.value if only else None
@@ -134,7 +137,7 @@ def prefixes(docs: DataFrame, order, only=None) -> DataFrame:
             for _, _, raw, offsets in text_slices(batch.column(0)):
                 tokens, begin = shingle_sets(raw, offsets, WIDTH)
                 freq = levels_of(tokens, rank)
-                out, cids, sets = [], [], []
+                out, cids, sets, short = [], [], [], []
                 for k in range(len(begin) - 1):
                     own = tokens[begin[k] : begin[k + 1]]
                     n = len(own)
@@ -142,14 +145,14 @@ def prefixes(docs: DataFrame, order, only=None) -> DataFrame:
                         continue
                     seen.add(key)
                     p, f = n - needed(n) + extra(n), freq[begin[k] : begin[k + 1]]
-                    # The p first by level, then by hash; own ascends, so a stable choice will do.
-                    edge = np.partition(f, p - 1)[p - 1]
-                    low = np.flatnonzero(f < edge)
-                    t = own[np.concatenate([low, np.flatnonzero(f == edge)[: p - len(low)]])]
+                    # The p first by level, then by hash; own ascends, so a stable sort will do.
+                    t = own[np.argsort(f, kind="stable")[:p]]
                     if kept is not None:
-                        t = t[kept.has(t)]
-                        if len(t) < extra(needed(n)):
+                        known = kept.has(t)
+                        if known.sum() < extra(needed(n)):
                             continue
+                        t = t[known]
+                        short.append(int(known[: n - (8 * n + 8) // 9 + extra(n)].sum()))
                         sets.append(own)
                     out.append(t)
                     cids.append(key)
@@ -164,7 +167,7 @@ def prefixes(docs: DataFrame, order, only=None) -> DataFrame:
                 else:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), ts)
                     bits = [bitmap(x, bitmap_bits(len(x))).tobytes() for x in sets]
-                    yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), lists, pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(bits, pa.binary())], ["cid", "n", "ts", "tokens", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), lists, pa.array(short, pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(bits, pa.binary())], ["cid", "n", "ts", "first", "tokens", "bits"])
 
     return docs.select("text").mapInArrow(scan, schema)
 
@@ -302,7 +305,7 @@ def compatible(a: str, b: str):
 
 
 def narrowed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Of rows (t, cid, n, grp), with the groups that labels give, those that may
+    """Of rows (t, cid, n, grp, early), with the groups that labels give, those that may
     still lead to another group: of tokens that several groups have, and of
     classes with enough of these. The old table goes."""
     now = rows
@@ -312,7 +315,7 @@ def narrowed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     several = now.groupBy("t").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t")
     part = stored(now.join(several, "t"))
     enough = part.groupBy("cid", "n").agg(F.count("*").alias("times")).where(F.col("times") >= least_shared(F.col("n"))).select("cid")
-    out = stored(part.join(enough, "cid").select("t", "cid", "n", "grp"))
+    out = stored(part.join(enough, "cid").select("t", "cid", "n", "grp", "early"))
     discard(rows, part, *([now] if labels is not None else []))
     return out
 
@@ -327,7 +330,7 @@ def components(docs: DataFrame, leader_rounds: int = 6) -> tuple[DataFrame, Data
     shared = stored(prefixes(docs, order).groupBy("t").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("t"))
     alive = context.broadcast(Membership.of(shared))
     held = stored(prefixes(docs, order, alive))
-    rows = stored(held.select("cid", "n", F.explode("ts").alias("t")).distinct().join(shared, "t").withColumn("grp", F.col("cid")))
+    rows = stored(held.select("cid", "n", "first", F.posexplode("ts").alias("at", "t")).select("cid", "n", "t", (F.col("at") < F.col("first")).alias("early")).distinct().join(shared, "t").withColumn("grp", F.col("cid")))
     rows = narrowed(rows, None)
     bits = stored(held.groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")).join(rows.select("cid").distinct(), "cid"))
     labels = stored(bits.select(F.col("cid").alias("id"), F.col("cid").alias("label")))
@@ -352,11 +355,15 @@ def components(docs: DataFrame, leader_rounds: int = 6) -> tuple[DataFrame, Data
         if not found:
             break
 
-    # The classes of the smaller group of two ask the larger one.
+    # The classes of the smaller group of two ask the larger one. Of two sets the
+    # smaller one's token has to be an early one.
     sizes = labels.groupBy(F.col("label").alias("grp")).agg(F.count("*").alias("size"))
     asking = stored(rows.join(sizes, "grp"))
-    groups = asking.groupBy("t", F.col("grp").alias("g"), F.col("size").alias("of")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    queries = asking.join(groups, "t").where((F.struct("of", "g") > F.struct("size", "grp")) & (F.col("low") * 4 <= F.col("n") * 5) & (F.col("n") * 4 <= F.col("high") * 5))
+    early = F.when(F.col("early"), F.col("n"))
+    groups = asking.groupBy("t", F.col("grp").alias("g"), F.col("size").alias("of")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(early).alias("early_low"), F.max(early).alias("early_high"))
+    larger = F.col("early") & (F.col("n") <= F.col("high")) & (F.col("low") * 4 <= F.col("n") * 5)
+    smaller = (F.col("early_low") <= F.col("n")) & (F.col("n") * 4 <= F.col("early_high") * 5)
+    queries = asking.join(groups, "t").where((F.struct("of", "g") > F.struct("size", "grp")) & (larger | smaller))
     queries = stored(queries.groupBy("cid", "n", F.col("g").alias("grp")).agg(F.count("*").alias("times")).where(F.col("times") >= least_shared(F.col("n"))).select("cid", "grp"))
     members = labels.select(F.col("id").alias("cid"), F.col("label").alias("grp"))
     inside = stored(members.join(queries.select("grp").distinct(), "grp").join(bits, "cid"))
