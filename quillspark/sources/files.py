@@ -7,9 +7,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.naming import unique_names
+from ..operators.scan import running
+
 # Limits of a batch.
 MOST_FILES = 250
 MOST_PDF, MOST_ZIP, MOST_TOTAL, MOST_UNPACKED = 15 << 20, 200 << 20, 400 << 20, 600 << 20
@@ -22,47 +25,89 @@ def listed(spark: SparkSession, folder: str, pattern: str = "*.pdf", content: bo
     return files.select(*columns, *(["content"] if content else [])).orderBy("path")
 
 
+def kind_of(name: Column) -> Column:
+    """pdf, zip or null."""
+    lowered = F.lower(name)
+    return F.when(lowered.endswith(".pdf"), "pdf").when(lowered.endswith(".zip"), "zip")
+
+
+def admission(files: DataFrame) -> DataFrame:
+    """Of files (seq, name, size) those of the two kinds, with place (1, 2, ... in the
+    order of seq), total (bytes up to and with this one), read_seq and error.
+
+    A PDF of a repeated name overwrites the one before, and both stay listed: read_seq
+    is the upload whose bytes the name holds in the end. error says which limit
+    a file breaks by itself, or from which one on the request is too large; a request
+    with an error is refused as a whole. seq is a number of its own for each row (rows
+    that share one come in the order of name and size); null sizes count as 0."""
+    t = files.select("seq", F.col("name"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), kind_of(F.col("name")).alias("kind")).where("kind is not null")
+    t = running(t, "seq", {"place": F.lit(1).cast("long"), "total": F.col("size")}, ties=("name", "size"))
+    last = t.where("kind = 'pdf'").groupBy("name").agg(F.max("seq").alias("last"))
+    error = F.when((F.col("kind") == "pdf") & (F.col("size") > MOST_PDF), "file too large").when((F.col("kind") == "zip") & (F.col("size") > MOST_ZIP), "archive too large").when(F.col("total") > MOST_TOTAL, "batch too large")
+    read = F.when(F.col("kind") == "pdf", F.col("last")).otherwise(F.col("seq"))
+    return t.join(last, "name", "left").select("seq", "name", "size", "kind", "place", "total", read.alias("read_seq"), error.alias("error"))
+
+
 def accepted(files: DataFrame, most: int = MOST_FILES) -> DataFrame:
     """Of files (seq, name, size): PDF and ZIP within their limits, the first
-    `most`, with error for those over a limit. Arrival order is seq. A batch is at
-    most some hundreds of files, so one window over them is small."""
-    name = F.lower("name")
-    kept = files.where(name.endswith(".pdf") | name.endswith(".zip"))
-    order = Window.orderBy("seq")
-    kept = kept.withColumn("total", F.sum("size").over(order)).withColumn("no", F.row_number().over(order)).where(F.col("no") <= most)
-    error = F.when(name.endswith(".pdf") & (F.col("size") > MOST_PDF), "file too large").when(name.endswith(".zip") & (F.col("size") > MOST_ZIP), "archive too large").when(F.col("total") > MOST_TOTAL, "batch too large")
-    return kept.select("seq", "name", "size", error.alias("error"))
+    `most`, with error for those over a limit. Arrival order is seq."""
+    return admission(files).where(F.col("place") <= most).select("seq", "name", "size", "error")
 
 
-def unpacked(archives: DataFrame, most: int = MOST_FILES) -> DataFrame:
-    """archive, seq, name, size, content, error of the PDFs inside archives (path,
-    content). Folders and dot-files are skipped, names lose their folders, and
-    a name that is taken gets ' (2)', ' (3)', ..."""
+def members(archives: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """archive, at, name, size, content, error of the PDFs inside archives (path,
+    content), as they are named there without folders. Folders and dot-files are
+    skipped; one member's bytes are held at a time beside its archive's."""
+    columns = ["archive", "at", "name", "size", "content", "error"]
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for path, raw in zip(frame["path"], frame["content"]):
-                rows, taken, total = [], set(), 0
+                at = total = 0
                 try:
-                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
                         for info in z.infolist():
                             name = info.filename.replace("\\", "/").rsplit("/", 1)[-1]
                             if info.is_dir() or name.startswith(".") or not name.lower().endswith(".pdf"):
                                 continue
-                            if len(rows) == most:
+                            if at == most:
                                 break
                             total += info.file_size
-                            stem, n, own = name[:-4], 2, name
-                            while own in taken:
-                                own, n = f"{stem} ({n}){name[-4:]}", n + 1
-                            taken.add(own)
                             error = "file too large" if info.file_size > MOST_PDF else "archive too large" if total > MOST_UNPACKED else None
-                            rows.append((path, len(rows), own, info.file_size, None if error else z.read(info), error))
+                            yield pd.DataFrame([(path, at, name, info.file_size, None if error else z.read(info), error)], columns=columns)
+                            at += 1
                 except zipfile.BadZipFile:
-                    rows = [(path, 0, None, 0, None, "not an archive")]
-                yield pd.DataFrame(rows, columns=["archive", "seq", "name", "size", "content", "error"])
+                    yield pd.DataFrame([(path, 0, None, 0, None, "not an archive")], columns=columns)
+
+    return archives.select("path", "content").mapInPandas(expand, "archive string, at long, name string, size long, content binary, error string")
 
-    return archives.select("path", "content").mapInPandas(expand, "archive string, seq long, name string, size long, content binary, error string")
+
+def unpacked(archives: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """archive, seq, name, size, content, error: members of archives in one folder,
+    archives in the order of their paths; a taken name gets the smallest free number."""
+    rows = members(archives, most)
+    order = running(rows.select("archive").distinct().withColumn("crc", F.lit(0)), "crc", {"no": F.lit(1).cast("long")}, ties=("archive",)).select("archive", "no")
+    placed = rows.join(order, "archive").withColumn("seq", F.col("no") * (most + 1) + F.col("at"))
+    named = unique_names(placed.select("seq", "name"))
+    return placed.join(named.select("seq", "own"), "seq").select("archive", F.col("at").alias("seq"), F.col("own").alias("name"), "size", "content", "error")
+
+
+def listing(uploads: DataFrame, inside: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """place, seq, at, name, read_seq: the batch's files in order, the first `most`.
+
+    uploads: seq, name, size; inside (members of uploaded archives): seq (of the
+    archive), at (0, 1, ... below 2^20), name. A PDF keeps its name, a member whose
+    name is taken at its turn gets a number. read_seq is the upload whose bytes a name
+    holds: that of the last PDF of this name, else the member's own archive."""
+    direct = admission(uploads).where("kind = 'pdf'").select("seq", F.lit(0).cast("long").alias("at"), "name", "read_seq", F.lit(True).alias("fixed"))
+    packed = inside.where("name is not null").select("seq", F.col("at").cast("long").alias("at"), "name", F.col("seq").alias("read_seq"), F.lit(False).alias("fixed"))
+    rows = direct.unionByName(packed).withColumn("turn", F.col("seq") * (1 << 20) + F.col("at"))
+    named = unique_names(rows.select(F.col("turn").alias("seq"), "name", "fixed")).select(F.col("seq").alias("turn"), "own")
+    rows = rows.join(named, "turn")
+    over = rows.where("fixed").groupBy("own").agg(F.max("seq").alias("over"))
+    placed = running(rows.join(over, "own", "left"), "turn", {"place": F.lit(1).cast("long")})
+    later = ~F.col("fixed") & (F.col("over") > F.col("seq"))
+    return placed.where(F.col("place") <= most).select("place", "seq", "at", F.col("own").alias("name"), F.when(later, F.col("over")).otherwise(F.col("read_seq")).alias("read_seq"))
 
 
 def pdf_words(files: DataFrame) -> DataFrame:
@@ -85,7 +130,11 @@ def pdf_words(files: DataFrame) -> DataFrame:
 
 
 def with_recognised(lines: DataFrame, recognised: DataFrame) -> DataFrame:
-    """Lines of pages that were recognised from images replace the printed ones."""
+    """Lines (doc_id, page_no, line_no, text) with from_ocr: pages that were recognised
+    from images have the recognised lines (of the same columns) in place of the
+    printed ones. A page that recognised has no row of stays as printed; one that it
+    gives only blank or null lines is recognised as blank."""
     pages = recognised.select("doc_id", "page_no").distinct()
-    printed = lines.join(pages, ["doc_id", "page_no"], "left_anti").withColumn("from_ocr", F.lit(False))
-    return printed.unionByName(recognised.withColumn("from_ocr", F.lit(True)))
+    columns = ["doc_id", "page_no", "line_no", "text"]
+    printed = lines.select(columns).join(pages, ["doc_id", "page_no"], "left_anti").withColumn("from_ocr", F.lit(False))
+    return printed.unionByName(recognised.select(columns).withColumn("from_ocr", F.lit(True)))
