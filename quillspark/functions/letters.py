@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 # What counts as white space, and the patterns of letters' lines.
 WHITE = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+UNCLEAN = "  |^ | $|[\\t-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 CURRENCIES = "IDR|USD|SGD|EUR|AUD|JPY|GBP|Rp"
 CURRENCY = f"(?i)\\b({CURRENCIES})\\b"
 NUMBER = "\\d[\\d.,]*\\d|\\d"
 AMOUNT = f"(?i)(?:{CURRENCIES})\\s*\\(?\\s*([\\d.,]*\\d)"
 MONEY = f"(?:{CURRENCIES})\\s*\\(?-?[\\d.,]+\\)?"
 PAIR = "^([A-Za-z][A-Za-z0-9 ./&'%()\\-]{1,38}?)\\s*:\\s*(.*)$"
+LABEL = "^[A-Za-z][A-Za-z0-9 ./&'%()\\-]*$"
 SHARE = "(?i)^([A-Za-z][A-Za-z ./&'\\-]{1,38}?)\\s+[\\d.,]+%\\s+of\\s+[\\d.,]+%\\s*:\\s*(.*)$"
 BULLET = f"(?i)^[:\\s]*([A-Za-z][A-Za-z ./&'\\-]{{1,38}}?)\\s*:?\\s+({MONEY})\\s*$"
 NESTED = f"(?i)^([A-Za-z][A-Za-z ./&'\\-]{{1,38}}?)\\s+({MONEY})\\s*$"
@@ -25,6 +27,7 @@ CAPITALS = "^[A-Z]{40,}$"
 SIGN_DATE = "^\\s*,?\\s*\\d{1,2}[/-]\\d{1,2}[/-]\\d{4}\\s*$"
 FOOTER = "(?i)page \\d+ of \\d+|for and on behalf of"
 EDGES = " :-,"
+HEADINGS = 6
 
 
 def filled(c: Column) -> Column:
@@ -32,14 +35,39 @@ def filled(c: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """White space runs as one space, none at the ends."""
-    return F.btrim(F.regexp_replace(filled(c), WHITE, " "))
+    """White space runs as one space, none at the ends. Texts that are so already,
+    which one search finds out, aren't written anew."""
+    c = filled(c)
+    return F.when(c.rlike(UNCLEAN), F.btrim(F.regexp_replace(c, WHITE, " "))).otherwise(c)
 
 
 def is_junk(line: Column) -> Column:
     return line.rlike(CAPITALS) | line.rlike(SIGN_DATE) | line.rlike(FOOTER)
 
 
+def is_junk_line(line: Column) -> Column:
+    """is_junk of a clean line: each pattern is tried only where its length and a plain search allow it."""
+    n = F.length(line)
+    return ((n >= 40) & ~F.contains(line, F.lit(" ")) & line.rlike(CAPITALS)) | (n.between(8, 12) & line.rlike(SIGN_DATE)) | (F.contains(F.lower(line), F.lit(" of")) & line.rlike(FOOTER))
+
+
+def is_share_line(line: Column) -> Column:
+    return F.contains(line, F.lit("%")) & F.contains(line, F.lit(":")) & line.rlike(SHARE)
+
+
+def is_close_line(line: Column) -> Column:
+    return F.contains(line, F.lit(", ")) & F.right(line, F.lit(1)).between("0", "9") & line.rlike(CLOSE)
+
+
+def pair_of_line(line: Column) -> tuple[Column, Column, Column]:
+    """Of a clean line whether it is a pair, its label and its value. A label holds no
+    colon, so the line is cut at the first one, and only what is before it is tested."""
+    before = F.substring_index(line, ":", 1)
+    label = F.rtrim(before)
+    pair = F.contains(line, F.lit(":")) & F.length(before).between(2, 200) & (F.length(label) <= 39) & before.rlike(LABEL)
+    return pair, label, F.btrim(F.substring(line, F.length(before) + 2, F.length(line)))
+
+
 def is_pair(line: Column) -> Column:
     return line.rlike(PAIR)
 
@@ -109,10 +137,13 @@ def initials(title: Column) -> Column:
     return F.when(letters == "", "?").otherwise(letters)
 
 
-def headings(lines: Column, most: int = 6) -> Column:
-    """The first lines that aren't blank, without white space at their ends;
-    inside, it stays."""
-    bare = lambda x: F.regexp_replace(filled(x), f"^{WHITE}|{WHITE}$", "")
+def bare(c: Column) -> Column:
+    """Without white space at the ends; inside, it stays."""
+    return F.regexp_replace(filled(c), f"^{WHITE}|{WHITE}$", "")
+
+
+def headings(lines: Column, most: int = HEADINGS) -> Column:
+    """The first lines that aren't blank, bare."""
     return F.slice(F.filter(F.transform(lines, bare), lambda x: x != ""), 1, most)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import letters as L
 from . import extraction as X
 from .results import odd_ratio, strings
+from .scan import running
 
 # The titles, the addressee's label and names, and of the headers
 # that don't show a label's value as it is, the label and how it is taken.
@@ -33,7 +34,7 @@ SOURCE = "Sumber PDF"
 def advice(lines: DataFrame) -> DataFrame:
     """name, found: of each letter the pairs of its first page with a title in
     the first six lines that is addressed to us; letters without one are absent."""
-    pages = X.page_table(lines, X.extract_pairs(lines, plain=True))
+    pages = X.page_table(lines, plain=True)
     head = F.upper(F.array_join(F.transform("heads", L.clean), " "))
     who = F.lower(L.filled(F.element_at("found", F.lit(OWNER))))
     ours = F.exists(strings(TITLES), lambda t: F.contains(head, t)) & F.exists(strings(OWNER_NAMES), lambda n: F.contains(who, n))
@@ -52,9 +53,20 @@ def expected_value(header: Column, following: Column, found: Column) -> Column:
     return F.btrim(out.otherwise(L.filled(F.element_at(found, header))))
 
 
+def last_rows(sheet: DataFrame) -> DataFrame:
+    """The sheet with one row a name. Where sheets number their rows (row_no), a name
+    that several rows have keeps the last one, as a later row replaces an earlier."""
+    if "row_no" not in sheet.columns:
+        return sheet
+    last = sheet.groupBy("name").agg(F.max("row_no").alias("row_no"))
+    return sheet.join(last, ["name", "row_no"], "left_semi").drop("row_no")
+
+
 def matched(expected: DataFrame, sheet: DataFrame) -> DataFrame:
     """name, found, row (a table row: col_no, header, value), cells (with want and
-    got): letters and rows side by side, null where one is absent."""
+    got): letters and rows side by side, null where one is absent. Of several rows
+    of a name the last counts."""
+    sheet = last_rows(sheet)
     row = F.array_sort(F.collect_list(F.struct("col_no", "header", L.filled(F.col("value")).alias("value"))))
     t = expected.join(sheet.groupBy("name").agg(row.alias("row")), "name", "full")
     following = lambda i: F.coalesce(F.get("row", i + 1)["header"], F.lit(""))
@@ -73,7 +85,7 @@ def differences(cells: DataFrame, samples: int = 3) -> DataFrame:
     first (of equal ones the first seen), with their first few."""
     t = cells.where("want <> got")
     counts = t.groupBy("header").agg(F.count("*").alias("n"), F.min(F.struct("name", "col_no")).alias("first"))
-    counts = counts.withColumn("header_no", F.row_number().over(Window.orderBy(F.desc("n"), "first")))  # a row a header
+    counts = running(counts.withColumn("less", -F.col("n")), "less", {"header_no": F.lit(1).cast("long")}, ties=("first",)).drop("less")
     few = t.withColumn("place", F.row_number().over(Window.partitionBy("header").orderBy("name", "col_no"))).where(F.col("place") <= samples)
     return few.join(counts, "header").select("header", "n", "header_no", "place", "name", "want", "got")
 
@@ -100,7 +112,9 @@ def pair_ratio(row: Column) -> Column:
 
 def ratios(sheet: DataFrame) -> DataFrame:
     """name, pct, odd of the rows that have both amounts."""
-    t = sheet.groupBy("name").agg(F.collect_list(F.struct("header", "value")).alias("row"))
+    key = [c for c in ("name", "row_no") if c in sheet.columns]
+    # Of equal headers the first place counts; the ratio test looks at every row of the sheet.
+    t = sheet.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "header", "value"))), lambda c: F.struct(c["header"].alias("header"), c["value"].alias("value"))).alias("row"))
     return t.select("name", pair_ratio(F.col("row")).alias("pct")).where("pct is not null").withColumn("odd", odd_ratio(F.col("pct")))
 
 

@@ -24,15 +24,15 @@ def classified(lines: DataFrame, bulleted: Column | bool = False, plain: bool =
     bulleted = F.lit(bulleted) if isinstance(bulleted, bool) else bulleted
     t = lines.withColumn("line", L.clean(F.col("text"))).withColumn("bulleted", F.coalesce(bulleted, F.lit(False)))
     line = F.col("line")
-    label, value = L.label_value(line, L.PAIR)
-    t = t.withColumn("pair", L.is_pair(line)).withColumn("plabel", label).withColumn("pvalue", value)
-    kind = F.when((line == "") | L.is_junk(line), "reset").when(F.col("pair"), "pair").when(line.rlike(L.CLOSE), "close").otherwise("cont") if plain else (
-        F.when((line == "") | L.is_junk(line), "reset")
+    pair, label, value = L.pair_of_line(line)
+    t = t.withColumn("pair", pair).withColumn("plabel", F.when(F.col("pair"), label)).withColumn("pvalue", F.when(F.col("pair"), value))
+    kind = F.when((line == "") | L.is_junk_line(line), "reset").when(F.col("pair"), "pair").when(L.is_close_line(line), "close").otherwise("cont") if plain else (
+        F.when((line == "") | L.is_junk_line(line), "reset")
         .when(F.col("pair") & L.is_label(F.col("plabel")), "pair")
         .when(F.col("pair"), "reset")
-        .when(line.rlike(L.SHARE), "share")
+        .when(L.is_share_line(line), "share")
         .when(F.col("bulleted") & line.rlike(L.BULLET), "bullet")
-        .when(line.rlike(L.CLOSE), "close")
+        .when(L.is_close_line(line), "close")
         .otherwise("cont")
     )
     t = t.withColumn("kind", kind)
@@ -45,27 +45,51 @@ def classified(lines: DataFrame, bulleted: Column | bool = False, plain: bool =
     return t.drop("pair", "plabel", "pvalue", "bulleted")
 
 
-def extract_pairs(lines: DataFrame, bulleted: Column | bool = False, plain: bool = False) -> DataFrame:
-    """doc_id, page_no, label, value, pos: each page's pairs. A later pair of a
-    label replaces an earlier one; bullets only fill in; lines without a label
-    go on with the one before; a page ends at the letter's close."""
+def page_events(lines: DataFrame, bulleted: Column | bool = False, plain: bool = False, heads: bool = False) -> DataFrame:
+    """doc_id, page_no, label, value, pos of each page's pairs; with heads also a
+    row with a null label per page: first_lines, those that aren't blank, as (line_no,
+    text), and from_ocr. Lines and labels are seen once for both."""
     page = Window.partitionBy(*PAGE)
     ordered = page.orderBy("line_no")
-    t = classified(lines, bulleted, plain)
+    t = classified(lines.withColumn("line_no", F.col("line_no").cast("int")), bulleted, plain)
     t = t.withColumn("stop", F.min(F.when(F.col("kind") == "close", F.col("line_no"))).over(page))
-    t = t.where(F.col("stop").isNull() | (F.col("line_no") < F.col("stop")))
-    t = t.withColumn("run", F.sum(F.when(F.col("kind") != "cont", 1).otherwise(0)).over(ordered))
+    starts = F.when(F.col("kind") != "cont", 1).otherwise(0)
+    after = F.col("line_no") >= F.col("stop")
+    if heads:
+        t = t.withColumn("no", F.sum(F.when(F.col("line") != "", 1).otherwise(0)).over(ordered)).withColumn("run", F.sum(starts).over(ordered))
+        # Lines after the close are in no run of pairs, but may be among the first ones.
+        t = t.withColumn("run", F.when(after, -1).otherwise(F.col("run"))).withColumn("kind", F.when(after, "after").otherwise(F.col("kind")))
+    else:
+        t = t.where(F.col("stop").isNull() | ~after).withColumn("run", F.sum(starts).over(ordered))
     head = lambda c: F.max(F.when(F.col("kind") != "cont", F.col(c)))
     tail = F.array_sort(F.collect_list(F.when(F.col("kind") == "cont", F.struct("line_no", "line"))))
-    runs = t.groupBy(*PAGE, "run").agg(*(head(c).alias(c) for c in ("kind", "label", "value", "nested_label", "nested_value", "line_no")), F.transform(tail, lambda x: x["line"]).alias("tail"))
-    runs = runs.where(F.col("kind").isin("pair", "share", "bullet"))
+    columns = [*(head(c).alias(c) for c in ("kind", "label", "value", "nested_label", "nested_value", "line_no")), F.transform(tail, lambda x: x["line"]).alias("tail")]
+    if heads:
+        first = F.when((F.col("line") != "") & (F.col("no") <= L.HEADINGS), F.struct("line_no", L.bare(F.col("text")).alias("text")))
+        columns += [F.collect_list(first).alias("heads"), F.max("from_ocr").alias("from_ocr"), F.min("no").alias("no")]
+    runs = t.groupBy(*PAGE, "run").agg(*columns)
+    # A run before the first pair has no head: its kind is null.
+    paired = F.coalesce(F.col("kind").isin("pair", "share", "bullet"), F.lit(False))
     whole = F.btrim(F.array_join(F.concat(F.array("value"), F.col("tail")), " "))
-    own = F.struct(F.col("label").alias("label"), F.when(F.col("kind") == "bullet", F.col("value")).otherwise(whole).alias("value"), (F.col("kind") != "bullet").alias("sets"), (2 * F.col("line_no") + 1).alias("seq"))
-    inner = F.struct(F.col("nested_label").alias("label"), F.col("nested_value").alias("value"), F.lit(False).alias("sets"), (2 * F.col("line_no")).alias("seq"))
-    events = runs.select(*PAGE, F.inline(F.filter(F.array(own, inner), lambda e: e["label"].isNotNull())))
+    none = [F.lit(None).cast("array<struct<line_no:int,text:string>>").alias("heads"), F.lit(None).cast("boolean").alias("from_ocr")] if heads else []
+    own = F.struct(F.when(paired, F.col("label")).alias("label"), F.when(F.col("kind") == "bullet", F.col("value")).otherwise(whole).alias("value"), (F.col("kind") != "bullet").alias("sets"), (2 * F.col("line_no") + 1).alias("seq"), *none)
+    inner = F.struct(F.when(paired, F.col("nested_label")).alias("label"), F.col("nested_value").alias("value"), F.lit(False).alias("sets"), (2 * F.col("line_no")).alias("seq"), *none)
+    found = [F.filter(F.array(own, inner), lambda e: e["label"].isNotNull())]
+    if heads:
+        start = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("sets"), F.lit(0).alias("seq"), F.col("heads").cast("array<struct<line_no:int,text:string>>").alias("heads"), F.col("from_ocr").alias("from_ocr"))
+        found.append(F.when((F.size("heads") > 0) | (F.col("no") == 0), F.array(start)).otherwise(F.slice(F.array(start), 1, 0)))
+    events = runs.select(*PAGE, F.inline(F.concat(*found)))
     last = F.max_by(F.when(F.col("sets"), F.col("value")), F.when(F.col("sets"), F.col("seq")))
     first = F.min_by(F.when(~F.col("sets"), F.col("value")), F.when(~F.col("sets"), F.col("seq")))
-    return events.groupBy(*PAGE, "label").agg(F.coalesce(last, first).alias("value"), F.min("seq").alias("pos"))
+    more = [F.flatten(F.collect_list("heads")).alias("first_lines"), F.max("from_ocr").alias("from_ocr")] if heads else []
+    return events.groupBy(*PAGE, "label").agg(F.coalesce(last, first).alias("value"), F.min("seq").alias("pos"), *more)
+
+
+def extract_pairs(lines: DataFrame, bulleted: Column | bool = False, plain: bool = False) -> DataFrame:
+    """doc_id, page_no, label, value, pos: each page's pairs. A later pair of a
+    label replaces an earlier one; bullets only fill in; lines without a label
+    go on with the one before; a page ends at the letter's close."""
+    return page_events(lines, bulleted, plain)
 
 
 def updated(old: Column, new: Column) -> Column:
@@ -79,12 +103,16 @@ def with_default(old: Column, key: Column, value: Column) -> Column:
     return F.when(use, F.map_concat(old, F.create_map(key, value))).otherwise(old)
 
 
-def page_table(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, page_no, heads (first lines that aren't blank), found (ordered map)."""
-    heads = lines.groupBy(*PAGE).agg(L.headings(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])).alias("heads"))
-    entries = F.array_sort(F.collect_list(F.struct("pos", "label", "value")))
-    found = pairs.groupBy(*PAGE).agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["label"], e["value"]))).alias("found"))
-    return heads.join(found, PAGE, "left").select(*PAGE, "heads", F.coalesce("found", F.create_map().cast(MAP)).alias("found"))
+def page_table(lines: DataFrame, bulleted: Column | bool = False, plain: bool = False) -> DataFrame:
+    """doc_id, page_no, heads (first lines that aren't blank), found (ordered map),
+    from_ocr. Lines are dealt out by document once; all that follows stays there."""
+    if "from_ocr" not in lines.columns:
+        lines = lines.withColumn("from_ocr", F.lit(False))
+    events = page_events(lines.repartition("doc_id"), bulleted, plain, heads=True)
+    entries = F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("pos", "label", "value"))))
+    found = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["label"], e["value"])))
+    heads = F.transform(F.array_sort(F.flatten(F.collect_list("first_lines"))), lambda h: h["text"])
+    return events.groupBy(*PAGE).agg(heads.alias("heads"), found.alias("found"), F.coalesce(F.max("from_ocr"), F.lit(False)).alias("from_ocr"))
 
 
 def contradicts(section: Column, page: Column, owner: Column) -> Column:
@@ -95,18 +123,18 @@ def contradicts(section: Column, page: Column, owner: Column) -> Column:
 
 
 def sections(pages: DataFrame, profile: DataFrame) -> DataFrame:
-    """doc_id, sections: array of (kind, found). Pages with a skip heading or
-    without pairs are left out; one without title joins the section before it
-    unless they contradict. profile is one row, so the join moves nothing."""
+    """doc_id, sections: array of (kind, found), has_text and from_ocr (of any page).
+    Pages with a skip heading or without pairs are left out; one without title joins
+    the section before it unless they contradict. profile is one row, so the join moves nothing."""
     p = pages.join(F.broadcast(profile.limit(1).select("skip_headings", "titles", "owner_label", "owner_from_letterhead", "reference_after_title")))
     heads, titles = F.col("heads"), F.col("titles")
-    p = p.where(~F.arrays_overlap(F.transform(heads, F.lower), F.col("skip_headings")))
+    skips = F.arrays_overlap(F.transform(heads, F.lower), F.col("skip_headings"))
     p = p.withColumn("title", L.title_of(heads, titles))
     titled = F.coalesce(F.col("title") != "", F.lit(False))
     reference = F.when(titled & (F.col("reference_after_title") != ""), L.title_reference(heads, titles))
     p = p.withColumn("found", F.when(F.coalesce(reference, F.lit("")) != "", updated(F.col("found"), F.create_map(F.col("reference_after_title"), reference))).otherwise(F.col("found")))
     letterhead = F.when(titled & F.col("owner_from_letterhead"), L.letterhead(heads, titles))
-    p = p.withColumn("found", with_default(F.col("found"), F.col("owner_label"), letterhead)).where(F.size("found") > 0)
+    p = p.withColumn("found", with_default(F.col("found"), F.col("owner_label"), letterhead))
     start = F.array().cast(f"array<struct<kind:string,found:{MAP}>>")
 
     def step(done, page):
@@ -117,13 +145,42 @@ def sections(pages: DataFrame, profile: DataFrame) -> DataFrame:
         return F.when(F.coalesce(joins, F.lit(False)), merged).otherwise(opened)
 
     # Map values can't be sorted by, so pages are put in order by number and place.
-    numbered = p.select("doc_id", F.struct("page_no", "title", F.map_entries("found").alias("entries"), "owner_label").alias("page"))
+    page = F.when(~skips & (F.size("found") > 0), F.struct("page_no", "title", F.map_entries("found").alias("entries"), "owner_label"))
+    numbered = p.select("doc_id", page.alias("page"), (F.size("heads") > 0).alias("has_text"), "from_ocr")
     pages_ = F.transform(F.array_sort(F.collect_list("page")), lambda x: F.struct(x["page_no"].alias("page_no"), x["title"].alias("title"), F.map_from_entries(x["entries"]).alias("found"), x["owner_label"].alias("owner_label")))
-    return numbered.groupBy("doc_id").agg(F.aggregate(pages_, start, step).alias("sections"))
+    return numbered.groupBy("doc_id").agg(F.aggregate(pages_, start, step).alias("sections"), F.max("has_text").alias("has_text"), F.max("from_ocr").alias("from_ocr"))
+
+
+#: What a file's error says, by the stage it came from, the earliest stage first.
+STAGES = {"open": "can't be opened: ", "recognise": "recognition failed: "}
+
+
+def with_files(found: DataFrame, files: DataFrame | None, errors: DataFrame | None) -> DataFrame:
+    """found (of sections) with a row for every file, and its error (stage, message).
+
+    files: doc_id of all files; one without any line has no text. errors: doc_id,
+    stage (open or recognise), message. Of several errors of a file the one of
+    the earliest stage counts, then the least message; a null message is ''."""
+    kind = "struct<stage:string,message:string>"
+    if errors is None:
+        found = found.withColumn("error", F.lit(None).cast(kind))
+    else:
+        stage = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+        one = F.min(F.struct(stage.alias("at"), F.col("stage").alias("stage"), L.filled(F.col("message")).alias("message"))).alias("e")
+        of = errors.groupBy("doc_id").agg(one).select("doc_id", F.struct("e.stage", "e.message").cast(kind).alias("error"))
+        found = found.join(of, "doc_id", "full")
+    if files is not None:
+        found = found.join(files.select("doc_id").distinct(), "doc_id", "full")
+    none = F.array().cast(f"array<struct<kind:string,found:{MAP}>>")
+    return found.select("doc_id", F.coalesce("sections", none).alias("sections"), F.coalesce("has_text", F.lit(False)).alias("has_text"), F.coalesce("from_ocr", F.lit(False)).alias("from_ocr"), "error")
 
 
 def choose(found: DataFrame, profile: DataFrame) -> DataFrame:
-    """The one notice that is ours: doc_id, ok, reason, note, kind, found, total, other."""
+    """The one notice that is ours: doc_id, ok, reason, note, kind, found, total,
+    other, from_ocr. found: of with_files. A file's error comes first, then a lack
+    of text, then the choice; a file with either has no notices."""
+    failed = F.col("error").isNotNull() | ~F.col("has_text")
+    found = found.withColumn("sections", F.when(failed, F.slice("sections", 1, 0)).otherwise(F.col("sections")))
     t = found.join(F.broadcast(profile.limit(1).select("owner_label", "owner_names", "owner_from_letterhead")))
     addressee = lambda s: F.btrim(F.coalesce(F.try_element_at(s["found"], F.col("owner_label")), F.lit("?")))
     ours = lambda s: F.exists("owner_names", lambda n: F.contains(F.lower(addressee(s)), n))
@@ -135,8 +192,11 @@ def choose(found: DataFrame, profile: DataFrame) -> DataFrame:
     anyone = (F.col("owner_label") == "") | (F.size("owner_names") == 0)
     one = F.when(anyone & (F.col("total") == 1), F.get(s, F.lit(0))).when(~anyone & (F.size("mine") == 1), F.get("mine", F.lit(0)))
     t = t.withColumn("one", one).withColumn("named", named)
+    prefix = F.element_at(F.create_map(*(F.lit(x) for pair in STAGES.items() for x in pair)), F.col("error.stage"))
     reason = (
-        F.when(F.col("total") == 0, "no notice found")
+        F.when(F.col("error").isNotNull(), F.concat(L.filled(prefix), F.col("error.message")))
+        .when(~F.col("has_text"), "no text that can be read")
+        .when(F.col("total") == 0, "no notice found")
         .when(F.col("one").isNotNull(), "")
         .when(anyone, F.concat(F.lit("several notices and no rule for the addressee: "), F.col("total")))
         .when((F.size("mine") == 0) & (F.size("named") == 0), F.when(F.col("owner_from_letterhead"), "no letterhead names the addressee").otherwise(F.concat(F.lit("no line names the addressee: "), F.col("owner_label"))))
@@ -145,4 +205,4 @@ def choose(found: DataFrame, profile: DataFrame) -> DataFrame:
     )
     note = F.when(F.col("one").isNotNull() & ~anyone & (F.size("others") > 0), F.concat(F.col("total"), F.lit(" "), F.col("what"), F.lit("; skipped: "), F.array_join("others", ", "))).otherwise("")
     other = F.when(anyone, 0).when(F.col("one").isNotNull(), F.size("others")).when((F.size("mine") == 0) & (F.size("named") > 0), F.col("total")).otherwise(0)
-    return t.select("doc_id", F.col("one").isNotNull().alias("ok"), reason.alias("reason"), note.alias("note"), F.coalesce("one.kind", F.lit("")).alias("kind"), F.col("one.found").alias("found"), "total", other.alias("other"))
+    return t.select("doc_id", F.col("one").isNotNull().alias("ok"), reason.alias("reason"), note.alias("note"), F.coalesce("one.kind", F.lit("")).alias("kind"), F.col("one.found").alias("found"), "total", other.alias("other"), (F.col("from_ocr") & ~failed).alias("from_ocr"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import letters as L
 from ..sources.profiles import Profile
+from .matching import sole_profile
+from .scan import running
+
+
+NOTHING_READ = "no file could be read"
 
 
 def strings(values) -> Column:
@@ -27,29 +34,81 @@ def file_results(chosen: DataFrame, profile: Profile) -> DataFrame:
     return t.withColumn("shape", F.array_sort(F.array_union(F.filter(sources, lambda s: F.map_contains_key(found, s)), F.map_keys("extra"))))
 
 
-def grouped(results: DataFrame) -> DataFrame:
-    """kind, shape, n_rows, width, first_doc, group_no: a table for each kind and
-    shape, larger ones first, then wider ones, then by first appearance."""
-    g = results.groupBy("kind", F.array_join("shape", "|").alias("shape")).agg(F.count("*").alias("n_rows"), F.any_value(F.size("shape")).alias("width"), F.min("doc_id").alias("first_doc"))
-    # One row per group: few, so one window over all of them is small.
-    order = Window.orderBy(F.desc("n_rows"), F.desc("width"), "first_doc")
-    return g.withColumn("group_no", F.row_number().over(order)).withColumn("caption", F.format_string("%d %s - %d parameter", "n_rows", "kind", "width"))
+def grouped(results: DataFrame, profile: Profile) -> DataFrame:
+    """kind, shape, n_rows, width, first_doc, extras, group_no, caption: a table for
+    each kind and shape, larger ones first, then wider ones, then by first
+    appearance. width counts the columns of fields and extra labels; extras are the
+    labels outside the profile, in the order of the first file."""
+    has = lambda f: F.array_contains("shape", f.source).cast("int")
+    wide = results.withColumn("width", sum((has(f) for f in profile.fields), F.size("extra")))
+    g = wide.groupBy("kind", F.array_join("shape", "|").alias("shape")).agg(F.count("*").alias("n_rows"), F.any_value("width").alias("width"), F.min("doc_id").alias("first_doc"), F.min_by(F.map_keys("extra"), "doc_id").alias("extras"))
+    # Ranks by counting what is larger within ranges of the row count, so that many groups don't meet in one task.
+    g = running(g.withColumn("less", -F.col("n_rows")).withColumn("narrow", -F.col("width")), "less", {"group_no": F.lit(1).cast("long")}, ties=("narrow", "first_doc")).drop("less", "narrow")
+    return g.withColumn("group_no", F.col("group_no").cast("int")).withColumn("caption", F.format_string("%d %s - %d parameter", "n_rows", "kind", "width"))
 
 
 def cells(results: DataFrame, profile: Profile, groups: DataFrame, source_header: str = "Sumber PDF") -> DataFrame:
     """group_no, doc_id, col_no, header, value: every table in long form. A field
     whose source the group's shape lacks has no cells; extras follow the fields in
-    order of label, and the source file is last."""
+    the order of the group's first file, and the source file is last."""
     shape = F.array_join("shape", "|")
-    t = results.withColumn("shape_key", shape).join(F.broadcast(groups.select("kind", F.col("shape").alias("shape_key"), "group_no")), ["kind", "shape_key"])
+    t = results.withColumn("shape_key", shape).join(groups.select("kind", F.col("shape").alias("shape_key"), "group_no", "extras"), ["kind", "shape_key"])
     own = [F.struct(F.lit(k).alias("col_no"), F.lit(f.header).alias("header"), F.when(F.array_contains("shape", f.source), F.get("values", F.lit(k))).alias("value")) for k, f in enumerate(profile.fields)]
     n = len(profile.fields)
-    extra = F.transform(F.array_sort(F.map_keys("extra")), lambda k, i: F.struct((i + n).alias("col_no"), k.alias("header"), F.element_at("extra", k).alias("value")))
-    last = F.array(F.struct((F.size("extra") + n).alias("col_no"), F.lit(source_header).alias("header"), F.col("doc_id").cast("string").alias("value")))
+    extra = F.transform("extras", lambda k, i: F.struct((i + n).alias("col_no"), k.alias("header"), F.element_at("extra", k).alias("value")))
+    last = F.array(F.struct((F.size("extras") + n).alias("col_no"), F.lit(source_header).alias("header"), F.col("doc_id").cast("string").alias("value")))
     rows = t.select("group_no", "doc_id", F.inline(F.concat(F.filter(F.array(*own), lambda c: c["value"].isNotNull()), extra, last)))
     return rows
 
 
+def table_rows(rows: DataFrame) -> DataFrame:
+    """group_no, doc_id, row: each file's cells as one VARIANT object, so tables of
+    different columns live in one. A key is the column's place and header, as headers
+    repeat; a null value stays a null."""
+    entry = F.struct(F.format_string("%03d %s", "col_no", "header").alias("key"), F.coalesce("value", F.lit("")).alias("value"))
+    row = F.to_variant_object(F.map_from_entries(F.array_sort(F.collect_list(entry))))
+    return rows.groupBy("group_no", "doc_id").agg(row.alias("row"))
+
+
+def table_schemas(table: DataFrame) -> DataFrame:
+    """group_no, schema: the columns that the rows of each group have, found by one aggregation."""
+    return table.groupBy("group_no").agg(F.schema_of_variant_agg("row").alias("schema"))
+
+
+def typed_table(table: DataFrame, group_no: int) -> DataFrame:
+    """One group's rows with a column for each key of its schema, named as the key.
+    The schema is one text, of a group's columns."""
+    own = table.where(F.col("group_no") == group_no)
+    found = own.agg(F.schema_of_variant_agg("row").alias("schema")).first().schema
+    keys = [k.replace("``", "`") for k in re.findall("[<,] ?(?:`((?:[^`]|``)*)`|\\w+): ", found)] if found and found.startswith("OBJECT<") else []
+    value = lambda k: F.try_variant_get("row", f"$[{chr(34)}{k}{chr(34)}]", "string")
+    return own.select("doc_id", *(value(k).alias(k) for k in keys))
+
+
+GAP = 2
+
+
+def sheet_places(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """sheet_row, col_no, value of all tables stacked in one sheet: a caption where
+    there are several tables, the header, the rows, two blank rows. A table starts
+    where the heights of those before it end; a row's place in its table is a running
+    count, so neither a long table nor many tables meet in one task. Columns
+    are numbered from 1 without gaps."""
+    heights = groups.select("group_no", "caption", "n_rows").join(groups.agg((F.count("*") > 1).cast("int").alias("captioned")))
+    height = F.col("captioned") + 1 + F.col("n_rows") + GAP
+    starts = running(heights, "group_no", {"end": height}).select("group_no", "caption", "captioned", (F.col("end") - height + 1).alias("start"))
+    files = rows.select("group_no", "doc_id").distinct()
+    at = running(files, "doc_id", {"row_no": F.lit(1).cast("long")}, ("group_no",)).select("group_no", "doc_id", "row_no")
+    heads = rows.groupBy("group_no", "col_no").agg(F.any_value("header").alias("header"))
+    heads = heads.withColumn("column", F.row_number().over(Window.partitionBy("group_no").orderBy("col_no")).cast("long"))  # a row a column
+    head_row = F.col("start") + F.col("captioned")
+    caption = starts.where("captioned = 1").select(F.col("start").alias("sheet_row"), F.lit(1).cast("long").alias("col_no"), F.concat(F.lit("Tabel "), F.col("group_no"), F.lit(" - "), F.col("caption")).alias("value"))
+    header = heads.join(starts, "group_no").select(head_row.alias("sheet_row"), F.col("column").alias("col_no"), F.col("header").alias("value"))
+    body = rows.join(heads.select("group_no", "col_no", "column"), ["group_no", "col_no"]).join(at, ["group_no", "doc_id"]).join(starts.drop("caption"), "group_no")
+    body = body.select((head_row + F.col("row_no")).alias("sheet_row"), F.col("column").alias("col_no"), F.coalesce("value", F.lit("")).alias("value"))
+    return caption.unionByName(header).unionByName(body)
+
+
 def preview(rows: DataFrame, most: int = 5) -> DataFrame:
     """The first documents of each group."""
     ranked = rows.select("group_no", "doc_id").distinct().withColumn("row_no", F.row_number().over(Window.partitionBy("group_no").orderBy("doc_id"))).where(F.col("row_no") <= most)
@@ -62,15 +121,23 @@ def widths(rows: DataFrame) -> DataFrame:
     return rows.groupBy("col_no").agg(F.greatest(F.lit(10), F.least(F.lit(52), longest + 2)).alias("width"))
 
 
-def duplicate_claims(results: DataFrame, label: str = "Claim No") -> DataFrame:
+def duplicate_claims(results: DataFrame, profile: Profile, header: str = "Claim No") -> DataFrame:
     """claim, n, doc_id: the files of each claim that several files have. A row a
-    file, so that no claim's files are held together."""
-    claim = F.btrim(F.coalesce(F.element_at("found", F.lit(label)), F.lit("")))
+    file, so that no claim's files are held together. Claims are the values of the
+    profile's first column with that header; a profile without one has none."""
+    at = next((k for k, f in enumerate(profile.fields) if f.header == header), None)
+    claim = F.lit(None).cast("string") if at is None else F.get("values", F.lit(at))
     t = results.select("doc_id", claim.alias("claim")).where("claim <> ''")
     several = t.groupBy("claim").agg(F.count("*").alias("n")).where("n > 1")
     return t.join(several, "claim").select("claim", "n", "doc_id")
 
 
+def rejection(chosen: DataFrame) -> DataFrame:
+    """One row: files, done, rejected (why the batch has no result, '' if it has one)."""
+    t = chosen.agg(F.count("*").alias("files"), F.count_if("ok").alias("done"))
+    return t.withColumn("rejected", F.when(F.col("done") == 0, NOTHING_READ).otherwise(""))
+
+
 def reasons(chosen: DataFrame) -> DataFrame:
     """Why files were skipped, the commonest reason first, then the earliest."""
     return chosen.where("not ok").groupBy("reason").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).orderBy(F.desc("n"), "first_doc")
@@ -83,25 +150,35 @@ def skipped_files(chosen: DataFrame) -> DataFrame:
     return skipped.select("reason", "doc_id").join(counts, "reason").select("reason", "n", "first_doc", "doc_id")
 
 
-def note_details(results: DataFrame, groups: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+def scanned(results: DataFrame) -> DataFrame:
+    """The accepted files that were read by recognition, in part at least."""
+    return results.where("from_ocr")
+
+
+def views(chosen: DataFrame) -> DataFrame:
+    """view, doc_id: the files of each view of a batch: done, skipped, scanned (done
+    and read by recognition), noted (done, with other notices beside ours)."""
+    has = {"done": F.col("ok"), "skipped": ~F.col("ok"), "scanned": F.col("ok") & F.col("from_ocr"), "noted": F.col("ok") & (F.col("note") != "")}
+    return chosen.select(F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in has.items())))).alias("view"), "doc_id")
+
+
+def note_details(results: DataFrame, groups: DataFrame, profile: Profile) -> DataFrame:
     """note_no, key, place, detail: what the notes of a batch list, to be ordered
     by note, place and detail. Notes, in this order: 1 several tables, 2 claims of
     several files, 3 labels outside the profile, 4 files with other notices beside
-    ours, 5 files read by recognition (scanned: doc_id), 6 files without some label."""
+    ours, 5 files read by recognition, 6 files without some label."""
     name = F.col("doc_id").cast("string")
     row = lambda no, key, place, detail: F.struct(F.lit(no).alias("note_no"), key.alias("key"), place.cast("long").alias("place"), detail.alias("detail"))
     extra = F.transform(F.map_keys("extra"), lambda k: row(3, k, F.lit(0), k))
     other = F.when(F.col("note") != "", F.array(row(4, name, F.col("doc_id"), F.concat(name, F.lit(" - "), "note"))))
     lacks = F.when(F.size("missing") > 0, F.array(row(6, name, F.col("doc_id"), F.concat(name, F.lit(" - without: "), F.array_join(F.array_distinct("missing"), ", ")))))
     none = F.slice(F.array(row(0, F.lit(""), F.lit(0), F.lit(""))), 1, 0)
-    own = results.select(F.inline(F.concat(extra, F.coalesce(other, none), F.coalesce(lacks, none)))).distinct()
-    # One row per group, as in grouped().
-    tables = groups.withColumn("tables", F.count("*").over(Window.partitionBy())).where("tables > 1")
+    read = F.when(F.col("from_ocr"), F.array(row(5, name, F.col("doc_id"), name)))
+    own = results.select(F.inline(F.concat(extra, F.coalesce(other, none), F.coalesce(read, none), F.coalesce(lacks, none)))).distinct()
+    tables = groups.join(groups.agg(F.count("*").alias("tables"))).where("tables > 1")
     label = F.format_string("Table %d: %d rows, %d parameters", "group_no", "n_rows", "width")
     parts = [tables.select(F.inline(F.array(row(1, F.col("group_no").cast("string"), F.col("group_no"), label))))]
-    parts.append(duplicate_claims(results).select(F.inline(F.array(row(2, F.col("claim"), F.col("doc_id"), F.concat("claim", F.lit(": "), name))))))
-    if scanned is not None:
-        parts.append(scanned.select("doc_id").distinct().select(F.inline(F.array(row(5, name, F.col("doc_id"), name)))))
+    parts.append(duplicate_claims(results, profile).select(F.inline(F.array(row(2, F.col("claim"), F.col("doc_id"), F.concat("claim", F.lit(": "), name))))))
     for part in parts:
         own = own.unionByName(part)
     return own
@@ -135,12 +212,11 @@ def missing_labels(results: DataFrame) -> DataFrame:
     return results.select(F.explode(F.array_distinct("missing")).alias("label")).groupBy("label").agg(F.count("*").alias("files"))
 
 
-def detected(labels: DataFrame, profiles) -> DataFrame:
-    """doc_id and the one active profile all of whose marks are among its labels
-    (null with none or several). labels: doc_id, found."""
-    have = F.map_keys("found")
-    keys = F.filter(F.array(*[F.when(F.size(F.array_except(strings(p.marks), have)) == 0, F.lit(p.key)) for p in profiles if p.active]), lambda k: k.isNotNull())
-    return labels.select("doc_id", F.when(F.size(keys) == 1, F.get(keys, F.lit(0))).alias("profile"))
+def detected(labels: DataFrame, marks: DataFrame, without_marks: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the one profile all of whose marks (profile, mark) are among its
+    labels (null with none or several). labels: doc_id, found."""
+    rows = labels.select("doc_id", F.explode(F.map_keys("found")).alias("label"))
+    return labels.select("doc_id").join(sole_profile(rows, marks, without_marks).select("doc_id", "profile"), "doc_id", "left")
 
 
 def merged_labels(pairs: DataFrame) -> DataFrame:
@@ -153,18 +229,25 @@ def merged_labels(pairs: DataFrame) -> DataFrame:
 def banded(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """doc_id, page_no, line_no, text: words in bands of y. A band's anchor is its
     first word; a word further than the tolerance from it opens the next. Words
-    of a band are ordered by x, then by text."""
-    ordered = F.array_sort(F.collect_list(F.struct("y", "x", "word")))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("no"), F.array().cast("array<struct<line_no:int,x:double,word:string>>").alias("out"))
-
-    def step(acc, w):
-        opens = acc["anchor"].isNull() | (F.abs(w["y"] - acc["anchor"]) > tolerance)
-        no = F.when(opens, acc["no"] + 1).otherwise(acc["no"])
-        return F.struct(F.when(opens, w["y"]).otherwise(acc["anchor"]).alias("anchor"), no.alias("no"), F.concat(acc["out"], F.array(F.struct(no.alias("line_no"), w["x"].alias("x"), w["word"].alias("word")))).alias("out"))
-
-    rows = words.groupBy("doc_id", "page_no").agg(F.aggregate(ordered, start, step, lambda a: a["out"]).alias("out")).select("doc_id", "page_no", F.inline("out"))
+    of a band are ordered by x, then by text. Words without y are line 0.
+
+    Whether a height opens a band depends on the band before it, so a page's
+    different heights are folded in order, and the fold only adds to its anchors where
+    a band opens. Words then count the anchors up to their own height in one sort."""
+    page = ["doc_id", "page_no"]
+    heights = F.array_sort(F.collect_set(F.col("y").cast("double")))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("anchors"))
+
+    def step(acc, y):
+        opens = acc["anchor"].isNull() | (F.abs(y - acc["anchor"]) > tolerance)
+        return F.when(opens, F.struct(y.alias("anchor"), F.concat(acc["anchors"], F.array(y)).alias("anchors"))).otherwise(acc)
+
+    anchors = words.groupBy(*page).agg(F.aggregate(heights, start, step, lambda a: a["anchors"]).alias("a")).select(*page, F.explode("a").alias("y"))
+    rows = words.select(*page, F.col("y").cast("double").alias("y"), "x", "word", F.lit(0).alias("opens")).unionByName(anchors.select(*page, "y", F.lit(None).cast(words.schema["x"].dataType).alias("x"), F.lit(None).cast("string").alias("word"), F.lit(1).alias("opens")))
+    up_to = Window.partitionBy(*page).orderBy(F.asc_nulls_first("y"), F.desc("opens")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("line_no", F.sum("opens").over(up_to).cast("int")).where("opens = 0")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "word"))), lambda w: w["word"]), " ")
-    return rows.groupBy("doc_id", "page_no", "line_no").agg(text.alias("text"))
+    return rows.groupBy(*page, "line_no").agg(text.alias("text"))
 
 
 def banded_by_rounding(words: DataFrame, height: float = 3.0) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import extraction as X
 from ..operators import results as R
-from ..sources.profiles import PROFILES, Profile, by_key, profile_table
+from ..sources.profiles import Profile, by_key, mark_table, profile_table
+from ..sources.shared import kept
 
+#: Files that detection looks at first, and how many times more each time after.
+FIRST_FILES, GROWTH = 16, 8
 
-@dataclass
+
+@dataclass(frozen=True)
 class Batch:
     """The lazy tables of one run."""
 
@@ -20,19 +25,35 @@ class Batch:
     pairs: DataFrame
     sections: DataFrame
     chosen: DataFrame
-    results: DataFrame
 
-    @property
+    def stored(self) -> Batch:
+        """The same batch with its choice computed once; tables, notes and
+        reports are then made from that and don't read letters again."""
+        return replace(self, chosen=kept(self.chosen))
+
+    @cached_property
+    def results(self) -> DataFrame:
+        return R.file_results(self.chosen, self.profile)
+
+    @cached_property
     def groups(self) -> DataFrame:
-        return R.grouped(self.results)
+        return R.grouped(self.results, self.profile)
 
     @property
     def cells(self) -> DataFrame:
         return R.cells(self.results, self.profile, self.groups)
 
+    @property
+    def tables(self) -> DataFrame:
+        return R.table_rows(self.cells)
+
+    @property
+    def sheet(self) -> DataFrame:
+        return R.sheet_places(self.cells, self.groups)
+
     @property
     def note_details(self) -> DataFrame:
-        return R.note_details(self.results, self.groups)
+        return R.note_details(self.results, self.groups, self.profile)
 
     @property
     def notes(self) -> DataFrame:
@@ -40,28 +61,53 @@ class Batch:
 
     def rejected(self) -> str:
         """Why there is no result, '' if there is one. Looks for one accepted file."""
-        return "no file could be read" if self.chosen.where("ok").isEmpty() else ""
-
-
-def detect(lines: DataFrame) -> Profile | None:
+        return R.NOTHING_READ if self.chosen.where("ok").isEmpty() else ""
+
+
+def first_detection(lines: DataFrame, marks: DataFrame, errors: DataFrame | None = None, first: int = FIRST_FILES, growth: int = GROWTH) -> tuple | None:
+    """doc_id and profile of the first document, in the order of doc_id, that exactly
+    one profile fits; None if there is none. Files with an error are passed over.
+
+    Ranges of the order that grow are looked at in turn: finding where a range ends
+    reads ids only, and letters beyond the range of the hit aren't parsed."""
+    ids = lines.select("doc_id").where("doc_id is not null").distinct()
+    if errors is not None:
+        ids = ids.join(errors.select("doc_id").distinct(), "doc_id", "left_anti")
+    done, size = None, first
+    while True:
+        left = ids if done is None else ids.where(F.col("doc_id") > F.lit(done))
+        last, n = left.orderBy("doc_id").limit(size).agg(F.max("doc_id"), F.count("*")).first()
+        if not n:
+            return None
+        part = lines.where(F.col("doc_id") <= F.lit(last)) if done is None else lines.where((F.col("doc_id") > F.lit(done)) & (F.col("doc_id") <= F.lit(last)))
+        if errors is not None:
+            part = part.join(errors.select("doc_id").distinct(), "doc_id", "left_anti")
+        hit = R.detected(R.merged_labels(X.extract_pairs(part, True)), marks).where("profile is not null").orderBy("doc_id").first()
+        if hit:
+            return hit.doc_id, hit.profile
+        if n < size:
+            return None
+        done, size = last, size * growth
+
+
+def detect(lines: DataFrame, errors: DataFrame | None = None) -> Profile | None:
     """The profile of the first document that exactly one active profile matches."""
-    found = R.detected(R.merged_labels(X.extract_pairs(lines, True)), PROFILES)
-    hit = found.where("profile is not null").orderBy("doc_id").limit(1).first()
-    return by_key(hit.profile) if hit else None
+    hit = first_detection(lines, mark_table(lines.sparkSession), errors)
+    return by_key(hit[1]) if hit else None
 
 
-def run(lines: DataFrame, key: str | None = None) -> Batch:
-    """lines: doc_id, page_no, line_no, text. An unknown or missing key means
+def run(lines: DataFrame, key: str | None = None, files: DataFrame | None = None, errors: DataFrame | None = None) -> Batch:
+    """lines: doc_id, page_no, line_no, text, and from_ocr where some were recognised.
+    files: doc_id of all files, if some have no lines; errors: doc_id, stage, message
+    of those that couldn't be opened or recognised. An unknown or missing key means
     that the profile is detected; without one the batch is rejected."""
-    profile = (by_key(key) if key else None) or detect(lines)
+    profile = (by_key(key) if key else None) or detect(lines, errors)
     if profile is None:
         raise ValueError("no profile, or more than one, fits these letters")
-    pairs = X.extract_pairs(lines, profile.bulleted_money)
     one = profile_table(lines.sparkSession, [profile])
-    found = X.sections(X.page_table(lines, pairs), one)
-    every = lines.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("sections", F.array().cast("array<struct<kind:string,found:map<string,string>>>")).alias("sections"))
-    chosen = X.choose(every, one)
-    return Batch(profile, pairs, found, chosen, R.file_results(chosen, profile))
+    found = X.sections(X.page_table(lines, profile.bulleted_money), one)
+    chosen = X.choose(X.with_files(found, files, errors), one)
+    return Batch(profile, X.extract_pairs(lines, profile.bulleted_money), found, chosen)
 
 
 def pivoted(batch: Batch, group_no: int) -> DataFrame:

@@ -14,14 +14,20 @@ from ..operators import audit as A
 from ..operators import extraction as X
 from ..operators import results as R
 from ..sources.dossier import letter_lines, letterhead_lines, line_words, orders_with_names, text_lines
-from ..sources.profiles import PROFILES, by_key
+from ..sources.profiles import mark_table
 from . import batch as B
+from . import file_queries
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> B.Batch:
     return B.run(letter_lines(spark, sf_dir), "jrp")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> B.Batch:
+    """For queries that read the batch's choice several times."""
+    return _batch(spark, sf_dir).stored()
+
+
 def _read(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,7 +44,8 @@ def w1_pairs(spark, sf_dir):
 
 def w2_sections(spark, sf_dir):
     s = _batch(spark, sf_dir).sections
-    return s.select("doc_id", F.size("sections").cast("long").alias("n_sections"), F.array_join(F.transform("sections", lambda x: x["kind"]), ",").alias("kinds"), F.array_join(F.map_keys(F.get("sections", F.lit(0))["found"]), "|").alias("labels"))
+    text = F.array_join(F.transform(F.map_entries("x.found"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return s.select("doc_id", F.posexplode("sections").alias("section_no", "x")).select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.col("x.kind").alias("kind"), text.alias("found"))
 
 
 def w6_choice(spark, sf_dir):
@@ -55,24 +62,25 @@ def f15_shapes(spark, sf_dir):
 
 
 def a4_groups(spark, sf_dir):
-    return _batch(spark, sf_dir).groups.select(F.col("group_no").cast("long").alias("group_no"), "kind", "shape", "n_rows", "caption")
+    return _stored(spark, sf_dir).groups.select(F.col("group_no").cast("long").alias("group_no"), "kind", "shape", "n_rows", "caption")
 
 
 def b6_cells(spark, sf_dir):
-    return _batch(spark, sf_dir).cells.groupBy("header").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return _stored(spark, sf_dir).cells.groupBy("header").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 def o9_preview(spark, sf_dir):
-    rows = R.preview(_batch(spark, sf_dir).cells)
+    rows = R.preview(_stored(spark, sf_dir).cells)
     return rows.select(*(F.col(c).cast("long").alias(c) for c in ("group_no", "row_no", "col_no")), "header", "value")
 
 
 def k2_widths(spark, sf_dir):
-    return R.widths(_batch(spark, sf_dir).cells).select(F.col("col_no").cast("long").alias("col_no"), F.col("width").cast("long").alias("width"))
+    return R.widths(_stored(spark, sf_dir).cells).select(F.col("col_no").cast("long").alias("col_no"), F.col("width").cast("long").alias("width"))
 
 
 def a5_duplicate_claims(spark, sf_dir):
-    return R.duplicate_claims(_batch(spark, sf_dir).results)
+    b = _stored(spark, sf_dir)
+    return R.duplicate_claims(b.results, b.profile)
 
 
 def a3_reasons(spark, sf_dir):
@@ -80,16 +88,16 @@ def a3_reasons(spark, sf_dir):
 
 
 def a3_skipped_files(spark, sf_dir):
-    return R.skipped_files(_batch(spark, sf_dir).chosen)
+    return R.skipped_files(_stored(spark, sf_dir).chosen)
 
 
 def b4_notes(spark, sf_dir):
-    t = _batch(spark, sf_dir).notes
+    t = _stored(spark, sf_dir).notes
     return t.select(F.col("note_no").cast("long").alias("note_no"), "level", "text", "n_details")
 
 
 def b4_note_details(spark, sf_dir):
-    t = _batch(spark, sf_dir).note_details
+    t = _stored(spark, sf_dir).note_details
     return t.select(F.col("note_no").cast("long").alias("note_no"), "place", "detail")
 
 
@@ -103,7 +111,7 @@ def w6_letterheads(spark, sf_dir):
 
 
 def a2_summary(spark, sf_dir):
-    b = _batch(spark, sf_dir)
+    b = _stored(spark, sf_dir)
     return R.summary(b.chosen, b.groups)
 
 
@@ -116,14 +124,14 @@ def j1_missing_labels(spark, sf_dir):
 
 
 def p12_detection(spark, sf_dir):
-    d = R.detected(R.merged_labels(X.extract_pairs(letter_lines(spark, sf_dir), True)), PROFILES)
+    d = R.detected(R.merged_labels(X.extract_pairs(letter_lines(spark, sf_dir), True)), mark_table(spark))
     return d.groupBy(F.coalesce("profile", F.lit("")).alias("profile")).agg(F.count("*").alias("files"))
 
 
 def j4_audit(spark, sf_dir):
     """All cells of the extracted tables against the source columns, in which
     some values were altered, some files left out and some added."""
-    sheet = _batch(spark, sf_dir).cells.where("header <> 'Sumber PDF'").select(F.col("doc_id").alias("name"), "header", "value")
+    sheet = _stored(spark, sf_dir).cells.where("header <> 'Sumber PDF'").select(F.col("doc_id").alias("name"), "header", "value")
     k = F.col("o_orderkey")
     claim = F.when(k % 17 == 0, F.concat(F.lit("Z"), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))
     values = {
@@ -140,7 +148,7 @@ def _audited(spark, sf_dir):
     left out, some of others put in."""
     lines = letter_lines(spark, sf_dir)
     lines = lines.withColumn("text", F.when(F.col("text") == "not a pair", "x1 2 3-4 : 5").otherwise(F.col("text")))
-    b = B.run(lines, "jrp")
+    b = B.run(lines, "jrp").stored()
     k = F.col("doc_id")
     value = F.when((F.col("header") == "Claim No") & (k % 17 == 0), F.concat(F.lit("Z"), "value")).otherwise(F.col("value"))
     sheet = b.cells.where(k % 10 != 1).select(k.cast("string").alias("name"), "col_no", "header", value.alias("value"))
@@ -256,7 +264,7 @@ _D = """WITH d AS (
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 v AS (
   SELECT *, concat_ws('|', 'Appointed Adjuster', 'Claim No', 'Date of Loss', 'Ref No', 'Reinsurer', 'Remarks', CASE WHEN cover THEN 'Risk Cover' END, CASE WHEN merged THEN 'Surveyor' END, 'Total Sum Insured') AS shape,
-    7 + CAST(cover AS INT) + CAST(merged AS INT) AS width FROM d),
+    8 + CAST(cover AS INT) + CAST(merged AS INT) AS width FROM d),
 g AS (SELECT shape, count(*) AS n_rows, any_value(width) AS width, min(k) AS first_doc, row_number() OVER (ORDER BY count(*) DESC, any_value(width) DESC, min(k)) AS group_no FROM v WHERE ok GROUP BY shape),
 cell AS (
   SELECT k, shape, x.c AS col_no, x.h AS header, x.v AS value FROM (
@@ -297,8 +305,8 @@ ORACLE_SQL = {
   {'p': 2, 'l': 'Surveyor', 'v': CASE WHEN merged THEN pr END}, {'p': 3, 'l': 'Claim No', 'v': CASE WHEN split THEN 'X' || claim END}, {'p': 3, 'l': 'Risk Cover', 'v': CASE WHEN split THEN 'other' END},
   {'p': 3, 'l': 'Appointed Adjuster', 'v': CASE WHEN split THEN 'other' END}, {'p': 4, 'l': 'Ref No', 'v': CASE WHEN k % 13 = 3 THEN '0' END}]) AS x FROM d) WHERE x.v IS NOT NULL""",
     "w2_sections": _D
-    + """SELECT k AS doc_id, CAST(1 + CAST(split AS INT) AS BIGINT) AS n_sections, CASE WHEN split THEN 'DLA,?' ELSE 'DLA' END AS kinds,
-  concat_ws('|', 'Ref No', 'Claim No', 'Reinsurer', CASE WHEN cover THEN 'Risk Cover' END, 'Appointed Adjuster', 'Total Sum Insured', 'Date of Loss', 'Remarks', CASE WHEN merged THEN 'Surveyor' END) AS labels FROM d""",
+    + """SELECT k AS doc_id, CAST(0 AS BIGINT) AS section_no, 'DLA' AS kind, concat_ws('|', 'Ref No=' || k, 'Claim No=' || claim, 'Reinsurer=' || who, CASE WHEN cover THEN 'Risk Cover=' || pr END, 'Appointed Adjuster=' || st, 'Total Sum Insured=IDR ' || amt, 'Date of Loss=' || dt, 'Remarks=' || remarks, CASE WHEN merged THEN 'Surveyor=' || pr END) AS found FROM d
+  UNION ALL SELECT k, 1, '?', 'Claim No=X' || claim || '|Risk Cover=other|Appointed Adjuster=other' FROM d WHERE split""",
     "w6_choice": _D
     + """SELECT k AS doc_id, ok, CASE WHEN ok THEN '' ELSE CASE WHEN split THEN 'advice' ELSE 'DLA' END || ' addressed to others: ' || who END AS reason, CASE WHEN ok AND split THEN '2 advice; skipped: ?' ELSE '' END AS note,
   CASE WHEN ok THEN 'DLA' ELSE '' END AS kind, CAST(1 + CAST(split AS INT) AS BIGINT) AS total, CAST(CASE WHEN ok THEN CAST(split AS INT) ELSE 1 + CAST(split AS INT) END AS BIGINT) AS other FROM d""",
@@ -377,3 +385,6 @@ SELECT d.doc_id, count(h.line) AS n, md5(coalesce(string_agg(h.line, '|' ORDER B
     "o12_difference": "SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')",
     "o15_dedupe": "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
 }
+
+QUERIES |= file_queries.QUERIES
+ORACLE_SQL |= file_queries.oracle_sql(_D, _NOTES)

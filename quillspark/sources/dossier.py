@@ -85,3 +85,29 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_no, text of the documents table."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return d.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
+
+
+def damaged_letters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Printed lines, recognised lines, all files and errors of the letters of
+    letter_lines. By the order's key some can't be opened and have no lines, the
+    recognition of some failed, some have blank lines only, and of some the first page
+    is an image whose lines were recognised."""
+    k = F.col("doc_id")
+    lines = letter_lines(spark, sf_dir).where(k % 19 != 0).withColumn("text", F.when(k % 23 == 0, " \t").otherwise(F.col("text")))
+    image = (k % 29 == 0) & (F.col("page_no") == 1)
+    printed = lines.where(~image | (F.col("line_no") == 0)).withColumn("text", F.when(image & (k % 23 != 0), "scan").otherwise(F.col("text")))
+    files = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"))
+    failed = [F.when(k % 31 == 0, F.struct(F.lit("recognise").alias("stage"), F.lit("engine stopped").alias("message"))), F.when(k % 19 == 0, F.struct(F.lit("open").alias("stage"), F.concat(F.lit("broken at "), k).alias("message")))]
+    errors = files.select("doc_id", F.inline(F.array_compact(F.array(*failed))))
+    return printed, lines.where(image), files, errors
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, name, size: files as they arrive, from events. Names repeat, some have a
+    number, some are of other kinds; sizes are a few hundred kilobytes and sometimes too large."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    k, user = F.col("event_id"), F.col("user_id").cast("string")
+    behind = F.when(k % 7 == 0, " (2)").when(k % 7 == 1, " (3)").when(k % 7 == 2, " (2) (2)").when(k % 7 == 3, " (12)").otherwise("")
+    kind = F.when(F.col("event_type") == "error", ".txt").when(F.col("event_type") == "click", ".ZIP").otherwise(".pdf")
+    size = F.floor(F.col("value") * 1000).cast("long") + F.when(k % 997 == 0, 16 << 20).otherwise(0)
+    return e.select(k.alias("seq"), F.concat(F.lit("scan "), user, behind, kind).alias("name"), size.alias("size"))

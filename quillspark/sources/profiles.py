@@ -156,6 +156,12 @@ def profile_table(spark: SparkSession, profiles=None) -> DataFrame:
     return spark.createDataFrame(rows, "key string, name string, marks array<string>, titles array<string>, owner_label string, owner_names array<string>, skip_headings array<string>, ignore array<string>, bulleted_money boolean, owner_from_letterhead boolean, reference_after_title string")
 
 
+def mark_table(spark: SparkSession, profiles=None) -> DataFrame:
+    """profile, mark of the active profiles."""
+    rows = [(p.key, m) for p in (profiles if profiles is not None else [p for p in PROFILES if p.active]) for m in p.marks]
+    return spark.createDataFrame(rows, "profile string, mark string")
+
+
 def field_table(spark: SparkSession, profile: Profile) -> DataFrame:
     rows = [(profile.key, k, f.header, f.source, f.take) for k, f in enumerate(profile.fields)]
     return spark.createDataFrame(rows, "profile string, pos int, header string, source string, take string")
