@@ -13,7 +13,8 @@ of decisions in arrival order; here it is found for all names at once:
   the block's first file keeps its name; else n is used, and that file is renamed.
 - c, and whether the first file of 'stem.ext' itself kept its name, depend on other
   blocks. Bounds on both are narrowed in rounds until every block is decided; a
-  round decides at least the lowest open block of each name.
+  round decides at least the lowest open block of each name, and each round's table is
+  written, so that the next one starts from there.
 - Then a running count of skipped blocks shifts the numbers of the renamed files.
 
 Files that overwrite (fixed) keep their name and block it for others.
@@ -24,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .scan import running
 
 #: A number as it is written behind a stem: from 2 on, without leading zeros.
@@ -57,8 +59,8 @@ def keeps(skipped: Column, first: Column, fixed_at: Column) -> Column:
 def decided(blocks: DataFrame) -> DataFrame:
     """blocks (with before: files of parent up to the turn) and skipped: true where
     the number is skipped, so that the name is free at its own file's turn."""
-    t, open_ = blocks.withColumn("skipped", F.lit(None).cast("boolean")).persist(), 1
-    while open_:
+    t = kept(blocks.withColumn("skipped", F.lit(None).cast("boolean")))
+    while not t.where("skipped is null").isEmpty():
         # The parent's own first file: unknown as long as its block is open.
         parents = t.select(F.col("name").alias("parent"), keeps(F.col("skipped"), F.col("first"), F.col("fixed_at")).alias("kept"), F.lit(True).alias("is_block"))
         own = t.join(parents, "parent", "left").withColumn("kept", F.when(F.col("is_block"), F.col("kept")).otherwise(F.col("parent_kept")))
@@ -68,10 +70,7 @@ def decided(blocks: DataFrame) -> DataFrame:
         count = lambda c: F.coalesce(F.sum(c.cast("long")).over(lower), F.lit(0))
         own = own.withColumn("sure", count(F.coalesce("skipped", F.lit(False)))).withColumn("may", count(F.coalesce("skipped", F.lit(True))))
         found = F.when(F.col("may") < F.col("n") - 1 - most, True).when(F.col("sure") >= F.col("n") - 1 - least, False)
-        new = own.withColumn("skipped", F.coalesce("skipped", found)).select(t.columns).persist()
-        open_ = new.where("skipped is null").count()
-        t.unpersist()
-        t = new
+        t = kept(own.withColumn("skipped", F.coalesce("skipped", found)).select(t.columns))
     return t
 
 
@@ -86,14 +85,14 @@ def unique_names(rows: DataFrame) -> DataFrame:
     blocks = blocks_of(key)
     turns = key.where("not fixed").select(F.col("name").alias("base"), "seq", F.lit(1).alias("file"), F.lit(None).cast("string").alias("block"))
     turns = turns.unionByName(blocks.select(F.col("parent").alias("base"), F.col("at").alias("seq"), F.lit(0).alias("file"), F.col("name").alias("block")))
-    ranked = running(turns, "seq", {"rank": F.col("file").cast("long")}, ("base",)).persist()
+    ranked = kept(running(turns, "seq", {"rank": F.col("file").cast("long")}, ("base",)))
     fixed = key.where("fixed").groupBy("name").agg(F.min("seq").alias("held_at"))
     first = key.where("not fixed").groupBy("name").agg(F.min("seq").alias("first_seq"))
     free = first.join(fixed, "name", "left").select(F.col("name").alias("base"), (F.col("held_at").isNull() | (F.col("first_seq") < F.col("held_at"))).alias("parent_kept"))
     known = blocks.join(ranked.where("file = 0").select(F.col("block").alias("name"), F.col("rank").alias("before")), "name").join(free.withColumnRenamed("base", "parent"), "parent")
     known = decided(known)
-    kept = free.join(known.select(F.col("name").alias("base"), F.col("skipped")), "base", "left").select("base", (F.col("parent_kept") & F.coalesce("skipped", F.lit(True))).alias("kept"))
-    files = ranked.where("file = 1").join(kept, "base").select("base", "seq", (F.col("rank") - F.col("kept").cast("long")).alias("place"))
+    owners = free.join(known.select(F.col("name").alias("base"), F.col("skipped")), "base", "left").select("base", (F.col("parent_kept") & F.coalesce("skipped", F.lit(True))).alias("kept"))
+    files = ranked.where("file = 1").join(owners, "base").select("base", "seq", (F.col("rank") - F.col("kept").cast("long")).alias("place"))
     # Skipped number i of a name counts for the files from place n - i on.
     skipped = known.where("skipped").withColumn("i", F.row_number().over(Window.partitionBy("parent").orderBy("n")))
     shifts = skipped.select(F.col("parent").alias("base"), (F.col("n") - F.col("i")).alias("place"))
@@ -103,7 +102,7 @@ def unique_names(rows: DataFrame) -> DataFrame:
     both = both.withColumn("order", 2 * F.col("place") + 1 - F.col("skip"))
     moved = running(both, "order", {"shift": F.col("skip")}, ("base",)).where("seq is not null").select("seq", "place", "shift")
     numbers = moved.unionByName(files.join(some, "base", "left_anti").select("seq", "place", F.lit(0).cast("long").alias("shift")))
-    named = rows.join(numbers, "seq", "left")
-    number = F.col("place") + 1 + F.col("shift")
-    other = F.concat(stem_of(F.col("name")), F.lit(" ("), number.cast("string"), F.lit(")"), suffix_of(F.col("name")))
-    return named.select(*rows.columns, F.when(F.col("place") > 0, other).otherwise(F.col("name")).alias("own"))
+    named = rows.join(numbers.select("seq", F.when(F.col("place") > 0, F.col("place") + 1 + F.col("shift")).alias("__number")), "seq", "left")
+    name, number = F.col("name"), F.col("__number")
+    other = F.concat(stem_of(name), F.lit(" ("), number.cast("string"), F.lit(")"), suffix_of(name))
+    return named.select(*rows.columns, F.coalesce(other, name).alias("own"))

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import letters as L
 from ..sources.profiles import Profile
@@ -79,10 +80,11 @@ def typed_table(table: DataFrame, group_no: int) -> DataFrame:
     """One group's rows with a column for each key of its schema, named as the key.
     The schema is one text, of a group's columns."""
     own = table.where(F.col("group_no") == group_no)
-    found = own.agg(F.schema_of_variant_agg("row").alias("schema")).first().schema
-    keys = [k.replace("``", "`") for k in re.findall("[<,] ?(?:`((?:[^`]|``)*)`|\\w+): ", found)] if found and found.startswith("OBJECT<") else []
-    value = lambda k: F.try_variant_get("row", f"$[{chr(34)}{k}{chr(34)}]", "string")
-    return own.select("doc_id", *(value(k).alias(k) for k in keys))
+    found = own.agg(F.schema_of_variant_agg("row").alias("schema")).first().schema or ""
+    keys = [k.replace("``", "`") for k in re.findall("[<,] ?`((?:[^`]|``)*)`: ", found)]  # each holds a space, so each is quoted
+    # Through JSON, as a path can't name every key.
+    row = F.from_json(F.to_json("row"), T.StructType([T.StructField(k, T.StringType()) for k in keys]))
+    return own.select("doc_id", *(row.getField(k).alias(k) for k in keys))
 
 
 GAP = 2

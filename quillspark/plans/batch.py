@@ -25,19 +25,23 @@ class Batch:
     pairs: DataFrame
     sections: DataFrame
     chosen: DataFrame
+    once: bool = False
 
     def stored(self) -> Batch:
-        """The same batch with its choice computed once; tables, notes and
-        reports are then made from that and don't read letters again."""
-        return replace(self, chosen=kept(self.chosen))
+        """The same batch with its choice, and where they are asked for its results
+        and groups, written once; tables, notes and reports are then made from
+        these and don't read letters again."""
+        return replace(self, chosen=kept(self.chosen), once=True)
 
     @cached_property
     def results(self) -> DataFrame:
-        return R.file_results(self.chosen, self.profile)
+        t = R.file_results(self.chosen, self.profile)
+        return kept(t) if self.once else t
 
     @cached_property
     def groups(self) -> DataFrame:
-        return R.grouped(self.results, self.profile)
+        t = R.grouped(self.results, self.profile)
+        return kept(t) if self.once else t
 
     @property
     def cells(self) -> DataFrame:
@@ -49,7 +53,9 @@ class Batch:
 
     @property
     def sheet(self) -> DataFrame:
-        return R.sheet_places(self.cells, self.groups)
+        """Reads cells and groups several times, so from tables that are written once."""
+        b = self if self.once else self.stored()
+        return R.sheet_places(b.cells, b.groups)
 
     @property
     def note_details(self) -> DataFrame:

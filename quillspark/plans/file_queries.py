@@ -3,9 +3,6 @@ names or profiles; and the SQL that checks them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from ..operators import results as R
 from ..sources import files
 from ..sources.dossier import damaged_letters, letter_lines, uploads
 from ..sources.profiles import mark_table
+from ..sources.shared import new_folder
 from ..sources.workbook import report_json
 from ..streaming import expiry
 from . import batch as B
@@ -143,8 +141,7 @@ def b9_expiry(spark, sf_dir):
     # A stream reads folders; as a pattern the path may also name one file.
     events = spark.readStream.schema(_read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
     rows = events.select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("makes"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
-    at = f"{base.rstrip('/')}/quill-{uuid.uuid4().hex}"
+    at = new_folder(spark)
     expiry.written(expiry.reads(rows, 900), f"{at}/rows", f"{at}/state")
     return spark.read.schema(expiry.READS).parquet(f"{at}/rows").select("key", "event_id", F.coalesce(F.unix_micros("made_at"), F.lit(-1)).alias("made_at"), "live")
 

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is
+    unset in a local session a temporary one is made; a cluster has to name one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="quillspark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quill-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once: a Parquet table in the folder that driver and executors
-    share (spark.checkpoint.dir), where losing an executor loses nothing; without
-    such a folder it is persisted by Spark, which computes lost parts again."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/quill-{uuid.uuid4().hex}"
+    """df, computed once: a Parquet table in the shared folder. Its plan ends there,
+    and losing an executor loses nothing."""
+    path = new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
