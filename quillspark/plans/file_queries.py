@@ -37,12 +37,13 @@ def j7_addressees(spark, sf_dir):
 
 
 def _marks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Labels of orders from their items, and a set of marks for each part."""
+    """Labels of orders from their items, and a set of marks for each part; four
+    parts share their rarest mark."""
     text = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
     li, part = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "part")
-    labels = F.array(text("P", F.col("l_partkey") % 200), text("S", F.col("l_suppkey") % 25), text("Q", (F.col("l_quantity") % 7).cast("int")))
+    labels = F.array(text("P", F.floor(F.col("l_partkey") / 4)), text("S", F.col("l_suppkey") % 25), text("Q", (F.col("l_quantity") % 7).cast("int")))
     third = F.when(F.col("p_partkey") % 3 == 0, text("Q", F.col("p_partkey") % 7))
-    marks = F.array_compact(F.array(text("P", F.col("p_partkey") % 200), text("S", F.col("p_size") % 25), third))
+    marks = F.array_compact(F.array(text("P", F.floor(F.col("p_partkey") / 4)), text("S", F.col("p_size") % 25), third))
     return li.select(F.col("l_orderkey").alias("doc_id"), F.explode(labels).alias("label")), part.select(F.col("p_partkey").alias("profile"), F.explode(marks).alias("mark"))
 
 
@@ -152,8 +153,8 @@ QUERIES = {f.__name__: f for f in (j7_names_in_documents, j7_addressees, j8_cont
 _UPLOADS = """WITH RECURSIVE u AS (SELECT event_id AS seq, 'scan ' || user_id || CASE event_id % 7 WHEN 0 THEN ' (2)' WHEN 1 THEN ' (3)' WHEN 2 THEN ' (2) (2)' WHEN 3 THEN ' (12)' ELSE '' END || CASE event_type WHEN 'error' THEN '.txt' WHEN 'click' THEN '.ZIP' ELSE '.pdf' END AS name,
   CAST(floor(value * 1000) AS BIGINT) + CASE WHEN event_id % 997 = 0 THEN 16 * 1048576 ELSE 0 END AS size FROM events)
 """
-_MARKS = """WITH l AS (SELECT DISTINCT l_orderkey AS doc_id, unnest(['P' || l_partkey % 200, 'S' || l_suppkey % 25, 'Q' || CAST(l_quantity AS INT) % 7]) AS label FROM lineitem),
-m AS (SELECT DISTINCT p_partkey AS profile, unnest(['P' || p_partkey % 200, 'S' || p_size % 25] || CASE WHEN p_partkey % 3 = 0 THEN ['Q' || p_partkey % 7] ELSE [] END) AS mark FROM part),
+_MARKS = """WITH l AS (SELECT DISTINCT l_orderkey AS doc_id, unnest(['P' || l_partkey // 4, 'S' || l_suppkey % 25, 'Q' || CAST(l_quantity AS INT) % 7]) AS label FROM lineitem),
+m AS (SELECT DISTINCT p_partkey AS profile, unnest(['P' || p_partkey // 4, 'S' || p_size % 25] || CASE WHEN p_partkey % 3 = 0 THEN ['Q' || p_partkey % 7] ELSE [] END) AS mark FROM part),
 c AS (SELECT doc_id, m.profile FROM m JOIN l ON l.label = m.mark JOIN (SELECT profile, count(*) AS n FROM m GROUP BY profile) s ON s.profile = m.profile GROUP BY doc_id, m.profile HAVING count(*) = any_value(n))
 """
 
