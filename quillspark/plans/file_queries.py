@@ -210,7 +210,7 @@ UNION ALL SELECT start + captioned + row_no, place, value FROM cell JOIN r USING
         "s8_lines": letters + """, p AS (SELECT k, x.p AS page_no, x.n AS n, x.c AS chars FROM (SELECT d.*, unnest([{'p': 1::BIGINT, 'n': 9 + CAST(cover AS INT) + CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN k % 4 = 2 THEN 2 ELSE 0 END,
     'c': 23 + length('Ref No : ' || k) + length('Claim No :' || claim) + length('Reinsurer : ' || who) + CASE WHEN cover THEN length('Risk Cover : ' || pr) ELSE 0 END + length('Appointed Adjuster : ' || st) + CASE WHEN k % 3 = 0 THEN 21 ELSE 0 END
       + length('Total Sum Insured : IDR  ' || amt) + length('Date of Loss : ' || dt) + length('Remarks : ' || remarks) - 1 + CASE WHEN k % 4 = 2 THEN 36 ELSE 0 END},
-    {'p': 2, 'n': CAST(merged AS INT), 'c': length('Surveyor : ' || pr)}, {'p': 3, 'n': CASE WHEN split THEN 3 ELSE 0 END, 'c': length('Claim No : X' || claim) + 43}, {'p': 4, 'n': CASE WHEN k % 13 = 3 THEN 2 ELSE 0 END, 'c': 20}]) AS x FROM d WHERE k % 19 <> 0) WHERE x.n > 0)
+    {'p': 2, 'n': CAST(merged AS INT), 'c': length('Surveyor : ' || pr)}, {'p': 3, 'n': CASE WHEN split THEN 3 ELSE 0 END, 'c': length('Claim No : X' || claim) + 44}, {'p': 4, 'n': CASE WHEN k % 13 = 3 THEN 2 ELSE 0 END, 'c': 20}]) AS x FROM d WHERE k % 19 <> 0) WHERE x.n > 0)
 SELECT k AS doc_id, page_no, k % 29 = 0 AND page_no = 1 AS from_ocr, CAST(n AS BIGINT) AS lines, CAST(CASE WHEN k % 23 = 0 THEN 2 * n ELSE chars END AS BIGINT) AS chars FROM p""",
         "b5_file_errors": choice + """SELECT k AS doc_id, ok, reason, CASE WHEN ok AND split THEN '2 advice; skipped: ?' ELSE '' END AS note, CASE WHEN ok THEN 'DLA' ELSE '' END AS kind, CAST(CASE WHEN fine THEN 1 + CAST(split AS INT) ELSE 0 END AS BIGINT) AS total,
   CAST(CASE WHEN NOT fine THEN 0 WHEN ok THEN CAST(split AS INT) ELSE 1 + CAST(split AS INT) END AS BIGINT) AS other, fine AND k % 29 = 0 AS from_ocr FROM e""",

@@ -127,7 +127,7 @@ def test_batch_without_profile_is_rejected(spark):
 def test_queries_equal_sql(spark, name):
     db = duckdb.connect()
     base = "/root/testdata/sf0.001"
-    for t in ("orders", "customer", "nation", "lineitem", "events", "documents"):
+    for t in ("orders", "customer", "nation", "lineitem", "events", "documents", "part"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
     got, want = Q.QUERIES[name](spark, base).toPandas(), db.sql(Q.ORACLE_SQL[name]).df()
     columns = sorted(got.columns)
