@@ -126,28 +126,28 @@ def sections(pages: DataFrame, profile: DataFrame) -> DataFrame:
     """doc_id, sections: array of (kind, found), has_text and from_ocr (of any page).
     Pages with a skip heading or without pairs are left out; one without title joins
     the section before it unless they contradict. profile is one row, so the join moves nothing."""
-    p = pages.join(F.broadcast(profile.limit(1).select("skip_headings", "titles", "owner_label", "owner_from_letterhead", "reference_after_title")))
+    p = pages.join(F.broadcast(profile.limit(1).select("skips", "titles", "addressee", "letterhead", F.col("reference").alias("reference_label"))))
     heads, titles = F.col("heads"), F.col("titles")
-    skips = F.arrays_overlap(F.transform(heads, F.lower), F.col("skip_headings"))
+    skips = F.arrays_overlap(F.transform(heads, F.lower), F.col("skips"))
     p = p.withColumn("title", L.title_of(heads, titles))
     titled = F.coalesce(F.col("title") != "", F.lit(False))
-    reference = F.when(titled & (F.col("reference_after_title") != ""), L.title_reference(heads, titles))
-    p = p.withColumn("found", F.when(F.coalesce(reference, F.lit("")) != "", updated(F.col("found"), F.create_map(F.col("reference_after_title"), reference))).otherwise(F.col("found")))
-    letterhead = F.when(titled & F.col("owner_from_letterhead"), L.letterhead(heads, titles))
-    p = p.withColumn("found", with_default(F.col("found"), F.col("owner_label"), letterhead))
+    reference = F.when(titled & (F.col("reference_label") != ""), L.title_reference(heads, titles))
+    p = p.withColumn("found", F.when(F.coalesce(reference, F.lit("")) != "", updated(F.col("found"), F.create_map(F.col("reference_label"), reference))).otherwise(F.col("found")))
+    letterhead = F.when(titled & F.col("letterhead"), L.letterhead(heads, titles))
+    p = p.withColumn("found", with_default(F.col("found"), F.col("addressee"), letterhead))
     start = F.array().cast(f"array<struct<kind:string,found:{MAP}>>")
 
     def step(done, page):
         last = F.try_element_at(done, F.lit(-1))
-        joins = (F.size(done) > 0) & page["title"].isNull() & ~contradicts(last["found"], page["found"], page["owner_label"])
+        joins = (F.size(done) > 0) & page["title"].isNull() & ~contradicts(last["found"], page["found"], page["addressee"])
         merged = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["kind"].alias("kind"), updated(last["found"], page["found"]).alias("found"))))
         opened = F.concat(done, F.array(F.struct(L.initials(F.coalesce(page["title"], F.lit(""))).alias("kind"), page["found"].alias("found"))))
         return F.when(F.coalesce(joins, F.lit(False)), merged).otherwise(opened)
 
     # Map values can't be sorted by, so pages are put in order by number and place.
-    page = F.when(~skips & (F.size("found") > 0), F.struct("page_no", "title", F.map_entries("found").alias("entries"), "owner_label"))
+    page = F.when(~skips & (F.size("found") > 0), F.struct("page_no", "title", F.map_entries("found").alias("entries"), "addressee"))
     numbered = p.select("doc_id", page.alias("page"), (F.size("heads") > 0).alias("has_text"), "from_ocr")
-    pages_ = F.transform(F.array_sort(F.collect_list("page")), lambda x: F.struct(x["page_no"].alias("page_no"), x["title"].alias("title"), F.map_from_entries(x["entries"]).alias("found"), x["owner_label"].alias("owner_label")))
+    pages_ = F.transform(F.array_sort(F.collect_list("page")), lambda x: F.struct(x["page_no"].alias("page_no"), x["title"].alias("title"), F.map_from_entries(x["entries"]).alias("found"), x["addressee"].alias("addressee")))
     return numbered.groupBy("doc_id").agg(F.aggregate(pages_, start, step).alias("sections"), F.max("has_text").alias("has_text"), F.max("from_ocr").alias("from_ocr"))
 
 
@@ -181,15 +181,15 @@ def choose(found: DataFrame, profile: DataFrame) -> DataFrame:
     of text, then the choice; a file with either has no notices."""
     failed = F.col("error").isNotNull() | ~F.col("has_text")
     found = found.withColumn("sections", F.when(failed, F.slice("sections", 1, 0)).otherwise(F.col("sections")))
-    t = found.join(F.broadcast(profile.limit(1).select("owner_label", "owner_names", "owner_from_letterhead")))
-    addressee = lambda s: F.btrim(F.coalesce(F.try_element_at(s["found"], F.col("owner_label")), F.lit("?")))
-    ours = lambda s: F.exists("owner_names", lambda n: F.contains(F.lower(addressee(s)), n))
+    t = found.join(F.broadcast(profile.limit(1).select("addressee", "names", "letterhead")))
+    addressee = lambda s: F.btrim(F.coalesce(F.try_element_at(s["found"], F.col("addressee")), F.lit("?")))
+    ours = lambda s: F.exists("names", lambda n: F.contains(F.lower(addressee(s)), n))
     s = F.col("sections")
     t = t.withColumn("total", F.size(s)).withColumn("mine", F.filter(s, ours)).withColumn("others", F.transform(F.filter(s, lambda x: ~ours(x)), addressee))
     kinds = F.array_distinct(F.transform(s, lambda x: x["kind"]))
     t = t.withColumn("what", F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise("advice"))
     named = F.filter("others", lambda x: x != "?")
-    anyone = (F.col("owner_label") == "") | (F.size("owner_names") == 0)
+    anyone = (F.col("addressee") == "") | (F.size("names") == 0)
     one = F.when(anyone & (F.col("total") == 1), F.get(s, F.lit(0))).when(~anyone & (F.size("mine") == 1), F.get("mine", F.lit(0)))
     t = t.withColumn("one", one).withColumn("named", named)
     prefix = F.element_at(F.create_map(*(F.lit(x) for pair in STAGES.items() for x in pair)), F.col("error.stage"))
@@ -199,7 +199,7 @@ def choose(found: DataFrame, profile: DataFrame) -> DataFrame:
         .when(F.col("total") == 0, "no notice found")
         .when(F.col("one").isNotNull(), "")
         .when(anyone, F.concat(F.lit("several notices and no rule for the addressee: "), F.col("total")))
-        .when((F.size("mine") == 0) & (F.size("named") == 0), F.when(F.col("owner_from_letterhead"), "no letterhead names the addressee").otherwise(F.concat(F.lit("no line names the addressee: "), F.col("owner_label"))))
+        .when((F.size("mine") == 0) & (F.size("named") == 0), F.when(F.col("letterhead"), "no letterhead names the addressee").otherwise(F.concat(F.lit("no line names the addressee: "), F.col("addressee"))))
         .when(F.size("mine") == 0, F.concat(F.col("what"), F.lit(" addressed to others: "), F.array_join("named", ", ")))
         .otherwise(F.concat(F.size("mine"), F.lit(" "), F.col("what"), F.lit(" addressed to us")))
     )

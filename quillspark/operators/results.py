@@ -26,12 +26,12 @@ def file_results(chosen: DataFrame, profile: Profile) -> DataFrame:
     extra labels with values, and the shape (sorted labels it has). The profile
     is configuration of a few dozen fields, so this is one projection per row."""
     found = F.col("found")
-    value = lambda f: L.TAKES[f.take](F.element_at(found, F.lit(f.source)))
+    value = lambda f: L.TAKES[f.take](F.element_at(found, F.lit(f.label)))
     t = chosen.where("ok")
-    t = t.withColumn("values", F.array(*[F.when(F.map_contains_key(found, F.lit(f.source)), value(f)).otherwise("") for f in profile.fields]))
-    t = t.withColumn("missing", F.filter(strings(f.source for f in profile.fields), lambda s: ~F.map_contains_key(found, s)))
-    t = t.withColumn("extra", F.map_filter(found, lambda k, v: ~F.array_contains(strings(profile.used), k) & (v != "")))
-    sources = strings(dict.fromkeys(f.source for f in profile.fields))
+    t = t.withColumn("values", F.array(*[F.when(F.map_contains_key(found, F.lit(f.label)), value(f)).otherwise("") for f in profile.columns]))
+    t = t.withColumn("missing", F.filter(strings(f.label for f in profile.columns), lambda s: ~F.map_contains_key(found, s)))
+    t = t.withColumn("extra", F.map_filter(found, lambda k, v: ~F.array_contains(strings(profile.known_labels), k) & (v != "")))
+    sources = strings(dict.fromkeys(f.label for f in profile.columns))
     return t.withColumn("shape", F.array_sort(F.array_union(F.filter(sources, lambda s: F.map_contains_key(found, s)), F.map_keys("extra"))))
 
 
@@ -40,8 +40,8 @@ def grouped(results: DataFrame, profile: Profile) -> DataFrame:
     each kind and shape, larger ones first, then wider ones, then by first
     appearance. width counts the columns of fields and extra labels; extras are the
     labels outside the profile, in the order of the first file."""
-    has = lambda f: F.array_contains("shape", f.source).cast("int")
-    wide = results.withColumn("width", sum((has(f) for f in profile.fields), F.size("extra")))
+    has = lambda f: F.array_contains("shape", f.label).cast("int")
+    wide = results.withColumn("width", sum((has(f) for f in profile.columns), F.size("extra")))
     g = wide.groupBy("kind", F.array_join("shape", "|").alias("shape")).agg(F.count("*").alias("n_rows"), F.any_value("width").alias("width"), F.min("doc_id").alias("first_doc"), F.min_by(F.map_keys("extra"), "doc_id").alias("extras"))
     # Ranks by counting what is larger within ranges of the row count, so that many groups don't meet in one task.
     g = running(g.withColumn("less", -F.col("n_rows")).withColumn("narrow", -F.col("width")), "less", {"group_no": F.lit(1).cast("long")}, ties=("narrow", "first_doc")).drop("less", "narrow")
@@ -54,8 +54,8 @@ def cells(results: DataFrame, profile: Profile, groups: DataFrame, source_header
     the order of the group's first file, and the source file is last."""
     shape = F.array_join("shape", "|")
     t = results.withColumn("shape_key", shape).join(groups.select("kind", F.col("shape").alias("shape_key"), "group_no", "extras"), ["kind", "shape_key"])
-    own = [F.struct(F.lit(k).alias("col_no"), F.lit(f.header).alias("header"), F.when(F.array_contains("shape", f.source), F.get("values", F.lit(k))).alias("value")) for k, f in enumerate(profile.fields)]
-    n = len(profile.fields)
+    own = [F.struct(F.lit(k).alias("col_no"), F.lit(f.header).alias("header"), F.when(F.array_contains("shape", f.label), F.get("values", F.lit(k))).alias("value")) for k, f in enumerate(profile.columns)]
+    n = len(profile.columns)
     extra = F.transform("extras", lambda k, i: F.struct((i + n).alias("col_no"), k.alias("header"), F.element_at("extra", k).alias("value")))
     last = F.array(F.struct((F.size("extras") + n).alias("col_no"), F.lit(source_header).alias("header"), F.col("doc_id").cast("string").alias("value")))
     rows = t.select("group_no", "doc_id", F.inline(F.concat(F.filter(F.array(*own), lambda c: c["value"].isNotNull()), extra, last)))
@@ -127,7 +127,7 @@ def duplicate_claims(results: DataFrame, profile: Profile, header: str = "Claim
     """claim, n, doc_id: the files of each claim that several files have. A row a
     file, so that no claim's files are held together. Claims are the values of the
     profile's first column with that header; a profile without one has none."""
-    at = next((k for k, f in enumerate(profile.fields) if f.header == header), None)
+    at = next((k for k, f in enumerate(profile.columns) if f.header == header), None)
     claim = F.lit(None).cast("string") if at is None else F.get("values", F.lit(at))
     t = results.select("doc_id", claim.alias("claim")).where("claim <> ''")
     several = t.groupBy("claim").agg(F.count("*").alias("n")).where("n > 1")
@@ -193,7 +193,7 @@ def notes(details: DataFrame, profile: Profile) -> DataFrame:
     text = (
         F.when(no == 1, F.format_string("The result is split into %d tables.", "keys"))
         .when(no == 2, F.format_string("%d claims occur more than once (%d rows); all are kept.", "keys", "n_details"))
-        .when(no == 3, F.format_string(f"%d labels outside the profile {profile.name} are columns too.", "keys"))
+        .when(no == 3, F.format_string(f"%d labels outside the profile {profile.value('name')} are columns too.", "keys"))
         .when(no == 4, F.format_string("%d files hold more than one notice; ours was taken.", "keys"))
         .when(no == 5, F.format_string("%d files without text were read by recognition.", "keys"))
         .otherwise(F.format_string("%d files lack some labels.", "keys"))

@@ -111,9 +111,9 @@ def run(lines: DataFrame, key: str | None = None, files: DataFrame | None = None
     if profile is None:
         raise ValueError("no profile, or more than one, fits these letters")
     one = profile_table(lines.sparkSession, [profile])
-    found = X.sections(X.page_table(lines, profile.bulleted_money), one)
+    found = X.sections(X.page_table(lines, profile.bullets), one)
     chosen = X.choose(X.with_files(found, files, errors), one)
-    return Batch(profile, X.extract_pairs(lines, profile.bulleted_money), found, chosen)
+    return Batch(profile, X.extract_pairs(lines, profile.bullets), found, chosen)
 
 
 def pivoted(batch: Batch, group_no: int) -> DataFrame:

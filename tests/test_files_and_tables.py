@@ -284,7 +284,7 @@ def test_audit_takes_the_last_of_rows_with_one_name(spark):
 
 
 def test_profiles_are_detected_by_their_marks(spark):
-    labels = spark.createDataFrame([(k, {m: "" for p in ps for m in by_key(p).marks} | {"x": ""}) for k, ps in enumerate([(), ("jrp",), ("kmdastur",), ("jrp", "kmdastur")])], "doc_id long, found map<string,string>")
+    labels = spark.createDataFrame([(k, {m: "" for p in ps for m in by_key(p).values("mark")} | {"x": ""}) for k, ps in enumerate([(), ("jrp",), ("kmdastur",), ("jrp", "kmdastur")])], "doc_id long, found map<string,string>")
     assert {r.doc_id: r.profile for r in R.detected(labels, mark_table(spark)).collect()} == {0: None, 1: "jrp", 2: "kmdastur", 3: None}
     assert len(PROFILES) == 3
 

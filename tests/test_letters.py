@@ -13,7 +13,7 @@ from quillspark.plans import batch as B
 from quillspark.plans import queries as Q
 from quillspark.sources import files, workbook
 from quillspark.sources.dossier import letter_lines
-from quillspark.sources.profiles import PROFILES, by_key, field_table, profile_table
+from quillspark.sources.profiles import PROFILES, by_key, column_table, profile_table
 
 TAKES = [
     ("Rp1.000", "", "1.000", "1.000", "Rp1.000"),
@@ -113,8 +113,8 @@ def test_letterhead_profile(spark):
     found = dict(r.found)
     assert found["Kop Surat"] == "PT Asuransi Astra" and found["Definite Loss Advice"] == "R-77" and found["Expense"] == "IDR 9"
     assert r["values"][0] == "R-77" and r["values"][11] == "5" and dict(r.extra) == {}
-    assert by_key("askrindo") is None and len(PROFILES[0].fields) == 24
-    assert field_table(spark, PROFILES[0]).count() == 24 and profile_table(spark).count() == 2
+    assert by_key("askrindo") is None and len(PROFILES[0].columns) == 24
+    assert column_table(spark, PROFILES[0]).count() == 24 and profile_table(spark).count() == 2
 
 
 def test_batch_without_profile_is_rejected(spark):
