@@ -16,8 +16,9 @@ in 2^32. A lookup reads ranges of the file: the head, one block per probed level
 (two on average), one entry, its offsets and its ids. Neighbouring ranges of
 many keys are read at once, so a scan of all keys is one pass over the file.
 
-Null or empty texts have the end id alone. Rows with a null key can't be
-addressed and aren't written. Rows of the same key stand one after another,
+Null or empty texts have the end id alone. Rows with a null key are written under
+the least 64-bit number, so before all others, and are found by a null key (a key of
+that very number is one with them). Rows of the same key stand one after another,
 ordered by their ids, in as many shards as they need, and a key gives all of
 them. An empty table makes no file.
 """
@@ -40,6 +41,8 @@ MAGIC = b"QTOKENS2"
 HEAD = struct.Struct("<8s6Q")
 ENTRY = np.dtype([("fingerprint", "<u4"), ("record", "<u4"), ("records", "<u4")])
 BLOCK, SLOTS = 64, 448
+#: Stands for a null key in files.
+NO_KEY = -(1 << 63)
 
 
 def slots_of(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -225,7 +228,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
             yield close()
 
     parts = shuffles(docs.sparkSession)
-    rows = id_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
+    rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_KEY)))
     kind = Encoder.at(tokenizer).type
     # Part borders from the keys alone: a range shuffle's own sampling would encode the texts.
     cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10000)).first()[0]
@@ -250,7 +253,7 @@ def read_token_files(keys: DataFrame, folder: str, manifest: DataFrame) -> DataF
     base = {r.part: sum(x.n for x in parts[:k]) for k, r in enumerate(parts)}
     names = [r.part for r in parts]
     name = keys.columns[0]
-    wanted = keys.select(F.col(name).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    wanted = keys.select(F.coalesce(F.col(name).cast("long"), F.lit(NO_KEY)).alias("doc_id")).distinct()
     wanted = wanted.mapInArrow(_part_of([r.low for r in parts], names), "part int, doc_id long")
     before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = manifest.select("part", F.col("first_key").alias("doc_id"), "file", "last_key", "shard", before.alias("before"))
@@ -297,7 +300,8 @@ def read_token_files(keys: DataFrame, folder: str, manifest: DataFrame) -> DataF
             for row in near:
                 yield from found(*row)
 
-    return rows.mapInArrow(look_up, result)
+    key = F.when(F.col("doc_id") != NO_KEY, F.col("doc_id")).alias("doc_id")
+    return rows.mapInArrow(look_up, result).select(key, "start", "n_tokens", "ids")
 
 
 def _part_of(low: list[int], names: list[int]):

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm.common import shared_dir
@@ -120,10 +121,15 @@ def test_token_files_round_trip(spark, shard_ids):
 
 def test_token_files_awkward_rows(spark):
     docs = awkward(spark)
+    docs = docs.unionByName(docs.where("doc_id is null").withColumn("text", F.lit("another without an id")))
     folder = f"file://{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     manifest = write_token_files(docs, folder, default_path())
-    got = read_token_files(docs.select("doc_id"), folder, manifest).collect()
-    keyed = docs.where("doc_id is not null")
-    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in keyed.collect())
+    got = read_token_files(docs.select("doc_id"), folder, manifest).orderBy("start").collect()
+    order = lambda d: (d is not None, d or 0)
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in docs.collect()), key=order) and [r.doc_id for r in got][:3] == [None, None, 1]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
+    texts = [r.text or "" for r in docs.collect()]
+    assert sorted(bytes(r.ids) for r in got) == sorted(np.array(ids + [2], "<u4").tobytes() for ids in library_ids(texts))
+    assert {r.doc_id for r in read_token_files(docs.where("doc_id = 1").select("doc_id"), folder, manifest).collect()} == {1}
     none = write_token_files(empty(spark), folder + "x", default_path())
     assert none.count() == 0 and read_token_files(docs.select("doc_id"), folder + "x", none).count() == 0
