@@ -10,7 +10,7 @@ from ..operators import matching as M
 from ..operators import naming as N
 from ..operators import results as R
 from ..sources import files
-from ..sources.dossier import damaged_letters, letter_lines, uploads
+from ..sources.dossier import archives, damaged_letters, letter_lines, packed, uploads
 from ..sources.profiles import mark_table
 from ..sources.shared import new_folder
 from ..sources.workbook import report_json
@@ -66,6 +66,17 @@ def s9_names(spark, sf_dir):
     return N.unique_names(uploads(spark, sf_dir).select("seq", "name")).select("seq", "name", "own")
 
 
+def s9_archives(spark, sf_dir):
+    """What archives made of the documents hold, with the names of their one folder."""
+    t = files.unpacked(archives(spark, sf_dir))
+    return t.select("archive", F.col("seq").alias("member_no"), "name", "size", F.md5("content").alias("content_md5"))
+
+
+def s10_listing(spark, sf_dir):
+    """All files of a request in order: uploads that overwrite, members that are renamed."""
+    return files.listing(uploads(spark, sf_dir), packed(spark, sf_dir), most=1 << 40).select("place", "seq", F.col("at").alias("member_no"), "name", "read_seq")
+
+
 def o17_first_detection(spark, sf_dir):
     """The first letter that exactly one profile fits; in the first half of the order one mark is missing."""
     half = _read(spark, sf_dir, "orders").agg(F.floor(F.max("o_orderkey") / 2)).first()[0]
@@ -147,7 +158,7 @@ def b9_expiry(spark, sf_dir):
     return spark.read.schema(expiry.READS).parquet(f"{at}/rows").select("key", "event_id", F.coalesce(F.unix_micros("made_at"), F.lit(-1)).alias("made_at"), "live")
 
 
-QUERIES = {f.__name__: f for f in (j7_names_in_documents, j7_addressees, j8_contained, j8_sole_profile, s10_admission, s9_names, o17_first_detection, b6_tables, o16_sheet, k4_report, s8_lines, b5_file_errors, p13_views, a3_error_reasons, b4_recognised_notes, b2_detected_batch, b3_rejected, b9_expiry)}
+QUERIES = {f.__name__: f for f in (j7_names_in_documents, j7_addressees, j8_contained, j8_sole_profile, s10_admission, s10_listing, s9_names, s9_archives, o17_first_detection, b6_tables, o16_sheet, k4_report, s8_lines, b5_file_errors, p13_views, a3_error_reasons, b4_recognised_notes, b2_detected_batch, b3_rejected, b9_expiry)}
 
 
 _UPLOADS = """WITH RECURSIVE u AS (SELECT event_id AS seq, 'scan ' || user_id || CASE event_id % 7 WHEN 0 THEN ' (2)' WHEN 1 THEN ' (3)' WHEN 2 THEN ' (2) (2)' WHEN 3 THEN ' (12)' ELSE '' END || CASE event_type WHEN 'error' THEN '.txt' WHEN 'click' THEN '.ZIP' ELSE '.pdf' END AS name,
@@ -199,6 +210,19 @@ s AS (SELECT root, seq, name, i, name AS own, [name] AS taken FROM o WHERE i = 1
   UNION ALL SELECT root, seq, name, i, own, list_append(taken, own) FROM (SELECT o.root, o.seq, o.name, o.i, s.taken, CASE WHEN NOT list_contains(s.taken, o.name) THEN o.name
     ELSE list_filter(list_transform(range(2, len(s.taken) + 3), lambda n: o.stem || ' (' || n || ')' || o.ext), lambda x: NOT list_contains(s.taken, x))[1] END AS own FROM s JOIN o ON o.root = s.root AND o.i = s.i + 1))
 SELECT seq, name, own FROM s""",
+        "s9_archives": """WITH RECURSIVE m AS (SELECT doc_id, printf('archive-%012d.zip', doc_id // 20) AS archive, source || CASE doc_id % 5 WHEN 1 THEN ' (2)' WHEN 2 THEN ' (3)' ELSE '' END AS stem, encode(coalesce(text, '')) AS raw, coalesce(text, '') AS text FROM documents WHERE doc_id % 17 <> 3 AND doc_id % 11 <> 4),
+o AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY doc_id) - 1 AS member_no, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, regexp_replace(stem, ' \\([0-9]+\\)$', '') AS root FROM (SELECT m.*, regexp_replace(stem, ' \\([0-9]+\\)$', '') AS source FROM m)),
+s AS (SELECT root, i, archive, member_no, doc_id, stem || '.pdf' AS own, [stem || '.pdf'] AS taken FROM o WHERE i = 1
+  UNION ALL SELECT root, i, archive, member_no, doc_id, own, list_append(taken, own) FROM (SELECT o.root, o.i, o.archive, o.member_no, o.doc_id, s.taken, CASE WHEN NOT list_contains(s.taken, o.stem || '.pdf') THEN o.stem || '.pdf'
+    ELSE list_filter(list_transform(range(2, len(s.taken) + 3), lambda n: o.stem || ' (' || n || ').pdf'), lambda x: NOT list_contains(s.taken, x))[1] END AS own FROM s JOIN o ON o.root = s.root AND o.i = s.i + 1))
+SELECT s.archive, CAST(s.member_no AS BIGINT) AS member_no, own AS name, CAST(octet_length(raw) AS BIGINT) AS size, md5(text) AS content_md5 FROM s JOIN m USING (doc_id)""",
+        "s10_listing": _UPLOADS + """, f AS (SELECT seq, CAST(0 AS BIGINT) AS member_no, name, true AS fixed FROM u WHERE lower(right(name, 4)) = '.pdf'
+  UNION ALL SELECT event_id, x.member_no, 'scan ' || user_id || x.b || '.pdf', false FROM (SELECT event_id, user_id, unnest([{'member_no': 0::BIGINT, 'b': ''}, {'member_no': 1, 'b': CASE WHEN event_id % 2 = 0 THEN ' (2)' ELSE '' END}]) AS x FROM events WHERE event_type = 'click')),
+q AS (SELECT *, left(name, length(name) - 4) AS stem, regexp_replace(left(name, length(name) - 4), '( \\([0-9]+\\))+$', '') AS root FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY seq, member_no) AS i FROM q),
+s AS (SELECT root, i, seq, member_no, fixed, name AS own, [name] AS taken FROM o WHERE i = 1
+  UNION ALL SELECT root, i, seq, member_no, fixed, own, list_append(taken, own) FROM (SELECT o.root, o.i, o.seq, o.member_no, o.fixed, s.taken, CASE WHEN o.fixed OR NOT list_contains(s.taken, o.name) THEN o.name
+    ELSE list_filter(list_transform(range(2, len(s.taken) + 3), lambda n: o.stem || ' (' || n || ').pdf'), lambda x: NOT list_contains(s.taken, x))[1] END AS own FROM s JOIN o ON o.root = s.root AND o.i = s.i + 1))
+SELECT row_number() OVER (ORDER BY seq, member_no) AS place, seq, member_no, own AS name, CAST(greatest(seq, coalesce(max(CASE WHEN fixed THEN seq END) OVER (PARTITION BY own), seq)) AS BIGINT) AS read_seq FROM s""",
         "o17_first_detection": letters + "SELECT min(k) AS doc_id, 'jrp' AS profile FROM d WHERE k >= (SELECT max(o_orderkey) // 2 FROM orders) AND (cover OR split) HAVING min(k) IS NOT NULL",
         "b6_tables": letters + """, t AS (SELECT k, any_value(shape) AS shape, '{' || string_agg('"' || printf('%03d', col_no) || ' ' || header || '":"' || value || '"', ',' ORDER BY col_no) || '}' AS row,
   'OBJECT<' || string_agg('`' || printf('%03d', col_no) || ' ' || header || '`: STRING', ', ' ORDER BY col_no) || '>' AS schema FROM cell GROUP BY k)

@@ -3,6 +3,10 @@ extracted can be held against the source columns."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,3 +115,34 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", ".txt").when(F.col("event_type") == "click", ".ZIP").otherwise(".pdf")
     size = F.floor(F.col("value") * 1000).cast("long") + F.when(k % 997 == 0, 16 << 20).otherwise(0)
     return e.select(k.alias("seq"), F.concat(F.lit("scan "), user, behind, kind).alias("name"), size.alias("size"))
+
+
+#: Documents of one archive.
+PER_ARCHIVE = 20
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: ZIP archives of the documents table, twenty documents each, in
+    the order of their ids. Members lie in folders by language and are named by source,
+    so names repeat within and between archives; some are hidden or of another kind."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    k = F.col("doc_id")
+    behind = F.when(k % 5 == 1, " (2)").when(k % 5 == 2, " (3)").otherwise("")
+    name = F.concat(F.col("lang"), F.lit("/"), F.when(k % 17 == 3, ".").otherwise(""), F.col("source"), behind, F.when(k % 11 == 4, ".txt").otherwise(".pdf"))
+    rows = d.select(F.format_string("archive-%012d.zip", F.floor(k / PER_ARCHIVE)).alias("path"), "doc_id", name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for row in frame.sort_values("doc_id").itertuples():
+                z.writestr(zipfile.ZipInfo(row.name), row.content)
+        return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [out.getvalue()]})
+
+    return rows.groupBy("path").applyInPandas(pack, "path string, content binary")
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, at, name: members of the archives among the uploads, two each."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'")
+    names = F.array(F.concat(F.lit("scan "), F.col("user_id").cast("string"), F.lit(".pdf")), F.concat(F.lit("scan "), F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, " (2)").otherwise(""), F.lit(".pdf")))
+    return e.select(F.col("event_id").alias("seq"), F.posexplode(names).alias("at", "name"))
