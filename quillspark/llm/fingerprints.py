@@ -20,6 +20,8 @@ is shuffled. Runs of one integer (silence, steady tones) vote once.
 Samples are unsigned 8-bit mono PCM. Null, empty or short recordings, under one
 filter's width of frames, have no integers and align with nothing. Rows with a
 null id aren't indexed. Rows of the same id count as one recording, the longest.
+Other columns are ignored. Of offsets with equal votes, and of queries aligned
+equally well, see align() and best_alignments() for which one is given.
 """
 
 from __future__ import annotations

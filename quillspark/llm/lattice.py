@@ -18,7 +18,8 @@ these are fitted to just that mass. So all texts' probabilities add up to 1.
 Null and empty texts have the end alone. A null doc_id counts as the text ''
 where training texts are told from held-out ones. Repeated rows count and are
 scored as often as they occur. With no training text at all, the weights stay
-those of the vocabulary and no token is known.
+those of the vocabulary and no token is known. Texts are read whole, whatever
+their length. Other columns are ignored.
 """
 
 from __future__ import annotations

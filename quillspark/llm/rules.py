@@ -10,6 +10,12 @@ labelled rows, those with the smallest hashes of their ids: that bound is what
 the driver holds. Null and empty texts have statistics of 0 and get a score.
 Labels that are null are left out; the larger of repeated labels counts. Without
 labels of both kinds the score is the share of label 1, or 0.5.
+
+Rows with a null id are scored, but no label finds them. Repeated rows are scored
+each; an id with several texts is fitted with each, up to `sample` rows in all. Of ids
+with equal hashes the smaller is taken into the sample first, a score of just 0.5
+counts as label 1. An empty table gives an empty result. Texts are measured whole,
+whatever their length. Other columns are ignored.
 """
 
 from __future__ import annotations

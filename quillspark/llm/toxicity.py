@@ -22,6 +22,10 @@ the scores.
 Null, empty and white texts are scored as one empty window. Labels that are
 null are left out; the larger of repeated labels counts. Without labels of both
 kinds every score is the share of label 1, or 0.5.
+
+Rows with a null id are scored, but no label finds them. Repeated rows are scored
+each and, if their id is labelled, trained each, up to twice `most` rows in all. An empty table gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -422,3 +422,40 @@ def test_fingerprints_awkward_rows(spark):
     assert set(got) == set(range(1, 11)) and (got[7].n_links, got[7].query_id, got[7].bit_errors) == (1, 6, 0) and got[1].n_links == 0
     none = fingerprints.fingerprints(empty(spark).selectExpr("doc_id", "cast(text as binary) as pcm"))
     assert fingerprints.best_alignments(none, none).count() == 0
+
+
+def plain_statistics(text):
+    """STATISTICS of one text, by plain counting."""
+    raw = (text or "").encode()
+    count = lambda bytes_: sum(raw.count(bytes([b])) for b in bytes_)
+    w = [x.lower() for x in raw.translate(bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))).split(b" ") if x]
+    letters = count([*range(65, 91), *range(97, 123), *range(128, 256)])
+    times, lines = Counter(w), [x for x in raw.split(b"\n") if x.strip()]
+    n, k = max(1, len(raw)), max(1, len(w))
+    return [
+        np.log1p(len(raw)), np.log1p(len(w)), sum(map(len, w)) / k, count(range(65, 91)) / max(1, letters), count(range(48, 58)) / n, count(b"#$%&*<>{}[]\\/@^~_=+`") / n, count(b".,;:?'\"()-") / n, count(b"!") / n, count(b"|") / n, count(range(128, 256)) / n,
+        len(w) / (raw.count(b"\n") + 1), len(times) / k, max(times.values(), default=0) / k, 1 - len(set(lines)) / max(1, len(lines)) if b"\n" in raw else 0.0,
+    ]
+
+
+def test_statistics_and_rule_scores_equal_plain_counts(spark):
+    """Every statistic of every text, and the compiled column's score from them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (-3, " \n\t\n"), (-4, "One LINE\none line\n\nOne LINE!"), (-5, "\x1c|#é漢字 ABC 123"), (None, long_text(2000)), (-4, "x")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    plain = [(r.doc_id, plain_statistics(r.text)) for r in docs.collect()]
+    sort = lambda rows: sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, *np.round(r[1], 6)))
+    got = sort([(r.doc_id, [r[s] for s in rules.STATISTICS]) for r in rules.with_statistics(docs.repartition(5)).collect()])
+    assert [d for d, _ in got] == [d for d, _ in sort(plain)]
+    np.testing.assert_allclose([x for _, x in got], [x for _, x in sort(plain)], atol=1e-9)
+    base = "/root/testdata/sf0.01"
+    model = rules.fit_quality(spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet").where("doc_id % 3 <> 1"))
+
+    def score(x):
+        z = model.intercept + sum(w for w, rule in model.rules if all(x[k] <= bound if below else x[k] > bound for k, below, bound in rule.parts))
+        return 1 / (1 + np.exp(-z))
+
+    scored = sorted((r.doc_id is not None, r.doc_id or 0, r.score) for r in rules.score_quality(docs, model).collect())
+    want = sorted((d is not None, d or 0, score(x)) for d, x in got)
+    assert [r[:2] for r in scored] == [r[:2] for r in want]
+    np.testing.assert_allclose([r[2] for r in scored], [r[2] for r in want], atol=1e-9)
