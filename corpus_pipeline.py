@@ -18,14 +18,10 @@ from quillspark.llm.token_ids import default_path
 from quillspark.llm.toxicity import fit_toxicity, score_rows
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id isn't among ids; rows with a null id stay."""
-    return docs.join(ids.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network calls toxic go. It learns from the same labelled
-    documents as op4, of those that are in docs."""
+    documents as op4, of those that are in docs. Each row is judged by its own text,
+    whatever its id; null and empty texts are scored as one empty window."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_bucket("doc_id", 5) != 0)
     return score_rows(docs, fit_toxicity(docs, labels)).where("score < 0.5").select("row.*")
 
@@ -53,12 +49,18 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    found = contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without_ids(docs, found.select("doc_id"))
+    """Rows whose text contains a benchmark item go, also those with a null id; a row
+    that only shares its id with such a one stays. Texts are told apart by a 64-bit
+    hash. Null and empty texts stay, an empty table stays empty."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = contained_items(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.xxhash64("text") == F.col("__gone"), "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is packed, also those with null or repeated ids; a null or empty
+    text is its end id alone. An empty table gives no sequences."""
     return pack(docs, default_path())
 
 
