@@ -19,12 +19,14 @@ members only if the overlap with that union can reach the threshold.
    Classes that share enough are written once, with their tokens and with a bitmap of
    these of about eight bits a token. A bit of x that y lacks is a token of x
    outside y, so two bitmaps bound the overlap, at a tenth of the sets' size.
-3. Groups: in each of a few rounds every prefix token names one leader, another
-   one each time, and each group tries the leader that most of its prefix tokens
-   name. Linked groups become one. Thousands of near copies meet this way with a
-   few comparisons each.
-4. Matrix: classes and other groups that share enough prefix tokens, early ones
-   of the smaller set, are the pairs that may still link. A group's row is the union of its members' bitmaps; only
+3. Groups: in each of a few rounds every prefix token names one leader, first the
+   class with the most common tokens, then another one each time, and each group
+   tries the leader that most of its prefix tokens name. Linked groups become one.
+   Thousands of near copies meet this way with a few comparisons each.
+4. Matrix: as k early tokens are shared, one of any but k - 1 of them is; those in
+   the fewest groups are a class's probes. Edited copies of one text that are too far apart for
+   a link hardly have any. Classes and other groups that share a probe of the
+   smaller set are the pairs that may still link. A group's row is the union of its members' bitmaps; only
    groups whose union lets the overlap reach the threshold are opened, and there
    a class meets the bitmaps of all members of fitting size.
 5. Pairs that the bitmaps allow are compared token by token: first the likeliest
@@ -40,7 +42,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MIX_1, MIX_2, Membership, discard, documents, id_text, mixed, stored, text_slices
@@ -342,7 +344,14 @@ def components(docs: DataFrame, leader_rounds: int = 6) -> tuple[DataFrame, Data
         return stored(allowed(pairs.join(one, "a").join(two, "b")))
 
     for k in range(leader_rounds):
-        leaders = rows.groupBy("t").agg(F.min(F.struct(F.xxhash64("grp", F.lit(k)).alias("h"), "grp", "cid", "n")).alias("l"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t", F.col("l.grp").alias("y"), F.col("l.cid").alias("b"), F.col("l.n").alias("m"))
+        # The first leader of a token is the class whose tokens most classes have, so
+        # that edited copies of one text meet the one that was edited least.
+        ranked = rows.withColumn("h", F.xxhash64("grp", F.lit(k)))
+        if k == 0:
+            counts = rows.groupBy("t").agg(F.count("*").alias("times"))
+            central = rows.join(counts, "t").groupBy("cid").agg((-F.sum("times")).alias("h"))
+            ranked = rows.join(central, "cid")
+        leaders = ranked.groupBy("t").agg(F.min(F.struct("h", "grp", "cid", "n")).alias("l"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t", F.col("l.grp").alias("y"), F.col("l.cid").alias("b"), F.col("l.n").alias("m"))
         named = rows.join(leaders, "t").where((F.col("grp") != F.col("y")) & compatible("n", "m")).groupBy(F.col("cid").alias("a"), "b", F.col("grp").alias("x"), "y").agg(F.count("*").alias("times"))
         pairs = named.groupBy("x").agg(F.max(F.struct("times", "a", "b", "y")).alias("p")).select("p.a", "p.b", "x", "p.y")
         near = bounded(pairs)
@@ -355,16 +364,21 @@ def components(docs: DataFrame, leader_rounds: int = 6) -> tuple[DataFrame, Data
         if not found:
             break
 
-    # The classes of the smaller group of two ask the larger one. Of two sets the
-    # smaller one's token has to be an early one.
+    # The classes of the smaller group of two ask the larger one. The smaller of two
+    # sets shares k of its early tokens with the other's prefix, so of any but k - 1 of
+    # these one: those that the fewest groups have, its probes.
     sizes = labels.groupBy(F.col("label").alias("grp")).agg(F.count("*").alias("size"))
-    asking = stored(rows.join(sizes, "grp"))
-    early = F.when(F.col("early"), F.col("n"))
-    groups = asking.groupBy("t", F.col("grp").alias("g"), F.col("size").alias("of")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(early).alias("early_low"), F.max(early).alias("early_high"))
-    larger = F.col("early") & (F.col("n") <= F.col("high")) & (F.col("low") * 4 <= F.col("n") * 5)
-    smaller = (F.col("early_low") <= F.col("n")) & (F.col("n") * 4 <= F.col("early_high") * 5)
-    queries = asking.join(groups, "t").where((F.struct("of", "g") > F.struct("size", "grp")) & (larger | smaller))
-    queries = stored(queries.groupBy("cid", "n", F.col("g").alias("grp")).agg(F.count("*").alias("times")).where(F.col("times") >= least_shared(F.col("n"))).select("cid", "grp"))
+    spread = rows.groupBy("t").agg(F.countDistinct("grp").alias("of"))
+    mine = Window.partitionBy("cid")
+    ranked = rows.where("early").join(spread, "t").select("t", "cid", F.row_number().over(mine.orderBy("of", "t")).alias("at"), F.count("*").over(mine).alias("known"), "n")
+    probes = ranked.where(F.col("at") <= F.col("known") - F.floor(F.col("n") / 20)).select("t", "cid", F.lit(True).alias("probe"))
+    asking = stored(rows.drop("early").join(probes, ["t", "cid"], "left").join(sizes, "grp"))
+    probe = F.when(F.col("probe"), F.col("n"))
+    groups = asking.groupBy("t", F.col("grp").alias("g"), F.col("size").alias("of")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(probe).alias("probe_low"), F.max(probe).alias("probe_high"))
+    smaller = F.col("probe") & (F.col("n") <= F.col("high")) & (F.col("low") * 4 <= F.col("n") * 5)
+    larger = (F.col("probe_low") < F.col("n")) & (F.col("n") * 4 <= F.col("probe_high") * 5)
+    queries = asking.join(groups, "t").where((F.struct("of", "g") > F.struct("size", "grp")) & (smaller | larger))
+    queries = stored(queries.select("cid", F.col("g").alias("grp")).distinct())
     members = labels.select(F.col("id").alias("cid"), F.col("label").alias("grp"))
     inside = stored(members.join(queries.select("grp").distinct(), "grp").join(bits, "cid"))
     asked = queries.join(bits, "cid")
