@@ -24,11 +24,11 @@ members only if the overlap with that union can reach the threshold.
    tries the leader that most of its prefix tokens name. Linked groups become one.
    Thousands of near copies meet this way with a few comparisons each.
 4. Matrix: as k early tokens are shared, one of any but k - 1 of them is; those in
-   the fewest groups are a class's probes. Edited copies of one text that are too far apart for
+   the fewest classes are a class's probes. Edited copies of one text that are too far apart for
    a link hardly have any. Classes and other groups that share a probe of the
-   smaller set are the pairs that may still link. A group's row is the union of its members' bitmaps; only
-   groups whose union lets the overlap reach the threshold are opened, and there
-   a class meets the bitmaps of all members of fitting size.
+   smaller set are the pairs that may still link. A group's rows are the unions of its members' bitmaps,
+   some members a row; only parts whose union lets the overlap reach the threshold
+   are opened, and there a class meets the bitmaps of all members of fitting size.
 5. Pairs that the bitmaps allow are compared token by token: first the likeliest
    one of each two groups, then all that are left between groups still apart.
 
@@ -52,6 +52,8 @@ from .hashing import shingle_sets
 WIDTH = 5
 #: Tokens that a task compares at a time to see which are common.
 AT_ONCE = 1 << 22
+#: Classes and bytes of bitmaps that a part of a group's matrix has on average at most.
+PART_ROWS, PART_BYTES = 32, 1 << 15
 #: Common tokens that the filters of the order hold at most.
 COMMON = 1 << 21
 
@@ -226,6 +228,31 @@ def allowed(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y", "n", "m", "p", "q").mapInArrow(scan, "a long, b long, x long, y long, spare long")
 
 
+def allowed_of(opened: DataFrame) -> DataFrame:
+    """Of rows (cid, grp, n, bits, block), with the classes of a part of the group
+    (cid, n, bits), the pairs that allowed() would give: a, b, y, spare."""
+
+    def scan(batches):
+        for batch in batches:
+            out = []
+            for a, y, n, own, block in zip(*(batch.column(k) for k in range(5))):
+                a, y, n, own = a.as_py(), y.as_py(), n.as_py(), np.frombuffer(own.as_buffer(), np.uint8)
+                for other in block.values:
+                    b, m, bits = (other[k] for k in ("cid", "n", "bits"))
+                    m = m.as_py()
+                    if 5 * n < 4 * m or 5 * m < 4 * n:
+                        continue
+                    q = np.frombuffer(bits.as_buffer(), np.uint8)
+                    size = 8 * min(len(own), len(q))
+                    p, q = folded(own, size), folded(q, size)
+                    spare = 9 * min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum())) - 4 * (n + m)
+                    if spare >= 0:
+                        out.append((a, b.as_py(), y, spare))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["a", "b", "y", "spare"])
+
+    return opened.select("cid", "grp", "n", "bits", "block").mapInArrow(scan, "a long, b long, y long, spare long")
+
+
 def extra(n):
     """The tokens that the prefix of a set of n tokens is longer than what it may lack."""
     return 1 + n // 20
@@ -255,18 +282,19 @@ def folded(packed: np.ndarray, bits: int) -> np.ndarray:
 
 
 def matrix_parts(members: DataFrame) -> DataFrame:
-    """From (grp, n, bits) of classes: grp, low and high size, union bitmap, as one row per task and group."""
+    """From (grp, part, n, bits) of classes: grp, part, low and high size, union bitmap, as one row per task and part of a group."""
 
     def scan(batches):
-        rows: dict[int, list] = {}
+        rows: dict[tuple, list] = {}
 
         def out():
-            r = [(g, *v) for g, v in rows.items()]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in r], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["grp", "low", "high", "bitmap"])
+            r = [(*g, *v) for g, v in rows.items()]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in r], t) for k, t in enumerate((*[pa.int64()] * 4, pa.binary()))], ["grp", "part", "low", "high", "bitmap"])
 
         held = 0
         for batch in batches:
-            for grp, n, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for *at, n, own in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                grp = tuple(at)
                 own = np.frombuffer(own.as_buffer(), np.uint8)
                 low, high, old = rows.get(grp, (n, n, None))
                 if old is not None:
@@ -280,26 +308,26 @@ def matrix_parts(members: DataFrame) -> DataFrame:
                     rows, held = {}, 0
         yield out()
 
-    return members.select("grp", "n", "bits").mapInArrow(scan, "grp long, low long, high long, bitmap binary")
+    return members.select("grp", "part", "n", "bits").mapInArrow(scan, "grp long, part long, low long, high long, bitmap binary")
 
 
 def qualifying(queries: DataFrame) -> DataFrame:
-    """Of rows (cid, grp, n, low, high, bits, bitmap) with a part of the group's
+    """Of rows (cid, grp, part, n, low, high, bits, bitmap) with a part of the group's
     matrix row, those where the overlap with the union can reach what n needs.
     Parts of a group are bounded one by one: each is the union of some members."""
 
     def scan(batches):
         for batch in batches:
             keep = []
-            for n, low, high, own, union in zip(*(batch.column(k) for k in range(2, 7))):
+            for n, low, high, own, union in zip(*(batch.column(k) for k in range(3, 8))):
                 n, low, high = n.as_py(), low.as_py(), high.as_py()
                 own, union = np.frombuffer(own.as_buffer(), np.uint8), np.frombuffer(union.as_buffer(), np.uint8)
                 size = 8 * min(len(own), len(union))
                 outside = int(np.bitwise_count(folded(own, size) & ~folded(union, size)).sum())
-                keep.append(4 * low <= 5 * n and 4 * n <= 5 * high and n - outside >= needed(max(n, low)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["cid", "grp"]).filter(pa.array(keep, pa.bool_()))
+                keep.append(4 * low <= 5 * n and 4 * n <= 5 * high and n - outside >= needed(max(n, low)) and 9 * (n - outside) >= 4 * (n + low))
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], ["cid", "grp", "part"]).filter(pa.array(keep, pa.bool_()))
 
-    return queries.select("cid", "grp", "n", "low", "high", "bits", "bitmap").mapInArrow(scan, "cid long, grp long").distinct()
+    return queries.select("cid", "grp", "part", "n", "low", "high", "bits", "bitmap").mapInArrow(scan, "cid long, grp long, part long").distinct()
 
 
 def compatible(a: str, b: str):
@@ -309,15 +337,15 @@ def compatible(a: str, b: str):
 def narrowed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Of rows (t, cid, n, grp, early), with the groups that labels give, those that may
     still lead to another group: of tokens that several groups have, and of
-    classes with enough of these. The old table goes."""
-    now = rows
+    classes with enough of these; of: the rows of the token. The old table goes."""
+    now = rows.drop("of")
     if labels is not None:
-        now = rows.drop("grp").join(labels.select(F.col("id").alias("cid"), F.col("label").alias("grp")), "cid")
+        now = now.drop("grp").join(labels.select(F.col("id").alias("cid"), F.col("label").alias("grp")), "cid")
         now = stored(now)
-    several = now.groupBy("t").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t")
+    several = now.groupBy("t").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("of")).where("lo <> hi").select("t", "of")
     part = stored(now.join(several, "t"))
     enough = part.groupBy("cid", "n").agg(F.count("*").alias("times")).where(F.col("times") >= least_shared(F.col("n"))).select("cid")
-    out = stored(part.join(enough, "cid").select("t", "cid", "n", "grp", "early"))
+    out = stored(part.join(enough, "cid").select("t", "cid", "n", "grp", "early", "of"))
     discard(rows, part, *([now] if labels is not None else []))
     return out
 
@@ -348,8 +376,7 @@ def components(docs: DataFrame, leader_rounds: int = 6) -> tuple[DataFrame, Data
         # that edited copies of one text meet the one that was edited least.
         ranked = rows.withColumn("h", F.xxhash64("grp", F.lit(k)))
         if k == 0:
-            counts = rows.groupBy("t").agg(F.count("*").alias("times"))
-            central = rows.join(counts, "t").groupBy("cid").agg((-F.sum("times")).alias("h"))
+            central = rows.groupBy("cid").agg((-F.sum("of")).alias("h"))
             ranked = rows.join(central, "cid")
         leaders = ranked.groupBy("t").agg(F.min(F.struct("h", "grp", "cid", "n")).alias("l"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("t", F.col("l.grp").alias("y"), F.col("l.cid").alias("b"), F.col("l.n").alias("m"))
         named = rows.join(leaders, "t").where((F.col("grp") != F.col("y")) & compatible("n", "m")).groupBy(F.col("cid").alias("a"), "b", F.col("grp").alias("x"), "y").agg(F.count("*").alias("times"))
@@ -366,13 +393,13 @@ def components(docs: DataFrame, leader_rounds: int = 6) -> tuple[DataFrame, Data
 
     # The classes of the smaller group of two ask the larger one. The smaller of two
     # sets shares k of its early tokens with the other's prefix, so of any but k - 1 of
-    # these one: those that the fewest groups have, its probes.
+    # these one: those that the fewest classes have, its probes.
     sizes = labels.groupBy(F.col("label").alias("grp")).agg(F.count("*").alias("size"))
-    spread = rows.groupBy("t").agg(F.countDistinct("grp").alias("of"))
-    mine = Window.partitionBy("cid")
-    ranked = rows.where("early").join(spread, "t").select("t", "cid", F.row_number().over(mine.orderBy("of", "t")).alias("at"), F.count("*").over(mine).alias("known"), "n")
-    probes = ranked.where(F.col("at") <= F.col("known") - F.floor(F.col("n") / 20)).select("t", "cid", F.lit(True).alias("probe"))
-    asking = stored(rows.drop("early").join(probes, ["t", "cid"], "left").join(sizes, "grp"))
+    order = Window.partitionBy("cid").orderBy(F.desc("early"), "of", "t")
+    known = F.count_if("early").over(Window.partitionBy("cid"))
+    ranked = rows.withColumns({"at": F.row_number().over(order), "known": known})
+    asking = ranked.select("t", "cid", "n", "grp", (F.col("early") & (F.col("at") <= F.col("known") - F.floor(F.col("n") / 20))).alias("probe"))
+    asking = stored(asking.join(sizes, "grp"))
     probe = F.when(F.col("probe"), F.col("n"))
     groups = asking.groupBy("t", F.col("grp").alias("g"), F.col("size").alias("of")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min(probe).alias("probe_low"), F.max(probe).alias("probe_high"))
     smaller = F.col("probe") & (F.col("n") <= F.col("high")) & (F.col("low") * 4 <= F.col("n") * 5)
@@ -380,11 +407,12 @@ def components(docs: DataFrame, leader_rounds: int = 6) -> tuple[DataFrame, Data
     queries = asking.join(groups, "t").where((F.struct("of", "g") > F.struct("size", "grp")) & (smaller | larger))
     queries = stored(queries.select("cid", F.col("g").alias("grp")).distinct())
     members = labels.select(F.col("id").alias("cid"), F.col("label").alias("grp"))
-    inside = stored(members.join(queries.select("grp").distinct(), "grp").join(bits, "cid"))
-    asked = queries.join(bits, "cid")
-    opened = stored(qualifying(asked.join(matrix_parts(inside), "grp"))).join(bits, "cid")
-    pairs = opened.join(inside.select("grp", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("q")), "grp").where(compatible("n", "m"))
-    pairs = stored(allowed(pairs.select(F.col("cid").alias("a"), "b", F.lit(0).cast("long").alias("x"), F.col("grp").alias("y"), "n", "m", F.col("bits").alias("p"), "q")))
+    inside = members.join(queries.select("grp").distinct(), "grp").join(bits, "cid")
+    parts = inside.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / PART_ROWS, F.sum(F.length("bits")) / PART_BYTES)).alias("parts"))
+    inside = stored(inside.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("cid"), "parts")).drop("parts"))
+    opened = stored(qualifying(queries.join(bits, "cid").join(matrix_parts(inside), "grp"))).join(bits, "cid")
+    blocks = inside.groupBy("grp", "part").agg(F.collect_list(F.struct("cid", "n", "bits")).alias("block"))
+    pairs = stored(allowed_of(opened.join(blocks, ["grp", "part"])))
 
     def apart() -> DataFrame:
         """Pairs whose classes are in different groups now."""
