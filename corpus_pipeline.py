@@ -36,14 +36,9 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated 200-byte strings go, with what they leave of a cut
     character. Every document stays, also one that has lost all its text."""
-
-    @F.pandas_udf("string")
-    def whole_characters(kept):
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    out = remove_repeats(docs)
+    out = remove_repeats(docs, characters=True)
     row = {c: F.col(f"row.{c}") for c in docs.columns}
-    text = F.when(F.col("n_removed") > 0, whole_characters("kept")).otherwise(row["text"])
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(row["text"])
     out = out.select(*(c.alias(k) for k, c in row.items() if k != "text"), text.alias("text"))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 

@@ -46,7 +46,10 @@ from .hashing import powers, prefix_sums
 LENGTH, GRAM, UNIT = 200, 64, 25
 #: Places within a pass fit in so many bits of the key that is minimised.
 PLACE_BITS = 24
-PASS_BYTES = 1 << 23
+#: A pass takes about a hundred bytes of memory for each of its own. Short texts share
+#: passes of SHARED_BYTES, which stay in the processor's cache.
+PASS_BYTES = 1 << 20
+SHARED_BYTES = 1 << 18
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray):
@@ -82,10 +85,10 @@ def anchors(raw: np.ndarray, offsets: np.ndarray):
 
 
 def passes(column: pa.Array):
-    """Rows of an Arrow text column in passes of about a megabyte; a longer text
-    in overlapping parts. Gives: row numbers, place of the first byte in its text,
-    bytes, offsets."""
-    for a, b, raw, offsets in text_slices(column):
+    """Rows of an Arrow text column in passes of SHARED_BYTES; a text longer than
+    PASS_BYTES in overlapping parts. Gives: row numbers, place of the first byte in
+    its text, bytes, offsets."""
+    for a, b, raw, offsets in text_slices(column, SHARED_BYTES):
         if len(raw) <= PASS_BYTES:
             yield np.arange(a, b), 0, raw, offsets
         else:
@@ -352,51 +355,71 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", *, bucket_size: int
     return alike.unionByName(differ).select("key", F.inline("spans")).distinct().groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def key_number(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(k[:8] for k in keys), ">i8").astype(np.int64) if keys else np.zeros(0, np.int64)
+def key_number(key: str):
+    """The first 8 bytes of a key as a long."""
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def without_spans(raws: pa.Array, spans: pa.Array, characters: bool = False) -> pa.StructArray:
+    """n_bytes, n_removed, n_spans and kept of each text. characters: what the spans
+    leave of a cut character goes as well. About a megabyte of text is handled
+    at a time, and spans don't become Python objects."""
+    none = np.zeros(0, np.int64)
+    sizes, gone, runs, left, kept = [none], [none], [none], [none], [np.zeros(0, np.uint8)]
+    for i, j, raw, offsets in text_slices(raws):
+        part = spans.slice(i, j - i)
+        doc = np.repeat(np.arange(j - i), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = part.flatten()
+        start, end = (offsets[doc] + flat.field(x).to_numpy(zero_copy_only=False) for x in ("a", "b"))
+        order = np.argsort(start, kind="stable")
+        start, end, doc = start[order], np.maximum.accumulate(end[order]), doc[order]
+        new = np.ones(len(start), bool)
+        new[1:] = (start[1:] > end[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(new)
+        start, end, doc = start[at], end[np.append(at, len(end))[1:] - 1], doc[at]
+        edge = np.zeros(len(raw) + 1, np.int8)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, end, -1)
+        rest = raw[np.cumsum(edge[:-1], dtype=np.int8) == 0]
+        sizes.append(np.diff(offsets))
+        gone.append(np.bincount(doc, end - start, j - i).astype(np.int64))
+        runs.append(np.bincount(doc, minlength=j - i))
+        left.append(sizes[-1] - gone[-1])
+        if characters and len(rest) and rest.max() > 127:
+            texts = [x.tobytes() for x in np.split(rest, np.cumsum(left[-1])[:-1])]
+            texts = [x.decode("utf-8", "ignore").encode() if n else x for x, n in zip(texts, gone[-1].tolist())]
+            rest, left[-1] = np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, j - i)
+        kept.append(rest)
+    large = pa.types.is_large_binary(raws.type)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(left))]).astype(np.int64 if large else np.int32)
+    kept = pa.Array.from_buffers(raws.type, len(raws), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(kept))])
+    return pa.StructArray.from_arrays([*(pa.array(np.concatenate(x)) for x in (sizes, gone, runs)), kept], ["n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", *, characters: bool = False, **options) -> DataFrame:
     """row (all columns of docs), n_bytes, n_removed, n_spans (maximal removed
-    runs) and kept (the remaining bytes) of each row. Only texts that may lose
-    bytes are moved between executors."""
+    runs) and kept (the remaining bytes; with characters those that are whole
+    characters) of each row. Only texts that may lose bytes are moved between
+    executors, and only these pass through Python, once and without their rows."""
     spans = stored(repeated_spans(docs, text_col, **options))
-    number = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
-    filter_ = docs.sparkSession.sparkContext.broadcast(Membership.of(spans.select(number.alias("k"))))
-    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"))
-    row = packed.schema["row"].dataType.simpleString()
-
-    def chosen(touched: bool):
-        def scan(batches):
-            held = filter_.value
-            for batch in batches:
-                keys = [hashlib.md5(x.as_buffer()).digest() for x in batch.column(1)]
-                some = held.has(key_number(keys)) if keys else np.zeros(0, bool)
-                out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], ["row", "key", "raw"])
-                yield out.filter(pa.array(some if touched else ~some, pa.bool_()))
-
-        return packed.mapInArrow(scan, f"row {row}, key binary, raw binary")
-
-    def cut(batches):
-        for batch in batches:
-            raws, spans_ = batch.column(1), batch.column(2).to_pylist()
-            sizes, gone, runs, kept = [], [], [], []
-            for raw, found in zip(raws, spans_):
-                raw = np.frombuffer(raw.as_buffer(), np.uint8)
-                edge = np.zeros(len(raw) + 1, np.int32)
-                if found:
-                    np.add.at(edge, [x["a"] for x in found], 1)
-                    np.add.at(edge, [x["b"] for x in found], -1)
-                dead = np.cumsum(edge[:-1]) > 0
-                sizes.append(len(raw))
-                gone.append(int(dead.sum()))
-                runs.append(int((dead & ~np.concatenate([[False], dead[:-1]])).sum()) if len(raw) else 0)
-                kept.append(raw[~dead].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    touched = chosen(True).join(spans, "key", "left").select("row", "raw", "spans")
-    whole = chosen(False).select("row", F.octet_length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("raw").alias("kept"))
-    return whole.unionByName(touched.mapInArrow(cut, f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary"))
+    filter_ = docs.sparkSession.sparkContext.broadcast(Membership.of(spans.select(key_number("key").alias("k"))))
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    keyed = docs.select(F.struct("*").alias("row"), F.unhex(F.md5(raw)).alias("key"))
+
+    @F.arrow_udf("boolean")
+    def may_lose(number: pa.Array) -> pa.Array:
+        return pa.array(filter_.value.has(number.to_numpy(zero_copy_only=False)), pa.bool_())
+
+    @F.arrow_udf("n_bytes long, n_removed long, n_spans long, kept binary")
+    def cut(raw: pa.Array, spans: pa.Array) -> pa.Array:
+        return without_spans(raw, spans, characters)
+
+    some = may_lose(key_number("key"))
+    raw = F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")).cast("binary")
+    nothing = F.lit(0).cast("long")
+    touched = keyed.where(some).join(spans, "key", "left").select("row", cut(raw, "spans").alias("cut")).select("row", "cut.*")
+    whole = keyed.where(~some).select("row", F.octet_length(raw).cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), raw.alias("kept"))
+    return whole.unionByName(touched)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

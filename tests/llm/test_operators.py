@@ -1,9 +1,12 @@
 """The other operators against brute force, and on awkward rows."""
 
 import hashlib
+import itertools
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import decontamination, fingerprints, lattice, ngram_join, preferences, rules, suffix_dedup, toxicity
@@ -138,6 +141,35 @@ def test_symbols_are_told_apart_by_their_bytes(monkeypatch):
     assert len(set(suffix_dedup.symbol_numbers(rows))) == want
 
 
+def test_bytes_without_spans():
+    r = np.random.default_rng(3)
+    texts = ["".join(r.choice(list("abé漢 "), r.integers(0, 60))).encode() for _ in range(400)]
+    spans = [[{"a": a, "b": a + 1 + int(r.integers(0, len(t) - a))} for a in r.integers(0, len(t), r.integers(0, 5)).tolist()] if t and k % 5 else None for k, t in enumerate(texts)]
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    for part, characters in itertools.product((slice(0, 400), slice(7, 300), slice(5, 5)), (False, True)):
+        got = suffix_dedup.without_spans(pa.array(texts, pa.binary())[part], pa.array(spans, kind)[part], characters).to_pylist()
+        for row, raw, found in zip(got, texts[part], spans[part], strict=True):
+            dead = np.zeros(len(raw), bool)
+            for x in found or []:
+                dead[x["a"] : x["b"]] = True
+            kept = bytes(b for b, gone in zip(raw, dead) if not gone)
+            runs = int((np.diff(np.concatenate([[0], dead])) > 0).sum())
+            assert row == {"n_bytes": len(raw), "n_removed": int(dead.sum()), "n_spans": runs, "kept": kept.decode("utf-8", "ignore").encode() if characters and runs else kept}
+
+
+def test_a_long_text_takes_little_memory():
+    raw = np.random.default_rng(5).integers(97, 123, 6_000_000, dtype=np.uint8)
+    column = pa.array([raw.tobytes()], pa.binary())
+    tracemalloc.start()
+    windows = 0
+    for _, _, part, offsets in suffix_dedup.passes(column):
+        _, j0, j1, _, _ = suffix_dedup.anchors(part, offsets)
+        windows += int((j1 - j0 + 1).sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows == len(raw) - 199 and peak < 250_000_000, peak
+
+
 def test_repeats_awkward_rows(spark):
     got = suffix_dedup.remove_repeats(awkward(spark)).collect()
     assert len(got) == 12 and all(r.row["grp"] == "x" for r in got)

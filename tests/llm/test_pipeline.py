@@ -75,6 +75,45 @@ def test_stages_match_brute_force(spark, tmp_path):
         docs = out
 
 
+def python_nodes(plan):
+    """The most Python workers that a task of a plan has at once."""
+    tasks = [0]
+
+    def below(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return below(node.initialPlan())
+        n = max([below(node.children().apply(k)) for k in range(node.children().size())], default=0)
+        n += any(x in name for x in ("Arrow", "Python", "Pandas"))
+        tasks.append(n)
+        return 0 if "Exchange" in name else n
+
+    below(plan)
+    return max(tasks)
+
+
+def test_removal_takes_one_python_worker_a_task(spark):
+    """And cuts at whole characters, of changed texts only. Tables above the size that
+    is broadcast are moved, so they are here."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    core = "".join(chr(0xE0 + k * 7 % 90) for k in range(150))
+    texts = [f"a{core}é", core[1:], f"{core[:120]}漢{long_text(50, 921)}", "é", None, long_text(60, 922)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], SCHEMA)
+    out = corpus_pipeline.suffix_dedup(spark, docs, "")
+    seen = Counter(b[i : i + 200] for b in ((t or "").encode() for t in texts) for i in range(len(b) - 199))
+    want = {}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        dead = {x for i in range(len(raw) - 199) if seen[raw[i : i + 200]] > 1 for x in range(i, i + 200)}
+        want[k] = bytes(b for i, b in enumerate(raw) if i not in dead).decode("utf-8", "ignore") if dead else t
+    assert {r.doc_id: r.text for r in out.collect()} == want and sum(want[k] != t for k, t in enumerate(texts)) == 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert python_nodes(corpus_pipeline.suffix_dedup(spark, docs, "")._jdf.queryExecution().executedPlan()) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
 def test_stages_of_an_empty_table_and_clashing_names(spark, tmp_path):
     base = str(tmp_path)
     tables(spark, base)
