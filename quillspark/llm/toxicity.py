@@ -47,6 +47,8 @@ GRAMS = (3, 5)
 EDGE = bytes(set(range(33, 127)) - set(b"0123456789abcdefghijklmnopqrstuvwxyz"))
 WINDOW, STRIDE = 64, 32
 FOLDS = 4
+#: The n-grams of so many different words are looked at together in training.
+WORDS_AT_ONCE = 1 << 14
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -236,10 +238,13 @@ def train(docs: Iterable[tuple[int, bool, list[bytes]]], *, steps: int = 300, ba
         leans[k] = leaning(row_of[pair_word[part]], labels[pair_doc[part]], len(net.known) + 1, labels[others])
     net.lean = leans[FOLDS]
     if words:
-        own, word, row, _ = net.inputs(words)
-        order = np.argsort(word, kind="stable")
-        word, row = word[order], row[order]
-        first = np.searchsorted(word, np.arange(len(own) + 1))
+        own, row, n_grams = [], [], []
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            some, word, grams, _ = net.inputs(words[k : k + WORDS_AT_ONCE])
+            own.append(some)
+            row.append(grams[np.argsort(word, kind="stable")].astype(np.int32))
+            n_grams.append(np.bincount(word, minlength=len(some)))
+        own, row, first = np.concatenate(own), np.concatenate(row), np.concatenate([[0], np.cumsum(np.concatenate(n_grams))])
 
     def inputs_of(numbers: np.ndarray, hidden: float = 0.0):
         """Inputs of words, whose numbers hold the fold of their document."""

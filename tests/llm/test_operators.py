@@ -170,6 +170,19 @@ def test_a_long_text_takes_little_memory():
     assert windows == len(raw) - 199 and peak < 250_000_000, peak
 
 
+def test_training_takes_little_memory_and_words_in_parts_give_the_same(monkeypatch):
+    r = np.random.default_rng(8)
+    docs = [(k % 2, k % 5 == 4, [b"%x" % x for x in r.integers(2**31, 2**47, 300).tolist()] + [b"common", b"bad" if k % 2 else b"good"]) for k in range(400)]
+    tracemalloc.start()
+    net = toxicity.train(docs, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 1 << 30, raising=False)
+    whole = toxicity.train(docs, steps=2)
+    assert all((net.w[k] == whole.w[k]).all() for k in net.w) and (net.lean == whole.lean).all()
+    assert peak < 120_000_000, peak
+
+
 def test_repeats_awkward_rows(spark):
     got = suffix_dedup.remove_repeats(awkward(spark)).collect()
     assert len(got) == 12 and all(r.row["grp"] == "x" for r in got)
